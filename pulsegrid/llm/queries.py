@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import quality_rules
+from pulsegrid.llm import byte_bpe, pii, quality_rules, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,33 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents encoded and decoded again."""
+    return byte_bpe.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals for every context limit over all documents."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written and read back."""
+    rows = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import byte_bpe, pii, quality_rules, token_counts, warc
+from pulsegrid.llm import byte_bpe, pii, quality_rules, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-copy class of every whole text of documents."""
+    return simhash.classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}

@@ -52,3 +52,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
         F.coalesce(text, F.lit("")).alias("text"),
         *more,
     )
+
+
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """``k0, k1`` of ``keyed`` over the documents' own columns."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return F.coalesce(id_, F.lit(0)).cast("long"), F.xxhash64(id_.isNull(), text)
+
+
+def beside(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str = "left") -> DataFrame:
+    """The documents, as one struct column ``row``, joined to ``found`` on (__k0, __k1)."""
+    k0, k1 = row_key(id_col, text_col)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k0.alias("__k0"), k1.alias("__k1"))
+    return whole.join(found, ["__k0", "__k1"], how)
+
+
+def semi(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str = "left_semi") -> DataFrame:
+    """The documents' rows whose key is (or, for left_anti, isn't) in ``found``."""
+    return beside(docs, found, id_col, text_col, how).select("row.*")

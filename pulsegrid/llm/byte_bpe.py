@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from pulsegrid.llm.shared import cut, keyed
+from pulsegrid.llm.shared import keyed
 
 #: A chunk ends with the document that brings its text to so many characters.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 16_000_000
 _SPACE_RUN = re.compile(r" \s|\s |^ | $")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -86,7 +86,7 @@ def _unpack(blob: bytes):
 def _chunks(buckets: int):
     """Rows (chunk, bucket, blob): bucket -1 holds the documents, the others words."""
 
-    def rows(chunk: int, docs: list, places: list, rest: dict, first: dict) -> pd.DataFrame:
+    def rows(seed: int, docs: list, places: list, rest: dict, first: dict) -> pd.DataFrame:
         words = [" " + w for w in rest] + list(first)
         # A first word's number follows those of all the others.
         of = np.fromiter((xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
@@ -95,7 +95,9 @@ def _chunks(buckets: int):
         place[order] = np.arange(len(words), dtype=np.uint32)
         seq = np.concatenate([place[p + np.where(head, len(rest), 0)] for p, head in places]) if places else place
         planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-        out = [(chunk, -1, _pack((docs, planes)))]
+        own = _pack((docs, planes, len(words)))
+        chunk = xxh3_64_intdigest(own, seed) - (1 << 63)
+        out = [(chunk, -1, own)]
         cuts = np.searchsorted(of[order], np.arange(buckets + 1))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
@@ -103,7 +105,7 @@ def _chunks(buckets: int):
         return pd.DataFrame(out, columns=["chunk", "bucket", "blob"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, n, size = TaskContext.get().partitionId() << 32, 0, 0
+        seed, size = TaskContext.get().partitionId() << 20, 0
         docs, places, rest, first = [], [], _Numbers(), _Numbers()
         for frame in frames:
             for id_, null, text in zip(frame["id"], frame["null"], frame["text"]):
@@ -117,11 +119,11 @@ def _chunks(buckets: int):
                 places.append((nums.astype(np.uint32), head))
                 size += len(text)
                 if size >= CHUNK_CHARS:
-                    yield rows(base + n, docs, places, rest, first)
-                    n, size = n + 1, 0
+                    yield rows(seed, docs, places, rest, first)
+                    seed, size = seed + 1, 0
                     docs, places, rest, first = [], [], _Numbers(), _Numbers()
         if docs:
-            yield rows(base + n, docs, places, rest, first)
+            yield rows(seed, docs, places, rest, first)
 
     return run
 
@@ -149,7 +151,9 @@ def _encode_words(path: str):
 def _reassemble(path: str, with_ids: bool):
     """The rows of a chunk come in the order of their buckets, the documents first."""
 
-    def documents(docs: list, planes: np.ndarray, words: list) -> pd.DataFrame:
+    def documents(docs: list, planes: np.ndarray, n_words: int, words: list) -> pd.DataFrame:
+        if sum(len(s) for s, _ in words) != n_words:
+            raise ValueError("the input gave other rows when read again: checkpoint it first")
         seq = planes.T.copy().view("<u4").ravel()
         sizes = np.concatenate([s for s, _ in words]).astype(np.int64) if words else np.zeros(0, np.int64)
         ids = np.concatenate([i for _, i in words]) if words else np.zeros(0, np.uint32)
@@ -170,17 +174,17 @@ def _reassemble(path: str, with_ids: bool):
         return frame.astype({"id": "Int64"})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, planes, words = [], None, []
+        own, words = None, []
         for frame in frames:
             for _, bucket, blob in frame.itertuples(index=False):
                 if bucket >= 0:
                     words.append(_unpack(blob))
                     continue
-                if docs:
-                    yield documents(docs, planes, words)
-                (docs, planes), words = _unpack(blob), []
-        if docs:
-            yield documents(docs, planes, words)
+                if own:
+                    yield documents(*own, words)
+                own, words = _unpack(blob), []
+        if own:
+            yield documents(*own, words)
 
     return run
 
@@ -203,7 +207,9 @@ def encode(
     # Null ids travel beside the number: pandas would turn a nullable integer into a float.
     rows = keyed(docs, id_col, text_col).select(F.col("k0").alias("id"), F.col("id").isNull().alias("null"), "text")
     schema = "chunk long, bucket int, blob binary"
-    chunks = cut(rows.mapInPandas(_chunks(buckets), schema))
+    # Read twice rather than kept: a chunk's name is the digest of its content, so words that
+    # are missing from a chunk would be noticed.
+    chunks = rows.mapInPandas(_chunks(buckets), schema)
     words = chunks.where("bucket >= 0").repartition(buckets, "bucket").mapInPandas(_encode_words(path), schema)
     ordered = (
         chunks.where("bucket < 0").unionByName(words).repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")

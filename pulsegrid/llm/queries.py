@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import byte_bpe, pii, quality_rules, simhash, token_counts, warc
+from pulsegrid.llm import byte_bpe, pii, quality_rules, simhash, substring_index, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +42,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200-byte strings that repeat, over every whole text of documents."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50-word windows of earlier documents, over every whole text of documents."""
+    return substring_index.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_suffix_array": op3_suffix_array,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null id.
+LAST = (1 << 63) - 1
 #: ASCII white space: the separators of a word everywhere in this package.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -40,14 +42,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(id, k0, k1, text, *more): internal names, so that no other column of the input clashes.
 
-    ``k0, k1`` identify a row's content without nulls: the id (0 for null) and a hash
-    over "id is null" and the text. Rows with equal keys are equal rows.
-    A null text counts as empty.
+    ``k0, k1`` identify a row's content without nulls: the id (the largest long for null,
+    so that null ids come last) and a hash over "id is null" and the text. Rows with equal
+    keys are equal rows. A null text counts as empty.
     """
     id_, text = docs[id_col], docs[text_col]
     return docs.select(
         id_.alias("id"),
-        F.coalesce(id_, F.lit(0)).cast("long").alias("k0"),
+        F.coalesce(id_.cast("long"), F.lit(LAST)).alias("k0"),
         F.xxhash64(id_.isNull(), text).alias("k1"),
         F.coalesce(text, F.lit("")).alias("text"),
         *more,
@@ -57,7 +59,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """``k0, k1`` of ``keyed`` over the documents' own columns."""
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return F.coalesce(id_, F.lit(0)).cast("long"), F.xxhash64(id_.isNull(), text)
+    return F.coalesce(id_.cast("long"), F.lit(LAST)), F.xxhash64(id_.isNull(), text)
 
 
 def beside(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str = "left") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from pulsegrid.llm.components import components
-from pulsegrid.llm.shared import cut, keyed, semi
+from pulsegrid.llm.shared import LAST, cut, keyed, semi
 
 BYTES = 8
 #: Lists above this size are probed by bit flips instead of compared pair by pair.
@@ -199,5 +199,5 @@ def keep_one(
     """
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1")
     stay = _classes(docs, id_col, text_col, bits, words_per_shingle).where(here == F.col("least"))
-    stay = stay.select(F.coalesce("id", F.lit(0)).cast("long").alias("__k0"), F.col("k1").alias("__k1")).distinct()
+    stay = stay.select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("__k0"), F.col("k1").alias("__k1")).distinct()
     return semi(docs, stay, id_col, text_col)

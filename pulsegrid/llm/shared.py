@@ -72,3 +72,9 @@ def beside(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: s
 def semi(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str = "left_semi") -> DataFrame:
     """The documents' rows whose key is (or, for left_anti, isn't) in ``found``."""
     return beside(docs, found, id_col, text_col, how).select("row.*")
+
+
+def remove_dir(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

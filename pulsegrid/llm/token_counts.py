@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.byte_bpe import default_ranks, encoding, split_words
+from pulsegrid.llm.shared import cut
 
 #: Words whose token counts a task remembers; beyond, it starts anew.
 REMEMBERED = 400_000
 #: Lengths per block in the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -101,4 +102,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts count as length 0, repeated rows each; ids may be null, for they
     are not used; other columns are not read; an empty table gives no rows.
     """
-    return context_limits(histogram(lengths(docs, id_col, text_col, path)))
+    # Used twice below, and no longer than the longest text: kept, so that texts are encoded once.
+    return context_limits(cut(histogram(lengths(docs, id_col, text_col, path))))

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.anchors import Windows, combined_blocks, distinct_blocks, occurrences, packed_texts, repeated, unpack_text
-from pulsegrid.llm.shared import cut, keyed
+from pulsegrid.llm.shared import LAST, cut, keyed
 
 #: Bytes of blocks that are sorted together; a key's blocks are never parted.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 
 
 def _bytes(text: str) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
@@ -58,21 +58,20 @@ def two_stage_sort(t: np.ndarray, depth: int) -> np.ndarray:
     words = _words(t)
     direct = np.flatnonzero(smaller)
     direct = direct[np.argsort(words[direct], kind="stable")]
+    at, slots, places = 0, np.arange(len(direct)), direct
     group = np.cumsum(np.r_[True, words[direct][1:] != words[direct][:-1]]) if len(direct) else direct
-    for at in range(8, depth, 8):
-        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
-        tied = np.flatnonzero(~alone)
-        if not len(tied):
+    while len(places):
+        differs = group[1:] != group[:-1]
+        tied = ~(np.r_[True, differs] & np.r_[differs, True])
+        slots, places, group, at = slots[tied], places[tied], group[tied], at + 8
+        if not len(places) or at >= depth:
             break
-        places = direct[tied]
-        nextw = words[np.minimum(places + at, n - 1)]
-        order = np.lexsort((nextw, group[tied]))
-        direct[tied] = places[order]
-        nextw, g = nextw[order], group[tied]
+        word = words[np.minimum(places + at, n - 1)]
+        order = np.lexsort((word, group))
+        places, word = places[order], word[order]
+        direct[slots] = places
         # Groups keep their order and fall apart where the new bytes differ.
-        step = np.zeros(len(direct), np.int64)
-        step[tied[1:]] = (g[1:] == g[:-1]) & (nextw[1:] != nextw[:-1])
-        group = np.cumsum(np.r_[True, (group[1:] != group[:-1])] | (step > 0))
+        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])])
     counts = np.bincount(t, minlength=256)
     ends = np.cumsum(counts)
     free = ends - counts
@@ -205,23 +204,22 @@ def remove_repeats(
     same text or another; strings are judged on the input. ``length`` is at least 32.
 
     * null or empty text: no bytes; texts shorter than ``length`` stay whole
-    * null id: kept; repeated rows: copies of each other, so both lose what repeats
+    * null id: kept (ids are below 2**63 - 1); repeated rows: copies of each other, so both lose what repeats
     * texts are read whole, in bounded runs; an empty table: no rows; other columns are not read
     """
     spec = Windows(length, 16, _bytes)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, id_col, text_col)
     blocks = cut(repeated(distinct_blocks(combined_blocks(rows, spec)), False).select("key", "dig", "rep", "c"))
-    texts = packed_texts(rows, "id")
+    texts = packed_texts(rows)  # by document twice below, in the same columns: shuffled once
     wanted = blocks.groupBy("rep.k0", "rep.k1").agg(F.collect_list(F.struct("key", "dig", "c", "rep.lo", "rep.n")).alias("blocks"))
-    one = texts.select("k0", "k1", "z").dropDuplicates(["k0", "k1"])
-    cut_out = one.join(wanted, ["k0", "k1"]).select("z", "blocks").mapInPandas(_cut_out(length), "key long, dig long, c long, block binary")
+    cut_out = texts.join(wanted, ["k0", "k1"]).select("z", "blocks").mapInPandas(_cut_out(length), "key long, dig long, c long, block binary")
     solved = (
         cut_out.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_sort_blocks(length), "key long, dig long, bits binary")
     )
     found = occurrences(rows, spec).join(solved, ["key", "dig"])
     by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct("lo", "n", "bits")).alias("found"))
     made = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    whole = texts.join(by_doc, ["k0", "k1"], "left").select("k0", "id", "z", "found")
-    out = whole.select(F.col("k0").alias("id"), F.col("id").isNull().alias("null"), "z", "found").mapInPandas(_remove(length, with_text), made)
+    whole = texts.join(by_doc, ["k0", "k1"], "left")
+    out = whole.select(F.col("k0").alias("id"), (F.col("k0") == LAST).alias("null"), "z", "found").mapInPandas(_remove(length, with_text), made)
     return out.withColumnRenamed("id", id_col)

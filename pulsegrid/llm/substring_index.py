@@ -3,9 +3,9 @@
 The index holds sorted immutable runs: tables bucketed and sorted by fingerprint, one per
 batch of documents. A fingerprint stands for a block of windows (see ``anchors``): the hash
 of the words that anchor them and a digest of the block, with the first document that has
-it. A new batch becomes a run, is merge-joined with the run of all earlier batches (both
-lie by fingerprint, so nothing is shuffled), windows of blocks that share an anchor but are
-not equal are verified word by word, and the runs are compacted into one.
+it. A new batch becomes a run and is merged with the run of all earlier batches into one; the
+merged run is joined with the batch's blocks, and windows of blocks that share an anchor
+but are not equal are verified over their words.
 """
 
 from __future__ import annotations
@@ -133,31 +133,26 @@ class SubstringIndex:
         writer.saveAsTable(table)
         return table
 
+    def _merged(self, blocks: DataFrame) -> DataFrame:
+        """One row per fingerprint, dealt by key so that a run has one file per bucket."""
+        first = F.min(F.struct("k0", "k1", "lo", "n")).alias("rep")
+        rows = blocks.repartition(self.buckets, "key").groupBy("key", "dig").agg(first, F.max("last").alias("last"))
+        return rows.select("key", "dig", "rep.*", "last")
+
     def add(self, batch: DataFrame) -> None:
         """A run of the batch's distinct blocks; ``batch`` holds rows of ``self.rows``."""
-        first = F.min(F.struct("k0", "k1", "lo", "n"))
-        run = (
-            combined_blocks(batch, self.spec)
-            .repartition(self.buckets, "key")
-            .groupBy("key", "dig")
-            .agg(first.alias("rep"), F.max("last").alias("last"))
-        )
-        self.runs.append(self._write(run.select("key", "dig", "rep.*", "last")))
+        self.runs.append(self._write(self._merged(combined_blocks(batch, self.spec))))
         if len(self.runs) > 1:
             self.compact()
 
     def compact(self) -> None:
         """Merges the runs into one: of equal fingerprints the first document stays."""
-        old, new = self.runs[0], self.runs[1:]
-        run = self.spark.table(old)
-        for name in new:
-            other = self.spark.table(name)
-            both = run.alias("a").join(other.alias("b"), ["key", "dig"], "full")
-            a, b = (F.when(F.col(f"{x}.k0").isNotNull(), F.struct(f"{x}.k0", f"{x}.k1", f"{x}.lo", f"{x}.n")) for x in "ab")
-            run = both.select("key", "dig", F.least(a, b).alias("rep"), F.greatest("a.last", "b.last").alias("last"))
-            run = run.select("key", "dig", "rep.*", "last")
-        self.runs = [self._write(run)]
-        for name in [old, *new]:
+        old = self.runs
+        run = self.spark.table(old[0])
+        for name in old[1:]:
+            run = run.unionByName(self.spark.table(name))
+        self.runs = [self._write(self._merged(run))]
+        for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
     def drop(self) -> None:
@@ -179,7 +174,8 @@ class SubstringIndex:
             (F.min("k0").over(by_key) < F.max("last").over(by_key)).alias("again"),
         ).where("again")
         again = cut(again.select("key", "dig", "k0", "k1", "lo", "n", "nb"))
-        texts = packed_texts(self.rows).dropDuplicates(["k0", "k1"])
+        # In the columns of ``removals``: texts are shuffled by document once for both.
+        texts = packed_texts(self.rows)
         wanted = again.where("nb > 1").groupBy("k0", "k1").agg(F.collect_list(F.struct("key", "dig", "lo", "n")).alias("blocks"))
         digests = texts.join(wanted, ["k0", "k1"]).select("k0", "z", "blocks")
         rows = digests.mapInPandas(_window_digests(self.spec.length), "key long, dig long, k0 long, windows binary")
@@ -196,8 +192,8 @@ class SubstringIndex:
         found = occurrences(self.rows, self.spec).join(self.repeats(), ["key", "dig"]).where("first IS NULL OR first < k0")
         by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct("lo", "n", "firsts")).alias("found"))
         made = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-        whole = packed_texts(self.rows, "id").join(by_doc, ["k0", "k1"], "left")
-        whole = whole.select(F.col("k0").alias("id"), F.col("id").isNull().alias("null"), "z", "found")
+        whole = packed_texts(self.rows).join(by_doc, ["k0", "k1"], "left")
+        whole = whole.select(F.col("k0").alias("id"), (F.col("k0") == LAST).alias("null"), "z", "found")
         out = whole.mapInPandas(_remove(self.spec.length, with_text), made)
         return out.withColumn("id", F.col("id").cast(self.id_type)).withColumnRenamed("id", self.id_col)
 
@@ -212,7 +208,7 @@ def remove_repeats(
     are judged on the input.
 
     * null or empty text: no words; texts shorter than a window stay whole
-    * null id: kept, after all ids and never smaller than another null
+    * null id: kept (ids are below 2**63 - 1), after all ids and never smaller than another null
     * rows with equal ids never repeat each other; each gives a result row
     * texts are read whole, in bounded runs; an empty table: no rows; other columns are not read
     """

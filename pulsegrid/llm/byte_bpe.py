@@ -36,7 +36,7 @@ from xxhash import xxh3_64_intdigest
 from pulsegrid.llm.shared import keyed
 
 #: A chunk ends with the document that brings its text to so many characters.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 32_000_000
 _SPACE_RUN = re.compile(r" \s|\s |^ | $")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -76,7 +76,7 @@ class _Numbers(dict):
 
 
 def _pack(value) -> bytes:
-    return zstandard.compress(pickle.dumps(value, 5), 3)
+    return zstandard.compress(pickle.dumps(value, 5), 9)
 
 
 def _unpack(blob: bytes):

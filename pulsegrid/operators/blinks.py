@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import BlinkConfig
 from pulsegrid.functions.scalars import f32, f64, finite
-from pulsegrid.operators.signals import BY_VIDEO, SO_FAR, time_window
+from pulsegrid.operators.signals import by_video, so_far, time_window
 
 
 def runs(rows: DataFrame) -> DataFrame:
     """Rows of closed runs, each with the row that ends it; run_id counts the runs of a video."""
-    before = F.coalesce(F.lag("closed_state").over(BY_VIDEO), F.lit(0))
+    before = F.coalesce(F.lag("closed_state").over(by_video()), F.lit(0))
     marked = rows.withColumn("__before", before)
     rise = F.when((F.col("closed_state") == 1) & (F.col("__before") == 0), 1).otherwise(0)
-    numbered = marked.withColumn("run_id", F.sum(rise).over(SO_FAR))
+    numbered = marked.withColumn("run_id", F.sum(rise).over(so_far()))
     return numbered.where("closed_state = 1 OR __before = 1").drop("__before")
 
 
@@ -102,7 +102,7 @@ def blink_rolling(rows: DataFrame, events: DataFrame, cfg: BlinkConfig = BlinkCo
         {n: f32(F.coalesce(time_window(f"__{c}", "avg", cfg.window_sec), F.lit(0.0))) for n, c in ROLLED.items()}
         | {
             "blink_frequency_10s": f32(time_window("__end", "count", cfg.window_sec) / F.lit(cfg.window_sec)),
-            "time_since_last_blink": f32(F.coalesce(F.least(F.col("timestamp") - F.last("__end", ignorenulls=True).over(SO_FAR), F.lit(cfg.cap_sec)), F.lit(cfg.cap_sec))),
+            "time_since_last_blink": f32(F.coalesce(F.least(F.col("timestamp") - F.last("__end", ignorenulls=True).over(so_far()), F.lit(cfg.cap_sec)), F.lit(cfg.cap_sec))),
         }
     )
     return out.drop("__end", *[f"__{c}" for c in ROLLED.values()])

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsegrid.config import Z_COLUMNS, BlinkConfig, FrameConfig
 from pulsegrid.functions.scalars import clip01, f32, f64
 
-BY_VIDEO = Window.partitionBy("video_id").orderBy("timestamp")
-SO_FAR = BY_VIDEO.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-AHEAD = Window.partitionBy("video_id").orderBy(F.col("timestamp").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_video() -> WindowSpec:
+    return Window.partitionBy("video_id").orderBy("timestamp")
+
+
+def so_far() -> WindowSpec:
+    return by_video().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def ahead() -> WindowSpec:
+    """From the row to the video's end, as a descending window."""
+    down = Window.partitionBy("video_id").orderBy(F.col("timestamp").desc())
+    return down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def time_window(value: str, function: str, seconds: float) -> Column:
@@ -27,9 +37,9 @@ def interpolate(rows: DataFrame, columns: tuple[str, ...], limit: int) -> DataFr
     """
     i = F.col("processed_idx")
     at = lambda c: F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), f64(F.col(c)).alias("y")))
-    back = {f"__b_{c}": F.last(at(c), ignorenulls=True).over(SO_FAR) for c in columns}
-    ahead = {f"__a_{c}": F.last(at(c), ignorenulls=True).over(AHEAD) for c in columns}
-    both = rows.withColumns(back).withColumns(ahead)
+    back = {f"__b_{c}": F.last(at(c), ignorenulls=True).over(so_far()) for c in columns}
+    later = {f"__a_{c}": F.last(at(c), ignorenulls=True).over(ahead()) for c in columns}
+    both = rows.withColumns(back).withColumns(later)
 
     def filled(c: str) -> Column:
         b, a = F.col(f"__b_{c}"), F.col(f"__a_{c}")
@@ -42,7 +52,7 @@ def interpolate(rows: DataFrame, columns: tuple[str, ...], limit: int) -> DataFr
             .when(b.isNull() & near_a, a["y"])
         )
 
-    return both.withColumns({c: filled(c) for c in columns}).drop(*back, *ahead)
+    return both.withColumns({c: filled(c) for c in columns}).drop(*back, *later)
 
 
 def fill_signals(rows: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
@@ -54,7 +64,7 @@ def fill_signals(rows: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame
 
 def smooth(rows: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
     """Adds p_closed_smooth, the mean of the last rows."""
-    mean = F.avg(f64(F.col("p_closed"))).over(BY_VIDEO.rowsBetween(1 - cfg.smooth_rows, 0))
+    mean = F.avg(f64(F.col("p_closed"))).over(by_video().rowsBetween(1 - cfg.smooth_rows, 0))
     return rows.withColumn("p_closed_smooth", f32(clip01(mean)))
 
 
@@ -62,9 +72,9 @@ def closed_state(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame
     """Adds closed_state (set at the start threshold, reset at the end threshold, else held) and current_closed_duration."""
     p = f64(F.col("p_closed_smooth"))
     signal = F.when(p >= cfg.start, 1).when(p <= cfg.end, 0)
-    latched = rows.withColumn("closed_state", F.coalesce(F.last(signal, ignorenulls=True).over(SO_FAR), F.lit(0)))
-    rise = (F.col("closed_state") == 1) & (F.coalesce(F.lag("closed_state").over(BY_VIDEO), F.lit(0)) == 0)
-    opened = latched.withColumns({"__rise": rise}).withColumn("__since", F.last(F.when(F.col("__rise"), F.col("timestamp")), ignorenulls=True).over(SO_FAR))
+    latched = rows.withColumn("closed_state", F.coalesce(F.last(signal, ignorenulls=True).over(so_far()), F.lit(0)))
+    rise = (F.col("closed_state") == 1) & (F.coalesce(F.lag("closed_state").over(by_video()), F.lit(0)) == 0)
+    opened = latched.withColumns({"__rise": rise}).withColumn("__since", F.last(F.when(F.col("__rise"), F.col("timestamp")), ignorenulls=True).over(so_far()))
     lasting = F.when(F.col("closed_state") == 1, F.col("timestamp") - F.col("__since")).otherwise(0.0)
     return opened.withColumn("current_closed_duration", f32(lasting)).drop("__rise", "__since")
 

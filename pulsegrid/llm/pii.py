@@ -184,7 +184,7 @@ def train(labelled: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 9
 def viterbi(field: Field, shapes: list[list[str]]) -> list[np.ndarray]:
     """The best labels of each sequence; sequences of like length run side by side."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(shapes)
-    order = sorted(range(len(shapes)), key=lambda i: len(shapes[i]))
+    order = sorted((i for i, s in enumerate(shapes) if s), key=lambda i: len(shapes[i]))
     at = 0
     while at < len(order):
         # A batch holds some 100,000 places, or one longer sequence.
@@ -193,9 +193,7 @@ def viterbi(field: Field, shapes: list[list[str]]) -> list[np.ndarray]:
             to += 1
         batch, at = order[at:to], to
         sizes = np.array([len(shapes[i]) for i in batch])
-        longest = int(sizes.max(initial=0))
-        if not longest:
-            continue
+        longest = int(sizes.max())
         x = np.zeros((len(batch), longest, 7), np.int64)
         for row, i in enumerate(batch):
             x[row, : len(shapes[i])] = _features(field.index, shapes[i])

@@ -38,7 +38,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     candidates = cut(spread(lines).where(F.col("sites") >= min_sites * (1 - NEAR)))
     sure = candidates.where(F.col("sites") > min_sites * (1 + NEAR)).select("h0", "h1")
     near = candidates.where(F.col("sites") <= min_sites * (1 + NEAR)).select("h0", "h1")
-    pairs = lines.where("site IS NOT NULL").join(near, ["h0", "h1"]).select("h0", "h1", "site").distinct()
+    # Distinct before the join: a line that is everywhere comes once per site and task.
+    pairs = lines.where("site IS NOT NULL").select("h0", "h1", "site").distinct().join(near, ["h0", "h1"])
     exact = pairs.groupBy("h0", "h1").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h0", "h1")
     return sure.unionByName(exact)
 

@@ -40,38 +40,69 @@ def _words(t: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(t)].copy().view(">u8").ravel().astype(np.uint64)
 
 
+_MIX = np.random.default_rng(11).integers(1, 1 << 63, 2, np.uint64) | np.uint64(1)
+
+
+def _stretches(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bytes, a hash of so many bytes from each place on), the longest first; past the end all are zeros."""
+    out, size, h, rest = [(8, words)], 8, words, np.zeros(1, np.uint64)
+    while size < 128:
+        both = h * _MIX[0] + np.concatenate([h[size:], np.full(min(size, len(h)), rest[0])])
+        rest = rest * _MIX[0] + rest
+        h, rest = ((x ^ (x >> np.uint64(29))) * _MIX[1] for x in (both, rest))
+        size *= 2
+        out.insert(0, (size, h))
+    return out
+
+
+def _skip_equal(places: np.ndarray, group: np.ndarray, at: np.ndarray, stretches: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Where each group goes on being sorted: stretches that all its members share are passed over."""
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[begins, len(group)])
+    for size, h in stretches:
+        own = h[np.minimum(places + at, len(h) - 1)]
+        differs = np.r_[False, own[1:] != own[:-1]]
+        differs[begins] = False
+        at = at + np.repeat(np.where(np.logical_or.reduceat(differs, begins), 0, size), sizes)
+    return at
+
+
 def two_stage_sort(t: np.ndarray, depth: int) -> np.ndarray:
     """The suffix array of bytes ``t`` (its last byte, 0, is the unique least), by the first ``depth`` bytes.
 
     Places whose suffix is smaller than the next one's are sorted directly, eight bytes at a
-    time among those still equal. Scanning the buckets of first bytes upwards, each place in
+    time among those still equal; bytes that all members of such a group share are passed
+    over by hash. Scanning the buckets of first bytes upwards, each place in
     order puts its predecessor, if that is larger than it, at the next free slot of the
     predecessor's bucket.
     """
     n = len(t)
     nxt = np.append(t[1:], 0)
     # Where two neighbours are equal, the next unequal pair decides.
-    unequal = np.flatnonzero(t != nxt) if n > 1 else np.zeros(0, int)
-    where = np.minimum(np.searchsorted(unequal, np.arange(n)), max(0, len(unequal) - 1))
-    smaller = t[unequal[where]] < nxt[unequal[where]] if len(unequal) else np.zeros(n, bool)
-    smaller[-1] = False
+    where = np.minimum.accumulate(np.where(t != nxt, np.arange(n), n - 1)[::-1])[::-1]
+    smaller = t[where] < nxt[where]
     words = _words(t)
+    stretches = _stretches(words)
     direct = np.flatnonzero(smaller)
     direct = direct[np.argsort(words[direct], kind="stable")]
-    at, slots, places = 0, np.arange(len(direct)), direct
+    slots, places = np.arange(len(direct)), direct
+    at = np.full(len(direct), 8)
     group = np.cumsum(np.r_[True, words[direct][1:] != words[direct][:-1]]) if len(direct) else direct
     while len(places):
         differs = group[1:] != group[:-1]
         tied = ~(np.r_[True, differs] & np.r_[differs, True])
-        slots, places, group, at = slots[tied], places[tied], group[tied], at + 8
-        if not len(places) or at >= depth:
+        slots, places, group, at = slots[tied], places[tied], group[tied], at[tied]
+        if not len(places):
             break
+        at = _skip_equal(places, group, at, stretches)
+        left = at < depth
+        slots, places, group, at = slots[left], places[left], group[left], at[left]
         word = words[np.minimum(places + at, n - 1)]
         order = np.lexsort((word, group))
-        places, word = places[order], word[order]
+        places, word, at = places[order], word[order], at + 8  # equal within a group
         direct[slots] = places
         # Groups keep their order and fall apart where the new bytes differ.
-        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])])
+        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])]) if len(places) else places
     counts = np.bincount(t, minlength=256)
     ends = np.cumsum(counts)
     free = ends - counts

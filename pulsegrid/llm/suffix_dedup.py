@@ -210,12 +210,14 @@ def _remove(length: int, with_text: bool):
             out = []
             for id_, null, z, found in zip(frame["id"], frame["null"], frame["z"], frame["found"]):
                 raw = np.frombuffer(unpack_text(z).encode(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int32)
-                for b in found if found is not None else ():
-                    at = b["lo"] + np.flatnonzero(np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"]))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
-                gone = np.cumsum(edge)[:-1] > 0
+                gone = np.zeros(len(raw), bool)
+                if found is not None:
+                    hit = np.zeros(len(raw), np.uint8)  # a document's blocks have no window in common
+                    for b in found:
+                        hit[b["lo"] : b["lo"] + b["n"]] = np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"])
+                    so_far = np.cumsum(hit, dtype=np.int64)
+                    so_far[length:] -= so_far[:-length].copy()
+                    gone = so_far > 0  # a window starts here or less than its length before
                 kept = raw[~gone].tobytes()
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
                 row = (None if null else int(id_), len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())

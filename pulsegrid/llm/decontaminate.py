@@ -1,11 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A passage with at least ``similarity`` of an item's words in place differs from the item in
-at most d = (1 - similarity) * words of them. Each of those spoils at most n of the item's
-n-grams, so of any n * d + 1 different n-grams one is intact: it is enough to look for the
-n * d + 1 rarest of each item, by document frequency in the corpus. Seeds of five words
-would all be spoilt by an edit in every fifth word; three words keep the guarantee at 0.8.
-Around seeds that occur, item and passage are aligned word by word.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+A passage with at least ``similarity`` of an item's words in place lacks at most
+d = (1 - similarity) * words of them. Each of those spoils at most n of the item's n-grams,
+and each place where words are inserted at most n - 1, though it costs no item word. Which
+grams an edit spoils is not known beforehand, so every gram of an item is a seed: a copy is
+seen if n words of the item stand together anywhere in it. Of w - n + 1 grams one is sure
+to be intact while n * d plus (n - 1) times the places of insertion is less than that;
+with an insertion after every other word none of three words need be. Seeds of five words
+would all be spoilt by an edit in every fifth word. Around seeds that occur, item and
+passage are aligned word by word.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -85,11 +88,13 @@ def best_match(item: np.ndarray, text: np.ndarray, starts: np.ndarray, similarit
     """The best alignment near the places where seeds say that the item might start.
 
     Places that are close are aligned as one region, so each word of the text is aligned a
-    bounded number of times. Regions with too few of the item's words are left out: they
-    cannot reach the similarity.
+    bounded number of times. The best path gains two per word of the item and loses one per
+    inserted word, so it holds fewer than two inserted words per word of the item: regions
+    reach that far. Those with too few of the item's words are left out: they cannot reach
+    the similarity.
     """
     need = len(item) - edits(len(item), similarity)
-    slack = edits(len(item), similarity) + 2
+    slack = MATCH * len(item)
     starts = np.unique(starts)
     first = np.maximum(starts - slack, 0)
     last = np.minimum(starts + len(item) + slack, len(text))
@@ -98,7 +103,7 @@ def best_match(item: np.ndarray, text: np.ndarray, starts: np.ndarray, similarit
     for a, b in zip(begins, np.r_[begins[1:], len(starts)]):
         lo, hi = int(first[a]), int(last[a:b].max())
         region = text[lo:hi]
-        if np.count_nonzero(np.isin(region, item)) < need:
+        if np.count_nonzero(np.isin(region, item)) < need or np.count_nonzero(np.isin(item, region)) < need:
             continue
         score, equal, s, e = align(item, region)
         if equal >= need and (best is None or (equal, score) > best[:2]):
@@ -109,21 +114,6 @@ def best_match(item: np.ndarray, text: np.ndarray, starts: np.ndarray, similarit
 _SCHEMA = "k0 long, k1 long, no_id boolean, item long, similarity double, score int, start int, end int"
 
 
-def _gram_rows(n: int, keep: np.ndarray | None):
-    """(gram, n_docs): in how many of a frame's texts each gram is; all or those of ``keep``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = [np.zeros(0, np.int64)]
-            for text in frame["text"]:
-                g = np.unique(grams(word_hashes(text), n))
-                parts.append(g if keep is None else g[np.isin(g, keep, assume_unique=True)])
-            gram, many = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"gram": gram, "n_docs": many})
-
-    return run
-
-
 def _carried(items: dict[int, np.ndarray], seeds: pd.DataFrame, n: int, similarity: float):
     seeds = seeds.sort_values("gram", kind="stable")
     names, where = seeds["gram"].to_numpy(), (seeds["item"].to_numpy(), seeds["at"].to_numpy())
@@ -159,22 +149,9 @@ def _seeds(items: pd.DataFrame, n: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["item", "words", "gram", "at"]).astype({"item": "int64", "words": "int32", "gram": "int64", "at": "int32"})
 
 
-def _rarest(seeds: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
-    """Of each item the n * d + 1 rarest grams; ``seeds`` has n_docs."""
-    kept = []
-    for _, own in seeds.groupby("item"):
-        many = n * edits(int(own["words"].iloc[0]), similarity) + 1
-        kept.append(own.sort_values(["n_docs", "at"], kind="stable").head(many))
-    return pd.concat(kept) if kept else seeds
-
-
 def _find_carried(rows: DataFrame, items: pd.DataFrame, n: int, similarity: float) -> DataFrame:
-    seeds = _seeds(items, n)
-    counted = rows.mapInPandas(_gram_rows(n, np.unique(seeds["gram"].to_numpy())), "gram long, n_docs long").groupBy("gram").agg(F.sum("n_docs").alias("n_docs"))
-    # No more rows than the carried items have grams.
-    seeds = seeds.merge(pd.DataFrame(counted.collect(), columns=["gram", "n_docs"]).astype("int64"), "left").fillna({"n_docs": 0})
     hashes = {int(i): word_hashes(t) for i, t in zip(items["item"], items["text"])}
-    return rows.mapInPandas(_carried(hashes, _rarest(seeds, n, similarity), n, similarity), _SCHEMA)
+    return rows.mapInPandas(_carried(hashes, _seeds(items, n), n, similarity), _SCHEMA)
 
 
 def _find_joined(rows: DataFrame, items: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -197,11 +174,7 @@ def _find_joined(rows: DataFrame, items: DataFrame, n: int, similarity: float) -
 
     seeds = cut(items.mapInPandas(lambda it: (_seeds(f, n) for f in it), "item long, words int, gram long, at int"))
     hits = rows.mapInPandas(places, "gram long, k0 long, k1 long, at int").join(seeds.select("gram").distinct(), "gram")
-    often = hits.select("gram", "k0", "k1").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("n_docs", "at"))
-    allowed = n * F.floor(F.col("words") * F.lit(float(1 - Fraction(str(similarity)))) + 1e-9) + 1
-    rare = seeds.join(often, "gram", "left").fillna(0, ["n_docs"]).withColumn("r", rank).where(F.col("r") <= allowed)
-    starts = hits.join(rare.select("gram", "item", F.col("at").alias("item_at")), "gram")
+    starts = hits.join(seeds.select("gram", "item", F.col("at").alias("item_at")), "gram")
     pairs = starts.groupBy("k0", "k1", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("starts"))
     texts = packed_texts(rows, "no_id").dropDuplicates(["k0", "k1"])
     joined = pairs.join(items, "item").join(texts, ["k0", "k1"])

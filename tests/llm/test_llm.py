@@ -258,6 +258,39 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_inserted_and_deleted_words(spark):
+    """Inserted words spoil seeds without costing a word of the item."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{k}x{j}" for j in range(n))) for k, n in enumerate([14, 14, 20, 26, 33, 40])]
+    texts = []
+    for k, t in items:
+        w = t.split()
+        # The only copy of the first item: its spoilt seeds are the rarest of the corpus.
+        copies = [[x for j, y in enumerate(w) for x in (["new"] if j in (2, 4, 6, 8) else []) + [y]]]
+        for replaced, inserted, deleted in [(0.2, 0.1, 0), (0, 0.3, 0), (0, 0.1, 0.2), (0.1, 0.2, 0.1), (0.3, 0.1, 0)][: 5 * (k > 0)]:
+            places = rng.sample(range(len(w)), int(len(w) * (replaced + deleted)))
+            changed, gone = places[: int(len(w) * replaced)], places[int(len(w) * replaced) :]
+            v = ["changed" if j in changed else x for j, x in enumerate(w) if j not in gone]
+            for _ in range(int(len(w) * inserted)):
+                v.insert(rng.randrange(1, len(v)), "new")
+            copies.append(v)
+        texts += [" ".join([*(rng.choice(WORDS) for _ in range(30)), *v, *(rng.choice(WORDS) for _ in range(30))]) for v in copies]
+    want = set()
+    for i, t in enumerate(texts):
+        for k, it in items:
+            a, b = decontaminate.word_hashes(it), decontaminate.word_hashes(t)
+            if decontaminate.align(a, b)[1] >= len(a) - decontaminate.edits(len(a), 0.8):
+                want.add((i, k))
+    assert {(max(6 * k - 5, 0), k) for k, _ in items} < want and len(want) > 15
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for chars in (decontaminate.CARRIED_CHARS, 0):
+        got = decontaminate.find(df, bench, carried_chars=chars).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    a = decontaminate.word_hashes(items[0][1])
+    wide = decontaminate.word_hashes(" ".join(x + " new" * 3 * (j % 3 == 0) for j, x in enumerate(items[0][1].split())))
+    assert decontaminate.best_match(a, wide, np.array([1]), 0.8)[0] == decontaminate.align(a, wide)[1] == 12
+
+
 # --- op 5 and 6 ---
 
 

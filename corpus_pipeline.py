@@ -18,8 +18,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on ten sites or more go; ``n_chars`` follows the text."""
-    return line_dedup.without_boilerplate(docs, length_col="n_chars")
+    """Lines on ten sites or more, there in ten distinct texts or more, go; ``n_chars`` follows the text.
+
+    Copies of a text are left to the next stage, which keeps one of them with its text.
+    """
+    return line_dedup.without_boilerplate(docs, length_col="n_chars", min_texts=10)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

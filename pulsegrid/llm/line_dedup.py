@@ -3,6 +3,10 @@
 A line's spread is the number of distinct sites that have it. HyperLogLog sketches per line
 hash are merged by aggregation; lines whose estimate is near the threshold are counted
 exactly; lines that reach it are cut out of every document.
+
+With ``min_texts`` a line must also be in so many distinct texts on those sites, counted in
+the same way: all copies of a text are one piece of evidence, so a document that is copied
+to many sites keeps its lines. Near copies are distinct texts.
 """
 
 from __future__ import annotations
@@ -20,28 +24,36 @@ _BLANK = " \t\n\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(k0, k1, pos, h0, h1, site) of every line with a word; two hashes tell the trimmed line."""
+    """(k0, k1, pos, h0, h1, site, copy) of every line with a word; two hashes tell the trimmed line, ``copy`` the whole text."""
     k0, k1 = row_key(id_col, text_col)
-    rows = docs.select(k0.alias("k0"), k1.alias("k1"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")))
+    rows = docs.select(k0.alias("k0"), k1.alias("k1"), F.col(f"`{site_col}`").cast("string").alias("site"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")))
     line = F.btrim("col", F.lit(_BLANK))
-    return rows.where(line != "").select("k0", "k1", "pos", F.xxhash64(line).alias("h0"), F.hash(line, F.length(line)).alias("h1"), "site")
-
-
-def spread(lines: DataFrame) -> DataFrame:
-    """(h0, h1, sites): the estimated number of sites per line, from merged sketches."""
-    sketches = lines.where("site IS NOT NULL").groupBy("h0", "h1").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("s"))
-    return sketches.select("h0", "h1", F.hll_sketch_estimate("s").alias("sites"))
-
-
-def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(h0, h1) of the lines on ``min_sites`` sites or more."""
-    candidates = cut(spread(lines).where(F.col("sites") >= min_sites * (1 - NEAR)))
-    sure = candidates.where(F.col("sites") > min_sites * (1 + NEAR)).select("h0", "h1")
-    near = candidates.where(F.col("sites") <= min_sites * (1 + NEAR)).select("h0", "h1")
-    # Distinct before the join: a line that is everywhere comes once per site and task.
-    pairs = lines.where("site IS NOT NULL").select("h0", "h1", "site").distinct().join(near, ["h0", "h1"])
-    exact = pairs.groupBy("h0", "h1").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h0", "h1")
-    return sure.unionByName(exact)
+    return rows.where(line != "").select("k0", "k1", "pos", F.xxhash64(line).alias("h0"), F.hash(line, F.length(line)).alias("h1"), "site", "copy")
+
+
+def spread(lines: DataFrame, *of: str) -> DataFrame:
+    """(h0, h1, *of): the estimated number of sites, or of what ``of`` names, per line, from merged sketches."""
+    of = of or ("site",)
+    sketches = lines.where("site IS NOT NULL").groupBy("h0", "h1").agg(*[F.hll_sketch_agg(c, F.lit(LOG_REGISTERS)).alias(c) for c in of])
+    return sketches.select("h0", "h1", *[F.hll_sketch_estimate(c).alias(c) for c in of])
+
+
+def boilerplate(lines: DataFrame, min_sites: int, min_texts: int = 1) -> DataFrame:
+    """(h0, h1) of the lines on ``min_sites`` sites or more, there in ``min_texts`` distinct texts or more."""
+    least = {"site": min_sites} | ({"copy": min_texts} if min_texts > 1 else {})
+    candidates = spread(lines, *least)
+    for of, n in least.items():
+        candidates = candidates.where(F.col(of) >= n * (1 - NEAR))
+    candidates, found = cut(candidates), None
+    for of, n in least.items():
+        sure = candidates.where(F.col(of) > n * (1 + NEAR)).select("h0", "h1")
+        near = candidates.where(F.col(of) <= n * (1 + NEAR)).select("h0", "h1")
+        # Distinct before the join: a line that is everywhere comes once per site and task.
+        pairs = lines.where("site IS NOT NULL").select("h0", "h1", of).distinct().join(near, ["h0", "h1"])
+        exact = pairs.groupBy("h0", "h1").agg(F.count(of).alias("n")).where(F.col("n") >= n).select("h0", "h1")
+        reached = sure.unionByName(exact)
+        found = found.join(reached, ["h0", "h1"]) if found else reached
+    return found
 
 
 def _without(lines, places):
@@ -52,19 +64,20 @@ def _without(lines, places):
 
 
 def clean(
-    docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+    docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_texts: int = 1
 ) -> DataFrame:
     """(row, kept, n_lines, n_removed): each input row as a struct beside its text without boilerplate lines.
 
     ``n_lines`` counts lines with a word.
 
+    * with ``min_texts``, lines of fewer distinct texts than that stay, on however many sites
     * lines are compared without the white space around them; blank lines always stay
     * a null site is no site; rows with null text have no lines and keep null
     * null ids and repeated rows: each row is cleaned for itself
     * an empty table: no rows; the other columns, whatever their names, travel in ``row``
     """
     lines = _lines(docs, id_col, text_col, site_col)
-    found = lines.join(boilerplate(lines, min_sites), ["h0", "h1"])
+    found = lines.join(boilerplate(lines, min_sites, min_texts), ["h0", "h1"])
     places = found.groupBy("k0", "k1").agg(F.sort_array(F.collect_set("pos")).alias("__places"))
     both = beside(docs, places.withColumnsRenamed({"k0": "__k0", "k1": "__k1"}), id_col, text_col)
     text = F.col("row").getField(text_col)
@@ -86,9 +99,10 @@ def summary(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_c
 
 
 def without_boilerplate(
-    docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", length_col: str | None = None
-) -> DataFrame:
+    docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", length_col: str | None = None,
+    min_texts: int = 1,
+) -> DataFrame:
     """The documents with their own columns; the text, and its length in characters if named, are those of what is kept."""
-    found = clean(docs, min_sites, id_col, text_col, site_col)
+    found = clean(docs, min_sites, id_col, text_col, site_col, min_texts)
     new = {text_col: F.col("kept")} | ({length_col: F.length("kept").cast(docs.schema[length_col].dataType)} if length_col else {})
     return found.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

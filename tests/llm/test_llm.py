@@ -225,6 +225,24 @@ def test_line_dedup(spark, empty):
     assert line_dedup.summary(empty).count() == 0
 
 
+def test_copied_document_keeps_its_lines(spark):
+    """Copies of one text are no evidence that its lines are boilerplate."""
+    import corpus_pipeline
+
+    text = "\n".join(prose(700 + k, 12) for k in range(6))
+    rows = [(k, text, f"s{k}") for k in range(14)]
+    rows += [(100 + k, f"{prose(800 + k, 60)}\n footer ", f"s{k % 12}") for k in range(24)]
+    rows += [(200 + k, f"{prose(900 + k % 9, 60)}\nnine texts", f"s{k}") for k in range(18)]
+    rows += [(300 + k, f"{prose(950 + k, 60)}\nno site", None) for k in range(12)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: t.replace("\n footer ", "") for i, t, _ in rows}
+    cleaned = corpus_pipeline.line_stage(spark, df, "")
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in cleaned.collect())
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copy_stage(spark, cleaned, "").collect()}
+    assert kept[0] == text and not any(k in kept for k in range(1, 14))
+
+
 # --- op 2 ---
 
 

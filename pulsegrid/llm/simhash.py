@@ -6,6 +6,9 @@ posting list of a single byte would hold a 256th of all fingerprints, so the ind
 posting for every choice of five positions and the bytes there: the lists that reach the
 minimum by construction. Within a list the shared bytes of each pair are tallied and the
 bits are verified; what leaves a list is a forest over its linked members, not its pairs.
+
+Few pairs of five-word similarity 0.8 are within three bits; ``keep_one`` with a similarity
+adds the links of the wide setting (``shingle_links``).
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from pulsegrid.llm import shingle_links
 from pulsegrid.llm.components import components
 from pulsegrid.llm.shared import LAST, cut, keyed, semi
 
 BYTES = 8
 #: Lists above this size are probed by bit flips instead of compared pair by pair.
 PAIRWISE = 2_048
+#: Words per shingle where a similarity is asked for.
+SIMILAR_WORDS = 5
 _HASH = partial(xxh64_intdigest, seed=42)
 
 
@@ -156,12 +162,16 @@ def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
     return lists.mapInPandas(_links(masks, bits), "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int, words_per_shingle: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int, words_per_shingle: int, similarity: float | None = None) -> DataFrame:
     """(id, k1, fp, least, n_fingerprints): ``least`` tells the first row of the component."""
     made = cut(fingerprints(docs, id_col, text_col, words_per_shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1"))
     fps = made.groupBy("fp").agg(first.alias("least"))
-    roots = components(link_fingerprints(fps.select("fp"), bits))
+    edges = link_fingerprints(fps.select("fp"), bits)
+    if similarity is not None:
+        name = partial(fingerprint, words_per_shingle=words_per_shingle)
+        edges = edges.unionByName(shingle_links.links(docs, id_col, text_col, similarity, SIMILAR_WORDS, name))
+    roots = components(edges)
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n_fingerprints"))
     known = rooted.drop("least").join(least, "root").select("fp", "least", "n_fingerprints")
@@ -190,14 +200,18 @@ def classes(
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, words_per_shingle: int = 3
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, words_per_shingle: int = 3,
+    similarity: float | None = None,
+) -> DataFrame:
     """The documents without near copies: of each component the row of the least id stays.
 
+    With ``similarity``, texts whose sets of five-word shingles have that Jaccard similarity
+    or more are linked as well as those within ``bits``.
+
     Rows with equal ids and texts count as one document and stay or go together. Of a
     component of null ids alone, the rows of one text stay.
     """
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1")
-    stay = _classes(docs, id_col, text_col, bits, words_per_shingle).where(here == F.col("least"))
+    stay = _classes(docs, id_col, text_col, bits, words_per_shingle, similarity).where(here == F.col("least"))
     stay = stay.select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("__k0"), F.col("k1").alias("__k1")).distinct()
     return semi(docs, stay, id_col, text_col)

@@ -154,6 +154,42 @@ def test_simhash(docs, empty):
     assert {r["doc_id"] for r in kept.collect()} == set(least.values())
 
 
+def test_near_copies_by_shingles(spark):
+    """The stage against brute-force Jaccard of five-word shingles and three bits."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(21), ["", " \n", "one two", "One  two", "three four"]
+    for k in range(24):
+        w = prose(400 + k, rng.randrange(50, 260)).split()
+        texts.append(" ".join(w))
+        for edits in (1, 2, 4, 7, 12):
+            v = list(w)
+            for p in rng.sample(range(len(v)), edits):
+                v[p] = rng.choice([v[p] + "q", "new " + v[p], ""])
+            texts.append(" ".join(" ".join(v).split()))
+    passage = prose(390, 60)
+    texts += [prose(500 + k, 60) + " " + passage for k in range(30)]
+    base = prose(391, 300).split()  # a chain: each close to the next only
+    texts += [" ".join(base[k * 20 : k * 20 + 180]) for k in range(6)]
+    rng.shuffle(texts)
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, fps, root, close, narrow = [grams(t) for t in texts], [slow_fingerprint(t) for t in texts], list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            similar = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            within = (fps[i] ^ fps[j]).bit_count() <= 3
+            close, narrow = close + similar, narrow + (similar and within)
+            if (similar or within) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert close > 2 * narrow
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    assert {r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()} == set(root)
+
+
 def test_links_of_large_lists(spark, monkeypatch):
     """Flips instead of pairs must give the same closure."""
     rng = np.random.default_rng(1)

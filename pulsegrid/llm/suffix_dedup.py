@@ -55,67 +55,78 @@ def _stretches(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _skip_equal(places: np.ndarray, group: np.ndarray, at: np.ndarray, stretches: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Where each group goes on being sorted: stretches that all its members share are passed over."""
-    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[begins, len(group)])
-    for size, h in stretches:
-        own = h[np.minimum(places + at, len(h) - 1)]
-        differs = np.r_[False, own[1:] != own[:-1]]
-        differs[begins] = False
-        at = at + np.repeat(np.where(np.logical_or.reduceat(differs, begins), 0, size), sizes)
-    return at
-
-
-def two_stage_sort(t: np.ndarray, depth: int) -> np.ndarray:
+def _sort_directly(places: np.ndarray, depth: int, words: np.ndarray, stretches: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The places in the order of the ``depth`` bytes from each on.
+
+    Eight bytes are sorted at first; then, within each group that is still equal, stretches
+    that all members share are passed over and the next bytes sorted beside the group's number.
+    """
+    last = len(words) - 1
+    out = places[np.argsort(words[places])]
+    slots, places, own = np.arange(len(out)), out, words[out]
+    new = np.r_[True, own[1:] != own[:-1]][: len(out)]
+    at = np.full(np.count_nonzero(new), 8)
+    while True:
+        sizes = np.diff(np.r_[np.flatnonzero(new), len(places)])
+        tied = (sizes > 1) & (at < depth)
+        if not tied.any():
+            return out
+        members = np.repeat(tied, sizes)
+        slots, places, sizes, at = slots[members], places[members], sizes[tied], at[tied]
+        begins, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        for size, h in stretches:
+            own = h[np.minimum(places + at[group], last)]
+            at += np.where(np.logical_or.reduceat(own != own[begins][group], begins), 0, size)
+        take = min(7, (64 - len(sizes).bit_length()) // 8)
+        key = words[np.minimum(places + at[group], last)] >> np.uint64(64 - 8 * take)
+        key |= group.astype(np.uint64) << np.uint64(8 * take)
+        order = np.argsort(key)
+        key, places = key[order], places[order]
+        out[slots] = places
+        new = np.r_[True, key[1:] != key[:-1]]
+        at = at[group[new]] + take
+
+
+def two_stage_sort(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffix array of bytes ``t`` (its last byte, 0, is the unique least), by the first ``depth`` bytes.
 
-    Places whose suffix is smaller than the next one's are sorted directly, eight bytes at a
-    time among those still equal; bytes that all members of such a group share are passed
-    over by hash. Scanning the buckets of first bytes upwards, each place in
-    order puts its predecessor, if that is larger than it, at the next free slot of the
-    predecessor's bucket.
+    Places whose suffix is smaller than the next one's are sorted directly. Scanning the
+    buckets of first bytes upwards, each place in order puts its predecessor, if that is
+    larger than it, at the next free slot of the predecessor's bucket. With the mask
+    ``wanted`` the array is sparse: it holds these places, and those after a larger one up
+    to the next smaller one, from which its order is induced.
     """
     n = len(t)
     nxt = np.append(t[1:], 0)
     # Where two neighbours are equal, the next unequal pair decides.
     where = np.minimum.accumulate(np.where(t != nxt, np.arange(n), n - 1)[::-1])[::-1]
     smaller = t[where] < nxt[where]
+    if wanted is None:
+        held = np.ones(n, bool)
+    else:
+        # Runs of larger places end at a smaller one: a run is held from its first wanted place on.
+        run = np.cumsum(np.r_[True, smaller[:-1]]) - 1
+        first = np.full(int(run[-1]) + 1, n)
+        np.minimum.at(first, run[wanted], np.flatnonzero(wanted))
+        held = np.arange(n) >= first[run]
+        held[n - 1] = True
     words = _words(t)
-    stretches = _stretches(words)
-    direct = np.flatnonzero(smaller)
-    direct = direct[np.argsort(words[direct], kind="stable")]
-    slots, places = np.arange(len(direct)), direct
-    at = np.full(len(direct), 8)
-    group = np.cumsum(np.r_[True, words[direct][1:] != words[direct][:-1]]) if len(direct) else direct
-    while len(places):
-        differs = group[1:] != group[:-1]
-        tied = ~(np.r_[True, differs] & np.r_[differs, True])
-        slots, places, group, at = slots[tied], places[tied], group[tied], at[tied]
-        if not len(places):
-            break
-        at = _skip_equal(places, group, at, stretches)
-        left = at < depth
-        slots, places, group, at = slots[left], places[left], group[left], at[left]
-        word = words[np.minimum(places + at, n - 1)]
-        order = np.lexsort((word, group))
-        places, word, at = places[order], word[order], at + 8  # equal within a group
-        direct[slots] = places
-        # Groups keep their order and fall apart where the new bytes differ.
-        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])]) if len(places) else places
-    counts = np.bincount(t, minlength=256)
+    direct = _sort_directly(np.flatnonzero(smaller & held), depth, words, _stretches(words))
+    counts = np.bincount(t[held], minlength=256)
     ends = np.cumsum(counts)
     free = ends - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(int(ends[-1]), -1, np.int64)
     firsts = t[direct]
     per = np.bincount(firsts, minlength=256)
     begins = np.cumsum(per) - per
     sa[(ends - per)[firsts] + np.arange(len(direct)) - begins[firsts]] = direct
     sa[0], free[0] = n - 1, max(free[0], 0) + 1  # the end of the text
+    induced = held & ~smaller
+    induced[n - 1] = False
 
     def induce(places: np.ndarray) -> None:
         before = places[places > 0] - 1
-        before = before[~smaller[before] & (before != n - 1)]
+        before = before[induced[before]]
         chars = t[before]
         order = np.argsort(chars, kind="stable")
         before, chars = before[order], chars[order]
@@ -162,7 +173,7 @@ def _sort_blocks(length: int):
         np.add.at(is_start, starts, 1)
         np.add.at(is_start, starts + windows, -1)
         is_start = np.cumsum(is_start)[:-1] > 0
-        sa = two_stage_sort(t, length)
+        sa = two_stage_sort(t, length, is_start)
         sa = sa[is_start[sa]]
         same = common_prefixes(t, sa, length)
         hit = np.zeros(len(t), bool)
@@ -170,8 +181,8 @@ def _sort_blocks(length: int):
         hit[sa[1:][same]] = True
         out = []
         for (key, dig, c, _), s, w in zip(rows, starts, windows):
-            bits = np.ones(w, bool) if c > 1 else hit[s : s + w]  # a block that occurs again repeats as a whole
-            if bits.any():
+            bits = hit[s : s + w]
+            if c == 1 and bits.any():  # a block that occurs again repeats as a whole
                 out.append((key, dig, np.packbits(bits).tobytes()))
         return pd.DataFrame(out, columns=["key", "dig", "bits"])
 
@@ -214,7 +225,8 @@ def _remove(length: int, with_text: bool):
                 if found is not None:
                     hit = np.zeros(len(raw), np.uint8)  # a document's blocks have no window in common
                     for b in found:
-                        hit[b["lo"] : b["lo"] + b["n"]] = np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"])
+                        bits = b["bits"]
+                        hit[b["lo"] : b["lo"] + b["n"]] = 1 if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=b["n"])
                     so_far = np.cumsum(hit, dtype=np.int64)
                     so_far[length:] -= so_far[:-length].copy()
                     gone = so_far > 0  # a window starts here or less than its length before
@@ -243,16 +255,19 @@ def remove_repeats(
     spec = Windows(length, 16, _bytes)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, id_col, text_col)
-    blocks = cut(repeated(distinct_blocks(combined_blocks(rows, spec)), False).select("key", "dig", "rep", "c"))
+    blocks = cut(repeated(distinct_blocks(combined_blocks(rows, spec)), False).select("key", "dig", "rep", "c", "nb"))
+    # A block that occurs again repeats as a whole; the sort finds what different blocks of one anchor share.
+    whole = blocks.where("c > 1").select("key", "dig", F.lit(None).cast("binary").alias("bits"))
     texts = packed_texts(rows)  # by document twice below, in the same columns: shuffled once
-    wanted = blocks.groupBy("rep.k0", "rep.k1").agg(F.collect_list(F.struct("key", "dig", "c", "rep.lo", "rep.n")).alias("blocks"))
+    differ = blocks.where("nb > 1")
+    wanted = differ.groupBy("rep.k0", "rep.k1").agg(F.collect_list(F.struct("key", "dig", "c", "rep.lo", "rep.n")).alias("blocks"))
     cut_out = texts.join(wanted, ["k0", "k1"]).select("z", "blocks").mapInPandas(_cut_out(length), "key long, dig long, c long, block binary")
     solved = (
         cut_out.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_sort_blocks(length), "key long, dig long, bits binary")
-    )
+    ).unionByName(whole)
     found = occurrences(rows, spec).join(solved, ["key", "dig"])
     by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct("lo", "n", "bits")).alias("found"))
     made = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    whole = texts.join(by_doc, ["k0", "k1"], "left")
-    out = whole.select(F.col("k0").alias("id"), (F.col("k0") == LAST).alias("null"), "z", "found").mapInPandas(_remove(length, with_text), made)
+    beside = texts.join(by_doc, ["k0", "k1"], "left")
+    out = beside.select(F.col("k0").alias("id"), (F.col("k0") == LAST).alias("null"), "z", "found").mapInPandas(_remove(length, with_text), made)
     return out.withColumnRenamed("id", id_col)

@@ -89,6 +89,9 @@ def test_two_stage_sort_is_the_suffix_array(seed):
     raw = t.tobytes()
     want = sorted(range(len(raw)), key=lambda i: raw[i:])
     assert suffix_dedup.two_stage_sort(t, 1000).tolist() == want
+    wanted = rng.random(len(t)) < 0.2
+    sparse = suffix_dedup.two_stage_sort(t, 1000, wanted)
+    assert sparse[wanted[sparse]].tolist() == [i for i in want if wanted[i]]
 
 
 def test_substring_dedup(docs, empty):

@@ -2,10 +2,12 @@
 
 Fingerprints that differ in at most three bits differ in at most three of their eight
 bytes, so a linked pair shares at least five positional bytes: the guaranteed minimum. A
-posting list of a single byte would hold a 256th of all fingerprints, so the index keeps a
-posting for every choice of five positions and the bytes there: the lists that reach the
-minimum by construction. Within a list the shared bytes of each pair are tallied and the
-bits are verified; what leaves a list is a forest over its linked members, not its pairs.
+posting list of a single byte would hold a 256th of all fingerprints, and its pairs grow
+with the square; so a posting stands for three positions and their bytes. Of five shared
+positions three lie in one half of the eight: the four threes of either half, eight
+postings a fingerprint, are enough to bring every such pair together. Within a list the
+shared positional bytes of each pair are tallied, pairs that reach five are verified bit by
+bit, and what leaves a list is a forest over its linked members, not its pairs.
 
 Few pairs of five-word similarity 0.8 are within three bits; ``keep_one`` with a similarity
 adds the links of the wide setting (``shingle_links``).
@@ -28,8 +30,10 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.shared import LAST, cut, keyed, semi
 
 BYTES = 8
-#: Lists above this size are probed by bit flips instead of compared pair by pair.
+#: Lists above this size are split by two more positions, and probed by bit flips if that leaves them so long.
 PAIRWISE = 2_048
+#: Rows of small lists that are compared side by side.
+SIDE_BY_SIDE = 16
 #: Words per shingle where a similarity is asked for.
 SIMILAR_WORDS = 5
 _HASH = partial(xxh64_intdigest, seed=42)
@@ -84,27 +88,70 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _list_links(fps: np.ndarray, free: np.uint64, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked pairs within one list of sorted distinct fingerprints."""
-    n, left, right = len(fps), [], []
-    if n <= PAIRWISE:
-        for s in range(1, n):
-            i = np.flatnonzero(_close(fps[:-s], fps[s:], bits))
-            left.append(i)
-            right.append(i + s)
+def _choices(bits: int) -> list[tuple[int, ...]]:
+    """Positions of a posting: any set of as many positions as a linked pair shares holds one of the choices."""
+    half, shared = BYTES // 2, BYTES - bits
+    take = -(-shared // 2)
+    return [tuple(i + at for i in c) for at in (0, half) for c in combinations(range(half), take)]
+
+
+def _mask(positions: tuple[int, ...]) -> int:
+    return sum(0xFF << 8 * i for i in positions)
+
+
+def _joined(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a short list that connect what is linked: a member once linked isn't compared with its class again."""
+    left, pairs = np.arange(len(fps)), []
+    while len(left):
+        waiting, left = [int(left[0])], left[1:]
+        while waiting and len(left):
+            i = waiting.pop()
+            hit = _close(fps[left], fps[i], bits)
+            found = left[hit]
+            if len(found):
+                pairs.append((np.full(len(found), i), found))
+                waiting += found.tolist()
+                left = left[~hit]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate([*none, *(a for a, _ in pairs)]), np.concatenate([*none, *(b for _, b in pairs)])
+
+
+def _list_links(fps: np.ndarray, shared: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked pairs, as far as they connect, within one list of distinct fingerprints that agree at ``shared``."""
+    if len(fps) <= PAIRWISE:
+        return _joined(fps, bits)
+    more, others = BYTES - bits - len(shared), [i for i in range(BYTES) if i not in shared]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if more > 0:
+        for chosen in combinations(others, more):
+            key = fps & np.uint64(_mask(chosen))
+            order = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            for s, e in zip(begins, np.r_[begins[1:], len(fps)]):
+                if e - s > 1:
+                    own = order[s:e]
+                    a, b = _list_links(fps[own], (*shared, *chosen), bits)
+                    left.append(own[a])
+                    right.append(own[b])
     else:
-        flips = [np.uint64(1 << i) for i in range(64) if int(free) >> i & 1]
+        order = np.argsort(fps)
+        ranked, n = fps[order], len(fps)
+        root = np.arange(n)
+        flips = [np.uint64(1 << 8 * i + b) for i in others for b in range(8)]
         for k in range(1, bits + 1):
             for chosen in combinations(flips, k):
-                other = fps ^ np.bitwise_or.reduce(chosen)
-                at = np.minimum(np.searchsorted(fps, other), n - 1)
-                i = np.flatnonzero((fps[at] == other) & (at > np.arange(n)))
-                left.append(i)
-                right.append(at[i])
+                other = ranked ^ np.bitwise_or.reduce(chosen)
+                at = np.minimum(np.searchsorted(ranked, other), n - 1)
+                i = np.flatnonzero((ranked[at] == other) & (root[at] != root))
+                if len(i):  # a forest is kept instead of the pairs
+                    root = _forest(n, np.r_[i, np.arange(n)], np.r_[at[i], root])
+        i = np.flatnonzero(root != np.arange(n))
+        left.append(order[i])
+        right.append(order[root[i]])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _links(masks: list[int], bits: int):
+def _links(choices: list[tuple[int, ...]], bits: int):
     """From rows (m, key, fp), those of a list together, to forest edges (a, b)."""
 
     def edges(m: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
@@ -112,16 +159,16 @@ def _links(masks: list[int], bits: int):
         sizes = np.diff(np.r_[begins, len(fp)])
         group = np.repeat(np.arange(len(begins)), sizes)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in range(1, 16):  # small lists side by side
-            i = np.flatnonzero((group[:-s] == group[s:]) & (sizes[group[:-s]] <= 16)) if len(fp) > s else left[0]
+        for s in range(1, SIDE_BY_SIDE):
+            i = np.flatnonzero((group[:-s] == group[s:]) & (sizes[group[:-s]] <= SIDE_BY_SIDE)) if len(fp) > s else left[0]
             if not len(i):
                 break
             i = i[_close(fp[i], fp[i + s], bits)]
             left.append(i)
             right.append(i + s)
-        for g in np.flatnonzero(sizes > 16):
+        for g in np.flatnonzero(sizes > SIDE_BY_SIDE):
             at = begins[g]
-            a, b = _list_links(fp[at : at + sizes[g]], np.uint64(~masks[m[at]] & (1 << 64) - 1), bits)
+            a, b = _list_links(fp[at : at + sizes[g]], choices[m[at]], bits)
             left.append(a + at)
             right.append(b + at)
         root = _forest(len(fp), np.concatenate(left), np.concatenate(right))
@@ -146,20 +193,19 @@ def _links(masks: list[int], bits: int):
 
 
 def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """Edges (a, b) whose closure links all pairs of distinct ``fp`` within ``bits`` bits.
+    """Edges (a, b) whose closure links all pairs of distinct ``fp`` within ``bits`` bits (at most four).
 
     Any fingerprint has the same number of postings, so rows grow with the fingerprints.
-    A list holds distinct values that agree in 40 bits: copies of a text are one value. It
-    is read in sorted order and worked on in memory that grows with its length only.
+    A list holds distinct values: copies of a text are one value. It is worked on in
+    memory that grows with its length only.
     """
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = [sum(0xFF << 8 * i for i in chosen) for chosen in combinations(range(BYTES), BYTES - bits)]
-    signed = [m - (1 << 64) * (m >> 63) for m in masks]
-    postings = fps.select(
+    n, choices = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), _choices(bits)
+    signed = [m - (1 << 64) * (m >> 63) for m in map(_mask, choices)]
+    postings = fps.repartition(n, "fp").select(
         "fp", F.inline(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
     )
-    lists = postings.repartition(n, "m", "key").sortWithinPartitions("m", "key", "fp")
-    return lists.mapInPandas(_links(masks, bits), "a long, b long").distinct()
+    lists = postings.repartition(n, "m", "key").sortWithinPartitions("m", "key")
+    return lists.mapInPandas(_links(choices, bits), "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int, words_per_shingle: int, similarity: float | None = None) -> DataFrame:
@@ -187,6 +233,7 @@ def classes(
     included; ``n_fingerprints`` counts the distinct fingerprints of the component.
 
     * null, empty or wordless texts have fingerprint zero and are linked like any other
+    * very long texts are read whole, in bounded parts; ids are numbers below 2**63 - 1
     * null ids are kept but name no component unless all ids of it are null
     * repeated rows: a result row each, in one component; an empty table: no rows
     * other columns are not read
@@ -209,7 +256,9 @@ def keep_one(
     or more are linked as well as those within ``bits``.
 
     Rows with equal ids and texts count as one document and stay or go together. Of a
-    component of null ids alone, the rows of one text stay.
+    component of null ids alone, the rows of one text stay. Null and empty texts are like any
+    other, very long ones are read whole; all columns travel along, whatever their names; an
+    empty table: no rows.
     """
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1")
     stay = _classes(docs, id_col, text_col, bits, words_per_shingle, similarity).where(here == F.col("least"))

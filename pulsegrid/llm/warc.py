@@ -69,18 +69,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: str
 
 
 def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, unpacked one after the other from pieces of it."""
-    unpacker, out, data = zlib.decompressobj(31), [], stream.read(READ_BYTES)
+    """The gzip members of a stream, unpacked one after the other from pieces of it.
+
+    A stream that ends anywhere but between two members raises.
+    """
+    data = stream.read(READ_BYTES)
     while data:
-        out.append(unpacker.decompress(data))
-        if unpacker.eof:
-            yield b"".join(out)
-            data, unpacker, out = unpacker.unused_data, zlib.decompressobj(31), []
-            data = data or stream.read(READ_BYTES)
-        else:
-            data = stream.read(READ_BYTES)
-    if any(out):
-        raise ValueError("the archive ends within a record")
+        unpacker, out = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if not data:
+                raise ValueError("the archive ends within a record")
+            out.append(unpacker.decompress(data))
+            data = unpacker.unused_data or stream.read(READ_BYTES)
+        yield b"".join(out)
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -171,12 +172,12 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row per record of the archives whose paths the manifest names, every digest verified."""
+    """A row per record of the archives that the manifest names, every digest and each archive's number of records verified."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path in frame["path"]:
-                rows, size = [], 0
+            for path, n_records in zip(frame["path"], frame["n_records"]):
+                rows, size, n = [], 0, 0
                 with _open(path, "r") as stream:
                     for member in members(stream):
                         fields, http, payload = parse(member)
@@ -186,10 +187,13 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                             fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], page_of(refers) if refers else None,
                         )
                         rows.append((*row, payload) if with_payload else row)
+                        n += 1
                         size += len(payload) if with_payload else 200
                         if size > 8 << 20:
                             yield table(rows)
                             rows, size = [], 0
+                if n != n_records:
+                    raise ValueError(f"{path} holds {n} records and should hold {n_records}")
                 yield table(rows)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 7 if with_payload else 6]
@@ -198,7 +202,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("path").mapInPandas(run, schema + ", payload binary" * with_payload)
+    return manifest.select("path", "n_records").mapInPandas(run, schema + ", payload binary" * with_payload)
 
 
 def round_trip(
@@ -211,6 +215,7 @@ def round_trip(
     * null id: a record with a marked id, never the response of a page that has an id; if all
       pages of a payload have null ids, all are responses
     * repeated rows: each has its record; with equal largest ids all of them are responses
+    * very long payloads are written and read whole, one record at a time; ids are numbers
     * an empty table: no archive and no rows; other columns are not read
     """
     folder = folder or fresh_dir(pages.sparkSession, "warc")

@@ -201,14 +201,27 @@ def test_links_of_large_lists(spark, monkeypatch):
     want = len(set(closure(fps)))
     for most in (16, 5000):
         monkeypatch.setattr(simhash, "PAIRWISE", most)
-        edges = simhash._list_links(np.array(fps, np.uint64), np.uint64((1 << 24) - 1), 3)
-        assert len(set(simhash._forest(len(fps), *edges).tolist())) == want
+        for shared in ((3, 4, 5), (3, 4, 5, 6, 7)):
+            edges = simhash._list_links(np.array(fps, np.uint64), shared, 3)
+            assert len(set(simhash._forest(len(fps), *edges).tolist())) == want
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     linked = components.components(simhash.link_fingerprints(df))
     roots = {r["node"]: r["root"] for r in linked.collect()}
     assert len({roots.get(f, f) for f in fps}) == want
 
 
+def test_postings_bring_all_close_pairs_together():
+    """Five shared positions of eight always hold a posting's three; fewer may not reach the minimum."""
+    from itertools import combinations
+
+    choices = simhash._choices(3)
+    assert len(choices) == 8 and all(any(set(c) <= set(five) for c in choices) for five in combinations(range(8), 5))
+    a = np.array([0x0101010101010101] * 2, np.uint64)
+    b = np.array([0x0101010101020202, 0x0101010102020202], np.uint64)
+    assert simhash._close(a, b, 3).tolist() == [False, False]  # six bits in three bytes; four shared bytes
+    assert simhash._close(a[:1], a[:1] ^ np.uint64(0x010101), 3).tolist() == [True]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -422,8 +435,30 @@ def test_damaged_records_are_noticed():
     import io
 
     assert len(list(warc.members(io.BytesIO(whole * 3)))) == 3
-    with pytest.raises(ValueError):
-        list(warc.members(io.BytesIO(whole + whole[:-9])))
+    second = warc.record(8, None, b"another payload", None)
+    for cut_at in range(len(whole) + len(second) + 1):
+        archive = io.BytesIO((whole + second)[:cut_at])
+        if cut_at in (0, len(whole), len(whole) + len(second)):
+            assert len(list(warc.members(archive))) == (cut_at > 0) + (cut_at > len(whole))
+        else:
+            with pytest.raises(ValueError):
+                list(warc.members(archive))
+
+
+def test_archives_roll_over_and_lost_records_are_noticed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000)
+    monkeypatch.setattr(warc, "READ_BYTES", 7)
+    df = spark.createDataFrame([(k, f"http://a/{k}", prose(k, 40)) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    records = warc.plan_records(df, "page_id", "url", "html", 0)
+    manifest = warc.write_archives(records, str(tmp_path / "a"))
+    assert manifest.count() > 4 and warc.read_archives(manifest).count() == 40
+    path = manifest.first()["path"]
+    data = open(path, "rb").read()
+    first = zlib.decompressobj(31)
+    first.decompress(data)
+    open(path, "wb").write(first.unused_data)  # whole members, one fewer
+    with pytest.raises(Exception, match="should hold"):
+        warc.read_archives(manifest).count()
 
 
 # --- op 8 ---

@@ -21,6 +21,8 @@ from xxhash import xxh3_64_intdigest
 
 #: Items that are worked on at once; their places must fit in 24 bits.
 BATCH = 1 << 21
+#: Different blocks of one key above which each is parted by further anchors.
+HOT = 500
 _RANDOM = np.random.default_rng(20_240_101).integers(1, 1 << 63, 8, np.uint64) | np.uint64(1)
 
 
@@ -67,6 +69,29 @@ def find_blocks(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return g[anchor[begins]], begins, np.r_[begins[1:], len(anchor)] - 1
 
 
+_ORDERS = np.random.default_rng(20_240_102).integers(1, 1 << 63, 4, np.uint64) | np.uint64(1)
+
+
+def part_block(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first window, last window) of the parts of a block whose windows agree in four more anchors.
+
+    A gram that is everywhere gathers blocks that have little else in common. The least
+    grams under other orders tell them apart: equal windows still meet under one name.
+    """
+    g = _grams(h, gram)
+    n, low = len(h) - length + 1, np.uint64((1 << 24) - 1)
+    name, new = np.zeros(n, np.uint64), np.zeros(n, bool)
+    new[0] = True
+    for order in _ORDERS:
+        mixed = g * order
+        packed = ((mixed ^ (mixed >> np.uint64(31))) * _RANDOM[0] & ~low) | np.arange(len(g), dtype=np.uint64)
+        anchor = (_sliding_min(packed, length - gram + 1) & low).astype(np.int64)
+        new[1:] |= anchor[1:] != anchor[:-1]
+        name = (name ^ (name >> np.uint64(29))) * _RANDOM[1] + g[anchor]
+    begins = np.flatnonzero(new)
+    return name[begins].view(np.int64), begins, np.r_[begins[1:], n] - 1
+
+
 def _combine(key: np.ndarray, dig: np.ndarray, k0: np.ndarray, k1: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     """One row per (key, dig) of the frame: how many there are, the first and last document."""
     order = np.lexsort((lo, k1, k0, dig, key))

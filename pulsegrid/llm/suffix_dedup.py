@@ -1,7 +1,8 @@
 """Exact substring dedup with suffix arrays by two-stage sorting.
 
 Anchored blocks (see ``anchors``) bring together every two places where one string of 200
-bytes could start twice. A task lays the blocks of its keys end to end and sorts their
+bytes could start twice. Blocks whose 128 bits of anchor and digest are equal repeat as a
+whole; what blocks of one anchor share that differ is found by sorting. A task lays the blocks of its keys end to end and sorts their
 suffixes in two stages: suffixes smaller than their successors are sorted directly, the
 others are induced by scans over the buckets of first bytes. Common prefixes of neighbours
 of the array then tell which strings repeat.
@@ -17,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.anchors import Windows, combined_blocks, distinct_blocks, occurrences, packed_texts, repeated, unpack_text
+from pulsegrid.llm.anchors import HOT, Windows, combined_blocks, distinct_blocks, occurrences, packed_texts, part_block, repeated, unpack_text
 from pulsegrid.llm.shared import LAST, cut, keyed
 
-#: Bytes of blocks that are sorted together; a key's blocks are never parted.
+#: Bytes of blocks that are sorted together; blocks of one key and part stay together.
 SORT_BYTES = 1 << 18
 
 
@@ -160,10 +161,10 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
 
 
 def _sort_blocks(length: int):
-    """From rows (key, dig, c, block), those of a key together, to (key, dig, bits)."""
+    """From rows (key, part, dig, c, at, block), those of a key and part together, to (key, dig, at, n, bits)."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        blocks = [r[3] for r in rows]
+        blocks = [r[5] for r in rows]
         sizes = np.array([len(b) for b in blocks])
         # Blocks are told apart by place: a window never runs into the next block.
         t = np.frombuffer(b"".join([*blocks, b"\0"]), np.uint8)
@@ -180,37 +181,44 @@ def _sort_blocks(length: int):
         hit[sa[:-1][same]] = True
         hit[sa[1:][same]] = True
         out = []
-        for (key, dig, c, _), s, w in zip(rows, starts, windows):
+        for (key, _, dig, c, at, _), s, w in zip(rows, starts, windows):
             bits = hit[s : s + w]
             if c == 1 and bits.any():  # a block that occurs again repeats as a whole
-                out.append((key, dig, np.packbits(bits).tobytes()))
-        return pd.DataFrame(out, columns=["key", "dig", "bits"])
+                out.append((key, dig, at, w, np.packbits(bits).tobytes()))
+        return pd.DataFrame(out, columns=["key", "dig", "at", "n", "bits"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for frame in frames:
             for row in frame.itertuples(index=False, name=None):
-                if size >= SORT_BYTES and row[0] != rows[-1][0]:
+                if size >= SORT_BYTES and row[:2] != rows[-1][:2]:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if rows:
             yield solve(rows)
 
     return run
 
 
-def _cut_out(length: int):
-    """From rows (z, blocks) of documents to the blocks' bytes."""
+def _cut_out(length: int, gram: int):
+    """From rows (z, blocks) of documents to the blocks' bytes; blocks of a hot key go in parts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for z, blocks in zip(frame["z"], frame["blocks"]):
                 raw = unpack_text(z).encode()
-                out += [(b["key"], b["dig"], b["c"], raw[b["lo"] : b["lo"] + b["n"] + length - 1]) for b in blocks]
-            yield pd.DataFrame(out, columns=["key", "dig", "c", "block"])
+                for b in blocks:
+                    block = raw[b["lo"] : b["lo"] + b["n"] + length - 1]
+                    if b["nb"] <= HOT:
+                        out.append((b["key"], 0, b["dig"], b["c"], 0, block))
+                        continue
+                    parts = part_block(_BYTE_HASH[np.frombuffer(block, np.uint8)], length, gram)
+                    for name, first, last in zip(*(x.tolist() for x in parts)):
+                        out.append((b["key"], name, b["dig"], b["c"], first, block[first : last + length]))
+            yield pd.DataFrame(out, columns=["key", "part", "dig", "c", "at", "block"])
 
     return run
 
@@ -223,7 +231,7 @@ def _remove(length: int, with_text: bool):
                 raw = np.frombuffer(unpack_text(z).encode(), np.uint8)
                 gone = np.zeros(len(raw), bool)
                 if found is not None:
-                    hit = np.zeros(len(raw), np.uint8)  # a document's blocks have no window in common
+                    hit = np.zeros(len(raw), np.uint8)  # a document's blocks, and a block's parts, have no window in common
                     for b in found:
                         bits = b["bits"]
                         hit[b["lo"] : b["lo"] + b["n"]] = 1 if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=b["n"])
@@ -257,16 +265,15 @@ def remove_repeats(
     rows = keyed(docs, id_col, text_col)
     blocks = cut(repeated(distinct_blocks(combined_blocks(rows, spec)), False).select("key", "dig", "rep", "c", "nb"))
     # A block that occurs again repeats as a whole; the sort finds what different blocks of one anchor share.
-    whole = blocks.where("c > 1").select("key", "dig", F.lit(None).cast("binary").alias("bits"))
+    whole = blocks.where("c > 1").select("key", "dig", F.lit(0).alias("at"), F.col("rep.n").alias("n"), F.lit(None).cast("binary").alias("bits"))
     texts = packed_texts(rows)  # by document twice below, in the same columns: shuffled once
     differ = blocks.where("nb > 1")
-    wanted = differ.groupBy("rep.k0", "rep.k1").agg(F.collect_list(F.struct("key", "dig", "c", "rep.lo", "rep.n")).alias("blocks"))
-    cut_out = texts.join(wanted, ["k0", "k1"]).select("z", "blocks").mapInPandas(_cut_out(length), "key long, dig long, c long, block binary")
-    solved = (
-        cut_out.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_sort_blocks(length), "key long, dig long, bits binary")
-    ).unionByName(whole)
-    found = occurrences(rows, spec).join(solved, ["key", "dig"])
-    by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct("lo", "n", "bits")).alias("found"))
+    wanted = differ.groupBy("rep.k0", "rep.k1").agg(F.collect_list(F.struct("key", "dig", "c", "nb", "rep.lo", "rep.n")).alias("blocks"))
+    cut_out = texts.join(wanted, ["k0", "k1"]).select("z", "blocks").mapInPandas(_cut_out(length, spec.gram), "key long, part long, dig long, c long, at int, block binary")
+    by_part = cut_out.repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    solved = by_part.mapInPandas(_sort_blocks(length), "key long, dig long, at int, n int, bits binary").unionByName(whole)
+    found = occurrences(rows, spec).drop("n").join(solved, ["key", "dig"])
+    by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct((F.col("lo") + F.col("at")).alias("lo"), "n", "bits")).alias("found"))
     made = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     beside = texts.join(by_doc, ["k0", "k1"], "left")
     out = beside.select(F.col("k0").alias("id"), (F.col("k0") == LAST).alias("null"), "z", "found").mapInPandas(_remove(length, with_text), made)

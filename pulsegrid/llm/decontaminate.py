@@ -1,14 +1,13 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 A passage with at least ``similarity`` of an item's words in place lacks at most
-d = (1 - similarity) * words of them. Each of those spoils at most n of the item's n-grams,
-and each place where words are inserted at most n - 1, though it costs no item word. Which
-grams an edit spoils is not known beforehand, so every gram of an item is a seed: a copy is
-seen if n words of the item stand together anywhere in it. Of w - n + 1 grams one is sure
-to be intact while n * d plus (n - 1) times the places of insertion is less than that;
-with an insertion after every other word none of three words need be. Seeds of five words
-would all be spoilt by an edit in every fifth word. Around seeds that occur, item and
-passage are aligned word by word.
+d = (1 - similarity) * words of them. Every gram of n neighbouring words of an item is a
+seed, for which grams an edit spoils is not known beforehand; in a passage up to ``GAP``
+other words may stand between two words of a seed. So inserted words, up to that many at
+one place, spoil none, and each missing word spoils at most n: of w - n + 1 grams at least
+w - n + 1 - n * d are found. Half of that number (one at least) is asked for, which leaves
+room for places where more words are inserted. Around seeds that occur, item and passage are
+aligned word by word.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,13 @@ from pulsegrid.llm.shared import cut, keyed, semi
 
 #: Items up to so many characters in all travel with the tasks; beyond, they are joined.
 CARRIED_CHARS = 4_000_000
-MATCH, MISMATCH, GAP = 2, -1, -1
+MATCH, MISMATCH, SKIP = 2, -1, -1
+#: Words of the passage that may stand between two neighbours of a seed.
+GAP = 2
+#: Bits of the filter over seeds (it is of fixed size), and words of texts that are looked up at once.
+FILTER_BITS, LOOKED_UP = 26, 1 << 20
+#: Passages of more words per word of the item are scored first and traced back only around the best end.
+LONG = 16
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,39 +55,71 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _spread_grams(h: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """``grams`` of words with up to ``GAP`` others between neighbours, one array for each choice of gaps."""
+    for gaps in product(range(GAP + 1), repeat=n - 1):
+        offsets = np.cumsum([0, *(g + 1 for g in gaps)])
+        m = len(h) - int(offsets[-1])
+        if m <= 0:
+            continue
+        out = h[:m].copy()
+        for at in offsets[1:]:
+            out = (out ^ (out >> np.uint64(31))) * _MIX + h[at : at + m]
+        yield out.view(np.int64)
+
+
+def least_seeds(words: int, similarity: float, n: int) -> int:
+    """Places of an item whose seeds must occur before it is aligned."""
+    return max(1, (words - n + 1 - n * edits(words, similarity)) // 2)
+
+
 def edits(words: int, similarity: float) -> int:
     """Words of an item that may be missing from a copy."""
     return int(words * (1 - Fraction(str(similarity))))
 
 
+def _next_row(row: np.ndarray, word: np.uint64, passage: np.ndarray, ramp: np.ndarray) -> np.ndarray:
+    """The row below ``row`` in the table of alignments; gaps along a row are a running maximum."""
+    new = np.zeros(len(row), np.int32)
+    new[1:] = np.maximum(row[:-1] + np.where(passage == word, MATCH, MISMATCH), row[1:] + SKIP)
+    np.maximum(new, 0, out=new)
+    return np.maximum.accumulate(new + ramp) - ramp
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
     """Smith-Waterman: (score, equal words on the best path, its start and end in the passage).
 
-    Rows are filled at once: gaps along a row are a running maximum. Of equal scores the
-    one that ends first wins, and diagonal steps go before gaps.
+    Of equal scores the one that ends first wins, and diagonal steps go before gaps. A best
+    path gains two per word of the item and loses one per other word of the passage, so it
+    spans fewer than three words per word of the item: of a long passage two rows are held,
+    and the table is filled around the best end alone.
     """
-    n, m = len(item), len(passage)
-    ramp = np.arange(m + 1, dtype=np.int32) * -GAP
-    table = np.zeros((n + 1, m + 1), np.int32)
+    n, shift = len(item), 0
+    if len(passage) > LONG * n:
+        ramp = np.arange(len(passage) + 1, dtype=np.int32) * -SKIP
+        row = best = np.zeros(len(passage) + 1, np.int32)
+        for word in item:
+            row = _next_row(row, word, passage, ramp)
+            best = np.maximum(best, row)
+        end = int(best.argmax())
+        shift = max(0, end - 3 * n)
+        passage = passage[shift:end]
+    ramp = np.arange(len(passage) + 1, dtype=np.int32) * -SKIP
+    table = np.zeros((n + 1, len(passage) + 1), np.int32)
     for i in range(1, n + 1):
-        step = np.where(passage == item[i - 1], MATCH, MISMATCH)
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(table[i - 1, :-1] + step, table[i - 1, 1:] + GAP)
-        np.maximum(row, 0, out=row)
-        table[i] = np.maximum.accumulate(row + ramp) - ramp
-    ends = table.max(0)
-    end = int(ends.argmax())
+        table[i] = _next_row(table[i - 1], item[i - 1], passage, ramp)
+    end = int(table.max(0).argmax())
     i, j = int(table[:, end].argmax()), end
     score, equal = int(table[i, j]), 0
     while i and j and table[i, j]:
         same = item[i - 1] == passage[j - 1]
         if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
             i, j, equal = i - 1, j - 1, equal + int(same)
-        elif table[i, j] == table[i - 1, j] + GAP:
+        elif table[i, j] == table[i - 1, j] + SKIP:
             i -= 1
         else:
             j -= 1
-    return score, equal, j, end
+    return score, equal, shift + j, shift + end
 
 
 def best_match(item: np.ndarray, text: np.ndarray, starts: np.ndarray, similarity: float) -> tuple | None:
@@ -114,27 +152,69 @@ def best_match(item: np.ndarray, text: np.ndarray, starts: np.ndarray, similarit
 _SCHEMA = "k0 long, k1 long, no_id boolean, item long, similarity double, score int, start int, end int"
 
 
+def _lookups(frame: pd.DataFrame) -> Iterator[tuple[range, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(rows, hashes of their words, all of them in one array with fillers between texts, each text's first place)."""
+    rows, own, size = 0, [], 0
+    filler = np.full(64, _MIX, np.uint64)
+
+    def out() -> tuple:
+        flat = np.concatenate([x for h in own for x in (h, filler)])
+        starts = np.cumsum([0, *(len(h) + len(filler) for h in own[:-1])])
+        return range(rows, rows + len(own)), own, flat, starts
+
+    for text in frame["text"]:
+        own.append(word_hashes(text))
+        size += len(own[-1])
+        if size >= LOOKED_UP:
+            yield out()
+            rows, own, size = rows + len(own), [], 0
+    if own:
+        yield out()
+
+
+def _filter_place(g: np.ndarray) -> np.ndarray:
+    return g.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+
+
+def _seeded(flat: np.ndarray, n: int, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, gram) of grams that pass the filter: bytes of eight seeds each."""
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for g in _spread_grams(flat, n):
+        at = _filter_place(g)
+        hit = np.flatnonzero(filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+        places.append(hit)
+        found.append(g[hit])
+    return np.concatenate(places), np.concatenate(found)
+
+
 def _carried(items: dict[int, np.ndarray], seeds: pd.DataFrame, n: int, similarity: float):
     seeds = seeds.sort_values("gram", kind="stable")
-    names, where = seeds["gram"].to_numpy(), (seeds["item"].to_numpy(), seeds["at"].to_numpy())
+    names, item_of, at_of = (seeds[c].to_numpy() for c in ("gram", "item", "at"))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[_filter_place(names)] = True
+    filter_ = np.packbits(bits, bitorder="little")
+    need = {i: least_seeds(len(h), similarity, n) for i, h in items.items()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for k0, k1, null, text in zip(frame["k0"], frame["k1"], frame["no_id"], frame["text"]):
-                h = word_hashes(text)
-                g = grams(h, n)
+            ids = list(zip(frame["k0"].tolist(), frame["k1"].tolist(), frame["no_id"].tolist()))
+            for rows, own, flat, starts in _lookups(frame):
+                place, g = _seeded(flat, n, filter_)
                 lo, hi = np.searchsorted(names, g, "left"), np.searchsorted(names, g, "right")
-                hits = np.flatnonzero(hi > lo)
-                if not len(hits):
-                    continue
-                many = (hi - lo)[hits]
-                at = np.repeat(lo[hits], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                item, start = where[0][at], np.repeat(hits, many) - where[1][at]
-                for i in np.unique(item):
-                    got = best_match(items[i], h, start[item == i], similarity)
-                    if got:
-                        out.append((k0, k1, null, int(i), got[0] / len(items[i]), *got[1:]))
+                many = hi - lo
+                at = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                text = np.searchsorted(starts, place, "right") - 1
+                text, start = np.repeat(text, many), np.repeat(place - starts[text], many) - at_of[at]
+                order = np.lexsort((item_of[at], text))
+                text, item, start, seed = text[order], item_of[at][order], start[order], at_of[at][order]
+                cuts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]), True]) if len(text) else [0]
+                for a, b in zip(cuts, cuts[1:]):
+                    i = int(item[a])
+                    if b - a < need[i] or len(np.unique(seed[a:b])) < need[i]:
+                        continue
+                    if got := best_match(items[i], own[text[a]], start[a:b], similarity):
+                        out.append((*ids[rows[text[a]]], i, got[0] / len(items[i]), *got[1:]))
             yield pd.DataFrame(out, columns=["k0", "k1", "no_id", "item", "similarity", "score", "start", "end"])
 
     return run
@@ -155,30 +235,45 @@ def _find_carried(rows: DataFrame, items: pd.DataFrame, n: int, similarity: floa
 
 
 def _find_joined(rows: DataFrame, items: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The same by joins, for items of any number."""
+    """The same by joins, for items of any number.
 
-    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k0, k1, text in zip(frame["k0"], frame["k1"], frame["text"]):
-                g = grams(word_hashes(text), n)
-                yield pd.DataFrame({"gram": g, "k0": k0, "k1": k1, "at": np.arange(len(g), dtype=np.int32)})
+    Grams of the texts pass a filter over the seeds before they are shuffled; it is put
+    together by aggregation and has the same size whatever the number of items.
+    """
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for k0, k1, null, z, item, text, starts in frame.itertuples(index=False, name=None):
-                own, h = word_hashes(text), word_hashes(unpack_text(z))
-                if got := best_match(own, h, np.array(starts), similarity):
+            for k0, k1, null, z, item, text, starts, n_seeds in frame.itertuples(index=False, name=None):
+                own = word_hashes(text)
+                if n_seeds < least_seeds(len(own), similarity, n):
+                    continue
+                if got := best_match(own, word_hashes(unpack_text(z)), np.array(starts), similarity):
                     out.append((k0, k1, null, item, got[0] / len(own), *got[1:]))
             yield pd.DataFrame(out, columns=["k0", "k1", "no_id", "item", "similarity", "score", "start", "end"])
 
     seeds = cut(items.mapInPandas(lambda it: (_seeds(f, n) for f in it), "item long, words int, gram long, at int"))
-    hits = rows.mapInPandas(places, "gram long, k0 long, k1 long, at int").join(seeds.select("gram").distinct(), "gram")
+    place = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    by_byte = seeds.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, int(shiftrightunsigned(gram, {64 - FILTER_BITS}) & 7))")).alias("bits"))
+    filter_ = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for r in by_byte.toLocalIterator():  # at most one row per byte of the filter
+        filter_[r["byte"]] = r["bits"]
+    carried = rows.sparkSession.sparkContext.broadcast(filter_)
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            k0, k1 = frame["k0"].to_numpy(), frame["k1"].to_numpy()
+            for own, _, flat, starts in _lookups(frame):
+                at, g = _seeded(flat, n, carried.value)
+                text = np.searchsorted(starts, at, "right") - 1
+                yield pd.DataFrame({"gram": g, "k0": k0[own.start + text], "k1": k1[own.start + text], "at": (at - starts[text]).astype(np.int32)})
+
+    hits = rows.mapInPandas(places, "gram long, k0 long, k1 long, at int")
     starts = hits.join(seeds.select("gram", "item", F.col("at").alias("item_at")), "gram")
-    pairs = starts.groupBy("k0", "k1", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("starts"))
+    pairs = starts.groupBy("k0", "k1", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("starts"), F.size(F.collect_set("item_at")).alias("n_seeds"))
     texts = packed_texts(rows, "no_id").dropDuplicates(["k0", "k1"])
     joined = pairs.join(items, "item").join(texts, ["k0", "k1"])
-    return joined.select("k0", "k1", "no_id", "z", "item", "text", "starts").mapInPandas(verify, _SCHEMA)
+    return joined.select("k0", "k1", "no_id", "z", "item", "text", "starts", "n_seeds").mapInPandas(verify, _SCHEMA)
 
 
 def _find(docs: DataFrame, benchmark: DataFrame, similarity: float, n: int, id_col: str, text_col: str, item_col: str, item_text_col: str, carried_chars: int):
@@ -218,7 +313,11 @@ def without_leaks(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, n: int = 3, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", carried_chars: int = CARRIED_CHARS,
 ) -> DataFrame:
-    """The documents, with their own columns, that leak no item."""
+    """The documents, with their own columns, that leak no item.
+
+    Null, empty and very long texts, null ids, repeated rows and empty tables are as in
+    ``find``: a row goes if its id and text leak; all columns travel along, whatever their names.
+    """
     found, _ = _find(docs, benchmark, similarity, n, id_col, text_col, item_col, item_text_col, carried_chars)
     leaks = found.select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1")).distinct()
     return semi(docs, leaks, id_col, text_col, "left_anti")

@@ -3,9 +3,14 @@
 The index holds sorted immutable runs: tables bucketed and sorted by fingerprint, one per
 batch of documents. A fingerprint stands for a block of windows (see ``anchors``): the hash
 of the words that anchor them and a digest of the block, with the first document that has
-it. A new batch becomes a run and is merged with the run of all earlier batches into one; the
-merged run is joined with the batch's blocks, and windows of blocks that share an anchor
-but are not equal are verified over their words.
+it. Beside the runs lie the batches' texts, bucketed by document.
+
+A new batch becomes a run and is merge-joined with the runs of the history by the anchors;
+blocks that share an anchor but are not equal are verified over their words, for which only
+those documents of the history are unpacked that have such a block. The batch's removals
+are returned; documents of earlier batches are not judged again. When a level holds
+``FANOUT`` runs they are merged into one of the next level, so a fingerprint is rewritten
+once a level, not once a batch.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from pulsegrid.llm.anchors import Windows, combined_blocks, occurrences, packed_texts, unpack_text
+from pulsegrid.llm.anchors import HOT, Windows, combined_blocks, occurrences, packed_texts, part_block, unpack_text
 from pulsegrid.llm.shared import LAST, cut, keyed
 
-#: Bytes of window digests that are resolved together; a key's blocks are never parted.
-SOLVE_ROWS = 20_000
+#: Bytes of blocks that are resolved together; blocks of one key and part stay together.
+SOLVE_BYTES = 1 << 21
+#: Runs of one level that are merged into one of the next.
+FANOUT = 4
 
 
 def _split(text: str) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray]:
@@ -39,47 +46,58 @@ def _words(text: str) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), raw, starts, ends
 
 
-def _window_digests(length: int):
-    """From documents and their blocks to (key, dig, k0, digests of the block's windows)."""
+def _cut_out(length: int, gram: int):
+    """From documents and their blocks to the blocks' words; blocks of a hot key go in parts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for k0, z, blocks in zip(frame["k0"], frame["z"], frame["blocks"]):
-                _, raw, starts, ends = _split(unpack_text(z))
-                view = memoryview(raw)
+                words, raw, starts, ends = _split(unpack_text(z))
                 for b in blocks:
-                    at = range(b["lo"], b["lo"] + b["n"])
-                    own = np.fromiter((xxh3_64_intdigest(view[starts[i] : ends[i + length - 1]], 3) for i in at), np.uint64, b["n"])
-                    out.append((b["key"], b["dig"], k0, own.tobytes()))
-            yield pd.DataFrame(out, columns=["key", "dig", "k0", "windows"])
+                    lo, to = b["lo"], b["lo"] + b["n"] + length - 1
+                    if b["nb"] <= HOT:
+                        out.append((b["key"], 0, b["dig"], k0, 0, raw[starts[lo] : ends[to - 1]]))
+                        continue
+                    h = np.fromiter(map(xxh3_64_intdigest, words[lo:to]), np.uint64, to - lo)
+                    for name, first, last in zip(*(x.tolist() for x in part_block(h, length, gram))):
+                        out.append((b["key"], name, b["dig"], k0, first, raw[starts[lo + first] : ends[lo + last + length - 1]]))
+            yield pd.DataFrame(out, columns=["key", "part", "dig", "k0", "at", "block"])
 
     return run
 
 
-def _first_documents():
-    """From rows (key, dig, k0, windows), those of a key together, to (key, dig, first document of each window)."""
+def _first_documents(length: int):
+    """From rows (key, part, dig, k0, at, block), those of a key and part together, to the first document of each window.
+
+    Windows are told apart by all their words.
+    """
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        own = [np.frombuffer(r[3], np.uint64) for r in rows]
-        sizes = np.array([len(x) for x in own])
-        flat = np.concatenate(own)
-        names, at = np.unique(flat, return_inverse=True)
-        first = np.full(len(names), LAST, np.int64)
-        np.minimum.at(first, at, np.repeat(np.array([r[2] for r in rows], np.int64), sizes))
-        least, cuts = first[at], np.r_[0, np.cumsum(sizes)]
-        return pd.DataFrame(
-            [(r[0], r[1], least[cuts[i] : cuts[i + 1]].tobytes()) for i, r in enumerate(rows)], columns=["key", "dig", "firsts"]
-        )
+        first: dict[bytes, int] = {}
+        windows = []
+        for _, _, _, k0, _, block in rows:
+            gaps = [-1, *np.flatnonzero(np.frombuffer(block, np.uint8) == 32).tolist(), len(block)]
+            own = [block[gaps[i] + 1 : gaps[i + length]] for i in range(len(gaps) - length)]
+            windows.append(own)
+            for w in own:
+                if first.get(w, LAST) > k0:
+                    first[w] = k0
+        out = []
+        for (key, _, dig, _, at, _), own in zip(rows, windows):
+            firsts = np.array([first.get(w, LAST) for w in own], np.int64)
+            out.append((key, dig, at, len(own), firsts.tobytes()))
+        return pd.DataFrame(out, columns=["key", "dig", "at", "n", "firsts"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+        rows, size = [], 0
         for frame in frames:
             for row in frame.itertuples(index=False, name=None):
-                if len(rows) >= SOLVE_ROWS and row[0] != rows[-1][0]:
+                if size >= SOLVE_BYTES and row[:2] != rows[-1][:2]:
                     yield solve(rows)
-                    rows = []
+                    rows, size = [], 0
                 rows.append(row)
+                size += len(row[5])
         if rows:
             yield solve(rows)
 
@@ -110,92 +128,109 @@ def _remove(length: int, with_text: bool):
 
 
 class SubstringIndex:
-    """The runs of an index, as tables of the session's warehouse, and what is done with them.
+    """The runs of an index and the texts beside them, as tables of the session's warehouse."""
 
-    ``documents`` are all documents of the batches: windows are verified against their texts.
-    """
-
-    def __init__(self, documents: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", name: str | None = None):
-        self.spark: SparkSession = documents.sparkSession
-        self.rows = keyed(documents, id_col, text_col)
-        self.spec = Windows(length, 8, _words)
-        self.id_col, self.id_type = id_col, documents.schema[id_col].dataType
+    def __init__(self, spark: SparkSession, length: int = 50, name: str | None = None, fanout: int = FANOUT):
+        self.spark, self.spec, self.fanout = spark, Windows(length, 8, _words), fanout
         self.name = name or f"substring_index_{uuid.uuid4().hex}"
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.n_runs = 0
-
-    def _write(self, run: DataFrame) -> str:
-        """An immutable run: one file per bucket, sorted by fingerprint within it."""
-        table = f"{self.name}_{self.n_runs}"
-        self.n_runs += 1
-        writer = run.write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key", "dig")
-        writer.saveAsTable(table)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.texts: list[str] = []
+        self.n_tables = 0
+
+    def _write(self, rows: DataFrame, by: tuple[str, ...], sort: tuple[str, ...]) -> str:
+        """An immutable table of one file per bucket, sorted within it."""
+        table = f"{self.name}_{self.n_tables}"
+        self.n_tables += 1
+        rows.write.option("compression", "zstd").bucketBy(self.buckets, *by).sortBy(*sort).saveAsTable(table)
         return table
 
-    def _merged(self, blocks: DataFrame) -> DataFrame:
-        """One row per fingerprint, dealt by key so that a run has one file per bucket."""
+    def _write_run(self, blocks: DataFrame) -> str:
+        """One row per fingerprint with its first document, dealt by key so that a run has one file per bucket."""
         first = F.min(F.struct("k0", "k1", "lo", "n")).alias("rep")
         rows = blocks.repartition(self.buckets, "key").groupBy("key", "dig").agg(first, F.max("last").alias("last"))
-        return rows.select("key", "dig", "rep.*", "last")
-
-    def add(self, batch: DataFrame) -> None:
-        """A run of the batch's distinct blocks; ``batch`` holds rows of ``self.rows``."""
-        self.runs.append(self._write(self._merged(combined_blocks(batch, self.spec))))
-        if len(self.runs) > 1:
-            self.compact()
+        return self._write(rows.select("key", "dig", "rep.*", "last"), ("key",), ("key", "dig"))
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def add(self, rows: DataFrame, with_text: bool = False) -> DataFrame:
+        """Takes in a batch, rows of ``keyed``, and returns what each of its documents loses to smaller ids so far."""
+        new = self._write_run(combined_blocks(rows, self.spec))
+        texts = packed_texts(rows, "id").repartition(self.buckets, "k0", "k1")
+        own = self._write(texts, ("k0", "k1"), ("k0", "k1"))
+        out = cut(self._removals(rows, own, self._repeats(new, own), with_text))
+        self.texts.append(own)
+        self.levels[0].append(new)
+        self.compact()
+        return out
 
     def compact(self) -> None:
-        """Merges the runs into one: of equal fingerprints the first document stays."""
-        old = self.runs
-        run = self.spark.table(old[0])
-        for name in old[1:]:
-            run = run.unionByName(self.spark.table(name))
-        self.runs = [self._write(self._merged(run))]
-        for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Merges the runs of each full level into one of the next: of equal fingerprints the first document stays."""
+        for level, names in enumerate(self.levels):
+            if len(names) < self.fanout:
+                continue
+            run = self.spark.table(names[0])
+            for name in names[1:]:
+                run = run.unionByName(self.spark.table(name))
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._write_run(run))
+            self.levels[level] = []
+            for name in names:
+                self.spark.sql(f"DROP TABLE {name}")
 
     def drop(self) -> None:
-        for name in self.runs:
+        for name in [*self.runs(), *self.texts]:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
+        self.levels, self.texts = [[]], []
 
-    def repeats(self) -> DataFrame:
-        """(key, dig, first, firsts): blocks that can repeat an earlier document's words.
+    def candidates(self, new: str) -> DataFrame:
+        """Blocks of the batch and, merge-joined by key, of the history, where a window of the batch can repeat a smaller id's.
 
-        ``firsts`` has the first document of each window where blocks of one anchor differ;
-        where all are equal it is null and ``first`` holds for every window.
+        (key, dig, rep, nb): ``nb`` counts the different blocks of the key.
         """
+        batch = self.spark.table(new)
+        blocks = batch.select("*", F.lit(True).alias("own"))
+        for name in self.runs():
+            # Both sides lie by key in as many buckets: neither is shuffled.
+            met = self.spark.table(name).join(batch.select("key"), "key", "left_semi")
+            blocks = blocks.unionByName(met.select("*", F.lit(False).alias("own")))
         by_key = Window.partitionBy("key")
-        run = self.spark.table(self.runs[0])
-        again = run.select(
-            "*",
-            F.count(F.lit(1)).over(by_key).alias("nb"),
-            (F.min("k0").over(by_key) < F.max("last").over(by_key)).alias("again"),
-        ).where("again")
-        again = cut(again.select("key", "dig", "k0", "k1", "lo", "n", "nb"))
-        # In the columns of ``removals``: texts are shuffled by document once for both.
-        texts = packed_texts(self.rows)
-        wanted = again.where("nb > 1").groupBy("k0", "k1").agg(F.collect_list(F.struct("key", "dig", "lo", "n")).alias("blocks"))
-        digests = texts.join(wanted, ["k0", "k1"]).select("k0", "z", "blocks")
-        rows = digests.mapInPandas(_window_digests(self.spec.length), "key long, dig long, k0 long, windows binary")
-        solved = (
-            rows.repartition(self.buckets, "key")
-            .sortWithinPartitions("key")
-            .mapInPandas(_first_documents(), "key long, dig long, firsts binary")
+        merged = blocks.repartition(self.buckets, "key").groupBy("key", "dig").agg(
+            F.min(F.struct("k0", "k1", "lo", "n")).alias("rep"), F.max(F.when(F.col("own"), F.col("last"))).alias("last")
         )
-        plain = again.where("nb = 1").select("key", "dig", F.col("k0").alias("first"), F.lit(None).cast("binary").alias("firsts"))
-        return plain.unionByName(solved.select("key", "dig", F.lit(None).cast("long").alias("first"), "firsts"))
+        again = (F.min("rep.k0").over(by_key) < F.max("last").over(by_key)).alias("again")
+        return merged.select("*", F.count(F.lit(1)).over(by_key).alias("nb"), again).where("again").select("key", "dig", "rep", "nb")
+
+    def _repeats(self, new: str, own: str) -> DataFrame:
+        """(key, dig, at, n, first, firsts): what the batch's blocks can repeat.
 
-    def removals(self, with_text: bool = False) -> DataFrame:
-        """One row per document: what its windows lose to documents with smaller ids."""
-        found = occurrences(self.rows, self.spec).join(self.repeats(), ["key", "dig"]).where("first IS NULL OR first < k0")
-        by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct("lo", "n", "firsts")).alias("found"))
+        ``firsts`` has the first document of each window where blocks of one anchor differ;
+        where all are equal it is null and ``first`` holds for every window.
+        """
+        again = cut(self.candidates(new))
+        wanted = again.where("nb > 1").groupBy("rep.k0", "rep.k1").agg(F.collect_list(F.struct("key", "dig", "nb", "rep.lo", "rep.n")).alias("blocks"))
+        schema = "key long, part long, dig long, k0 long, at int, block binary"
+        pieces = None
+        for name in [own, *self.texts]:
+            # Texts stay where they lie; those without a wanted block are not unpacked.
+            met = self.spark.table(name).join(wanted, ["k0", "k1"]).select("k0", "z", "blocks")
+            piece = met.mapInPandas(_cut_out(self.spec.length, self.spec.gram), schema)
+            pieces = piece if pieces is None else pieces.unionByName(piece)
+        by_part = pieces.repartition(self.buckets, "key", "part").sortWithinPartitions("key", "part")
+        solved = by_part.mapInPandas(_first_documents(self.spec.length), "key long, dig long, at int, n int, firsts binary")
+        plain = again.where("nb = 1").select("key", "dig", F.lit(0).alias("at"), "rep.n", F.col("rep.k0").alias("first"), F.lit(None).cast("binary").alias("firsts"))
+        return plain.unionByName(solved.select("key", "dig", "at", "n", F.lit(None).cast("long").alias("first"), "firsts"))
+
+    def _removals(self, rows: DataFrame, own: str, repeats: DataFrame, with_text: bool) -> DataFrame:
+        """One row per document of the batch: what its windows lose to documents with smaller ids."""
+        found = occurrences(rows, self.spec).drop("n").join(repeats, ["key", "dig"]).where("first IS NULL OR first < k0")
+        by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct((F.col("lo") + F.col("at")).alias("lo"), "n", "firsts")).alias("found"))
         made = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-        whole = packed_texts(self.rows).join(by_doc, ["k0", "k1"], "left")
-        whole = whole.select(F.col("k0").alias("id"), (F.col("k0") == LAST).alias("null"), "z", "found")
-        out = whole.mapInPandas(_remove(self.spec.length, with_text), made)
-        return out.withColumn("id", F.col("id").cast(self.id_type)).withColumnRenamed("id", self.id_col)
+        whole = self.spark.table(own).join(by_doc, ["k0", "k1"], "left")
+        whole = whole.select(F.col("k0").alias("id"), F.col("id").isNull().alias("null"), "z", "found")
+        return whole.mapInPandas(_remove(self.spec.length, with_text), made)
 
 
 def remove_repeats(
@@ -203,23 +238,24 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 and, if asked, the kept words.
 
-    Documents enter the index in ``batches`` ranges of ids. Each word goes that lies in a
-    window of ``length`` words which also starts in a document with a smaller id; windows
-    are judged on the input.
+    Documents enter the index in ``batches`` ranges of ids, the smaller ones first. Each word
+    goes that lies in a window of ``length`` words which also starts in a document with a
+    smaller id; windows are judged on the input.
 
     * null or empty text: no words; texts shorter than a window stay whole
     * null id: kept (ids are below 2**63 - 1), after all ids and never smaller than another null
     * rows with equal ids never repeat each other; each gives a result row
     * texts are read whole, in bounded runs; an empty table: no rows; other columns are not read
     """
-    index = SubstringIndex(docs, length, id_col, text_col)
-    low, high = index.rows.where("id IS NOT NULL").agg(F.min("k0"), F.max("k0")).first()
+    rows = keyed(docs, id_col, text_col)
+    index = SubstringIndex(docs.sparkSession, length)
+    low, high = rows.where("id IS NOT NULL").agg(F.min("k0"), F.max("k0")).first()
     step = ((high or 0) - (low or 0)) // batches + 1
     part = F.when(F.col("id").isNull(), batches - 1).otherwise(((F.col("k0") - F.lit(low or 0)) / step).cast("int"))
     try:
-        for b in range(batches):
-            index.add(index.rows.where(part == b))
-        # The rows are few and small; after this the index is no longer needed.
-        return cut(index.removals(with_text))
+        out = index.add(rows.where(part == 0), with_text)
+        for b in range(1, batches):
+            out = out.unionByName(index.add(rows.where(part == b), with_text))
     finally:
         index.drop()
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -61,7 +61,9 @@ def test_query_equals_sql(spark, duck, name):
 # --- op 3 and 10 ---
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("hot", [500, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = [((i), (t or "").encode()) for i, t, *_ in awkward()]
     seen = {}
     for _, b in texts:
@@ -94,8 +96,8 @@ def test_two_stage_sort_is_the_suffix_array(seed):
     assert sparse[wanted[sparse]].tolist() == [i for i in want if wanted[i]]
 
 
-def test_substring_dedup(docs, empty):
-    rows = [(i, (t or "").encode().split()) for i, t, *_ in awkward()]
+def slow_substring(rows):
+    """(id, words, removed, digest) of rows (id, words)."""
     order = lambda i: float("inf") if i is None else i
     first = {}
     for i, w in rows:
@@ -109,6 +111,37 @@ def test_substring_dedup(docs, empty):
             if first[tuple(w[p : p + 50])] < order(i):
                 gone[p : p + 50] = [True] * 50
         want.append((i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))))
+    return want
+
+
+@pytest.mark.parametrize("hot", [500, 1])
+def test_a_batch_is_joined_with_the_history(spark, monkeypatch, hot):
+    """Five batches through levels of two runs; the fifth unpacks none of the history's unrelated texts."""
+    monkeypatch.setattr(substring_index, "HOT", hot)
+    from pulsegrid.llm.shared import keyed
+
+    shared, common = prose(60, 90), prose(61, 52)
+    texts = [(b * 10 + k, f"{prose(1000 + b * 10 + k, 40)} {shared if k == 1 and b < 4 else ''} {common if b < 4 else ''} {prose(2000 + b * 10 + k, 30)}") for b in range(5) for k in range(4)]
+    texts.append((44, texts[5][1].replace(common, "")))  # the words of document 11, of the second batch
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {r[0]: r for r in slow_substring([(i, t.encode().split()) for i, t in texts])}
+    index, rows, seen = substring_index.SubstringIndex(spark, fanout=2), keyed(df, "doc_id", "text"), []
+    for b in range(5):
+        part = rows.where(f"k0 >= {b * 10} AND k0 < {b * 10 + 10}")
+        if b == 4:
+            new = index._write_run(substring_index.combined_blocks(part, index.spec))
+            assert {r["d"] for r in index.candidates(new).selectExpr("rep.k0 AS d").distinct().collect()} <= {1, 11, 21, 31, 44}
+            spark.sql(f"DROP TABLE {new}")
+        seen += [tuple(r) for r in index.add(part).collect()]
+        assert all(len(level) < 2 for level in index.levels)
+    index.drop()
+    assert {r[0]: r for r in seen} == want and want[44][2] > 80
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.name)]
+
+
+def test_substring_dedup(docs, empty):
+    rows = [(i, (t or "").encode().split()) for i, t, *_ in awkward()]
+    want = slow_substring(rows)
     for batches in (1, 3):
         got = substring_index.remove_repeats(docs, batches=batches)
         assert by_text(got.collect(), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
@@ -141,6 +174,21 @@ def closure(fps, bits=3):
     return [root(i) for i in range(len(fps))]
 
 
+def near_classes(texts):
+    """Classes of texts within three bits or of five-word similarity 0.8."""
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, root = [grams(t) for t in texts], closure([slow_fingerprint(t) for t in texts])
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
 def test_simhash(docs, empty):
     rows = awkward()
     fps = [slow_fingerprint(t) for _, t, *_ in rows]
@@ -361,6 +409,82 @@ def test_decontamination_of_inserted_and_deleted_words(spark):
     assert decontaminate.best_match(a, wide, np.array([1]), 0.8)[0] == decontaminate.align(a, wide)[1] == 12
 
 
+def slow_align(item, passage):
+    """Smith-Waterman cell by cell: (score, equal words, start, end), the first end and diagonal steps first."""
+    n, m = len(item), len(passage)
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            t[i][j] = max(0, t[i - 1][j - 1] + (2 if item[i - 1] == passage[j - 1] else -1), t[i - 1][j] - 1, t[i][j - 1] - 1)
+    score = max(max(row) for row in t)
+    j = min(j for j in range(m + 1) for i in range(n + 1) if t[i][j] == score)
+    i, end, equal = min(i for i in range(n + 1) if t[i][j] == score), j, 0
+    while i and j and t[i][j]:
+        same = item[i - 1] == passage[j - 1]
+        if t[i][j] == t[i - 1][j - 1] + (2 if same else -1):
+            i, j, equal = i - 1, j - 1, equal + same
+        elif t[i][j] == t[i - 1][j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return score, equal, j, end
+
+
+def test_alignment_of_long_passages(monkeypatch):
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        item, passage = rng.integers(0, 6, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 6, 90).astype(np.uint64)
+        monkeypatch.setattr(decontaminate, "LONG", (1, 1000)[k % 2])
+        assert decontaminate.align(item, passage) == slow_align(item.tolist(), passage.tolist())
+
+
+def test_texts_looked_up_in_parts(monkeypatch):
+    """Any bound on the words looked up at once gives the same matches."""
+    import pandas as pd
+
+    item = prose(905, 20)
+    frame = pd.DataFrame({"k0": range(40), "k1": 0, "no_id": False, "text": [prose(k, 30) + " " + item * (k % 3 == 0) for k in range(40)]})
+    run = decontaminate._carried({0: decontaminate.word_hashes(item)}, decontaminate._seeds(pd.DataFrame({"item": [0], "text": [item]}), 3), 3, 0.8)
+    whole = next(run(iter([frame])))
+    monkeypatch.setattr(decontaminate, "LOOKED_UP", 100)
+    assert whole["k0"].tolist() == list(range(0, 40, 3)) and next(run(iter([frame]))).equals(whole)
+
+
+def test_decontamination_against_slow_alignment(spark):
+    """Substitutions, insertions (one or two words at a place, after every word too) and deletions, by both ways."""
+    rng = random.Random(31)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(30)}" for _ in range(n))) for k, n in enumerate([5, 9, 14, 20, 25, 33])] + [(9, "one two three"), (None, "No Id here, yet words")]
+    texts = []
+    for _, t in items:
+        w = t.lower().replace(",", "").split()
+        for kind in range(9):
+            v = list(w)
+            lost = rng.sample(range(len(v)), (len(v) + 4) // 5 if kind in (3, 4, 5) else 0)
+            v = ["other" if j in lost and kind != 4 else x for j, x in enumerate(v) if kind != 4 or j not in lost]
+            if kind in (1, 2, 5):
+                v = [y for j, x in enumerate(v) for y in ([x, "new"] if kind == 1 or j % 2 else [x])]
+            if kind == 6:
+                v = [y for j, x in enumerate(v) for y in ([x, "two", "more"] if j % 3 == 0 else [x])]
+            if kind == 7:
+                v = v[: len(v) // 2]
+            texts.append(" ".join([*(rng.choice(WORDS) for _ in range(rng.randrange(30))), *v, *(rng.choice(WORDS) for _ in range(rng.randrange(30)))]))
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3]), (900, None), (901, "")]
+    want = set()
+    for i, t in rows:
+        b = re.findall(r"\w+", (t or "").lower())
+        for k, it in items:
+            a = re.findall(r"\w+", it.lower())
+            score, equal, start, end = slow_align(a, b)
+            if 5 * equal >= 4 * len(a):
+                want.add((i, k, equal / len(a), score, start, end))
+    assert len(want) > 40
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, item long, gram string").repartition(3)
+    bench = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, k0 long")
+    for chars in (decontaminate.CARRIED_CHARS, 0):
+        got = decontaminate.find(df, bench, carried_chars=chars).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 # --- op 5 and 6 ---
 
 
@@ -534,7 +658,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         for line in t.split("\n"):
             sites.setdefault(line.strip(), set()).add(s)
     left = [(i, "\n".join(x for x in t.split("\n") if len(sites[x.strip()]) < 10)) for i, t, _ in left]
-    roots = closure([slow_fingerprint(t) for _, t in left])
+    roots = near_classes([t for _, t in left])
     least = {}
     for (i, _), r in zip(left, roots):
         least[r] = min(least.get(r, i), i)

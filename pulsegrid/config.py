@@ -17,6 +17,9 @@ FEATURES = (
 LABELS = (("0", "normal", 0, "Alert"), ("5", "drowsy", 1, "Low Vigilant"), ("10", "sleepy", 2, "Drowsy"))
 
 
+# The defaults of the settings below.
+
+
 @dataclass(frozen=True)
 class FrameConfig:
     target_fps: int = 15
@@ -61,6 +64,7 @@ class SequenceConfig:
 
 @dataclass(frozen=True)
 class RuleConfig:
+    use_rule: bool = True
     mode: str = "boost"
     use_yawn: bool = False
     use_head: bool = True

@@ -40,7 +40,8 @@ def safe_name(c: Column) -> Column:
 
 
 def sequence_id(video: Column, number: Column) -> Column:
-    return F.concat(safe_name(video), F.lit("_seq"), F.lpad(number.cast("string"), 5, "0"))
+    """At least five digits; larger numbers keep all of theirs."""
+    return F.concat(safe_name(video), F.lit("_seq"), F.when(number.isNotNull(), F.format_string("%05d", number.cast("long"))))
 
 
 def lookup(c: Column, pairs: list[tuple[str, object]]) -> Column:

@@ -40,10 +40,9 @@ def _events(closed: DataFrame, cfg: BlinkConfig) -> DataFrame:
 
 
 def number_events(events: DataFrame) -> DataFrame:
-    """Adds blink_id from 1 on, and frequency: events so far per second of video."""
+    """Adds blink_id from 0 on, and frequency: events so far, the row's own among them, per second of video."""
     nth = F.row_number().over(Window.partitionBy("video_id").orderBy("end_time"))
-    out = events.withColumn("blink_id", nth)
-    return out.withColumn("frequency", F.col("blink_id") / F.greatest("end_time", F.lit(1e-6)))
+    return events.withColumns({"blink_id": nth - 1, "frequency": nth / F.greatest("end_time", F.lit(1e-6))})
 
 
 def blink_events(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
@@ -91,14 +90,40 @@ ROLLED = {
 }
 
 
-def blink_rolling(rows: DataFrame, events: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
+def _events_in_place(rows: DataFrame, cfg: BlinkConfig) -> DataFrame:
+    """Adds an event's time and values to the frame that ends it, by windows over the rows as they lie.
+
+    ``__run`` counts the closures of a video; frames between two closures belong to the
+    former, but only its closed frames and the one that ends it count.
+    """
+    before = F.coalesce(F.lag("closed_state").over(by_video()), F.lit(0))
+    marked = rows.withColumn("__before", before)
+    rise = F.when((F.col("closed_state") == 1) & (F.col("__before") == 0), 1).otherwise(0)
+    numbered = marked.withColumn("__run", F.sum(rise).over(so_far()))
+    run = Window.partitionBy("video_id", "__run").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ear, within = f64(F.col("ear_z")), (F.col("closed_state") == 1) | (F.col("__before") == 1)
+    found = numbered.withColumns(
+        {
+            "__s": F.first(F.struct("timestamp", ear.alias("ear"))).over(run),
+            "__m": F.min(F.when(within, F.struct(ear.alias("ear"), "processed_idx", "timestamp"))).over(run),
+        }
+    )
+    took = F.col("timestamp") - F.col("__s.timestamp")
+    amplitude = (F.col("__s.ear") + ear) / 2 - F.col("__m.ear")
+    ends = (F.col("closed_state") == 0) & (F.col("__before") == 1)
+    kept = ends & took.between(cfg.min_duration, cfg.max_duration) & (amplitude >= cfg.min_amplitude)
+    opening = (ear - F.col("__m.ear")) / F.greatest(F.col("timestamp") - F.col("__m.timestamp"), F.lit(1e-6))
+    values = {"__end": F.col("timestamp"), "__duration_sec": took, "__amplitude": amplitude, "__opening_velocity": opening}
+    return found.withColumns({n: F.when(kept, v) for n, v in values.items()}).drop("__before", "__run", "__s", "__m")
+
+
+def blink_rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
     """Means and frequency of the blinks that ended in the trailing window, and the time since the last one.
 
-    An event sits on the frame where it ends, so a range window replaces the interval join.
+    An event sits on the frame where it ends, so a range window replaces the interval join,
+    and no event leaves the partitioning of its frames.
     """
-    own = events.select("video_id", F.col("end_idx").alias("processed_idx"), F.col("end_time").alias("__end"), *[F.col(c).alias(f"__{c}") for c in ROLLED.values()])
-    both = rows.join(own, ["video_id", "processed_idx"], "left")
-    out = both.withColumns(
+    out = _events_in_place(rows, cfg).withColumns(
         {n: f32(F.coalesce(time_window(f"__{c}", "avg", cfg.window_sec), F.lit(0.0))) for n, c in ROLLED.items()}
         | {
             "blink_frequency_10s": f32(time_window("__end", "count", cfg.window_sec) / F.lit(cfg.window_sec)),

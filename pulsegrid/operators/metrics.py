@@ -65,23 +65,46 @@ def summary(rows: DataFrame, true: str, pred: str, classes: int = CLASSES, *keys
     )
 
 
-def _vote(rows: DataFrame, label: str, out: str) -> DataFrame:
-    """The most frequent label of a video; of equals the one met first."""
-    counts = rows.groupBy("video_id", label).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), "first", F.col(label).alias("label")))
-    return counts.groupBy("video_id").agg(best.alias("b")).select("video_id", F.col("b.label").alias(out))
+def _votes(label: str, out: str) -> list[Column]:
+    """Aggregates by class: how often the label occurs, and where first."""
+    return [c for k in range(CLASSES) for c in (F.count_if(F.col(label) == k).alias(f"__{out}_n{k}"), F.min(F.when(F.col(label) == k, F.col("pos"))).alias(f"__{out}_at{k}"))]
+
+
+def _winner(out: str) -> Column:
+    """The most frequent label; of equals the one met first."""
+    found = F.array(*[F.struct((-F.col(f"__{out}_n{k}")).alias("n"), F.col(f"__{out}_at{k}").alias("at"), F.lit(k).alias("label")) for k in range(CLASSES)])
+    return F.array_min(found)["label"]
 
 
 def video_predictions(rows: DataFrame, how: str = "majority_vote") -> DataFrame:
-    """One row per video from prob_0..2, true_label_id and pos: votes, mean probabilities, number of sequences."""
+    """One row per video from prob_0..2, true_label_id and pos: votes, mean probabilities, number of sequences.
+
+    One aggregation: classes are few, so their counts and first places are columns of it.
+    """
+    if how not in ("majority_vote", "prob_mean"):
+        raise ValueError(f"no such aggregation: {how}")
     rows = rows.withColumn("__pred", argmax3(F.col("prob_0"), F.col("prob_1"), F.col("prob_2")))
-    means = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_sequences"), *[F.avg(f"prob_{c}").alias(f"prob_mean_{c}") for c in range(CLASSES)])
-    out = means.join(_vote(rows, "true_label_id", "true_label_id"), "video_id")
-    if how == "majority_vote":
-        return out.join(_vote(rows, "__pred", "pred_label_id"), "video_id")
-    if how == "prob_mean":
-        return out.withColumn("pred_label_id", argmax3(*[F.col(f"prob_mean_{c}") for c in range(CLASSES)]))
-    raise ValueError(f"no such aggregation: {how}")
+    out = rows.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("num_sequences"), *[F.avg(f"prob_{c}").alias(f"prob_mean_{c}") for c in range(CLASSES)],
+        *_votes("true_label_id", "true"), *_votes("__pred", "pred"),
+    )
+    pred = _winner("pred") if how == "majority_vote" else argmax3(*[F.col(f"prob_mean_{c}") for c in range(CLASSES)])
+    means = [f"prob_mean_{c}" for c in range(CLASSES)]
+    return out.select("video_id", "num_sequences", *means, _winner("true").alias("true_label_id"), pred.alias("pred_label_id"))
+
+
+def with_metadata(predictions: DataFrame, meta: DataFrame, key: str = "sequence_id") -> DataFrame:
+    """Predictions beside the metadata of their sequences; the prediction's columns win over equal names."""
+    more = [c for c in meta.columns if c == key or c not in predictions.columns]
+    return predictions.join(meta.select(*more), key)
+
+
+def union_runs(summaries: dict[str, DataFrame]) -> DataFrame:
+    """Summaries of several runs as one table, each row with the name of its own run."""
+    first, *rest = [df.withColumn("run", F.lit(name)) for name, df in summaries.items()]
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=True)
+    return first
 
 
 def log_loss(videos: DataFrame, eps: float = 2.220446049250313e-16) -> DataFrame:

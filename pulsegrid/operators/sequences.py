@@ -35,7 +35,7 @@ def _max(c: Column) -> Column:
     return F.coalesce(F.max(finite(f64(c))), F.lit(0.0))
 
 
-def sequence_stats(windows: DataFrame, cfg: SequenceConfig, *keys: str) -> DataFrame:
+def sequence_stats(windows: DataFrame, cfg: SequenceConfig, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
     """One row per sequence with enough faces: bounds, means and maxima. Numbers of left-out sequences stay unused."""
     pitch = F.col("pitch_z")
     down = {"abs": F.abs(pitch), "positive": pitch, "negative": -pitch}[cfg.head_down]
@@ -48,7 +48,7 @@ def sequence_stats(windows: DataFrame, cfg: SequenceConfig, *keys: str) -> DataF
         _mean("perclos_10s").alias("mean_perclos"), _max(F.col("current_closed_duration")).alias("max_closed_duration"),
         _mean("p_closed").alias("mean_p_closed"), F.greatest(_max(F.col("mar_z")), F.lit(0.0)).alias("max_mar_z"),
         _max(F.abs(pitch)).alias("max_abs_pitch_z"), F.greatest(_max(down), F.lit(0.0)).alias("max_head_down_z"),
-        _mean("avg_blink_duration_10s").alias("mean_blink_duration"), F.avg(f64(F.col("blink_frequency_10s"))).alias("mean_blink_frequency"),
+        _mean("avg_blink_duration_10s").alias("mean_blink_duration"), F.avg(f64(F.col("blink_frequency_10s"))).alias("mean_blink_frequency"), *more,
     )
     out = out.where(F.col("face_detection_rate") >= cfg.min_face_rate)
     return out.withColumns(
@@ -132,6 +132,23 @@ def processing_log(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id").agg(n.alias("processed_frames"), d.alias("face_detected_frames"), (d / F.greatest(n, F.lit(1))).alias("face_detection_rate"))
 
 
+def log_rows(manifest: DataFrame, done: DataFrame, existing: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row per video: ``ok`` with the counts of its frames, ``skipped_exists`` with those read again, ``error`` with the message, or ``no_frames``.
+
+    ``failed`` has (video_id, error). A failure wins over frames, new frames over old ones.
+    """
+    tag = lambda rows, status: processing_log(rows).withColumn("__s", F.lit(status))
+    counted = tag(done, "ok").unionByName(tag(existing.join(done.select("video_id").distinct(), "video_id", "left_anti"), "skipped_exists"))
+    rows = manifest.select("video_id").join(counted, "video_id", "left").join(failed.groupBy("video_id").agg(F.max("error").alias("error")), "video_id", "left")
+    bad = F.col("error").isNotNull()
+    zero = lambda c: F.when(bad, F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0)))
+    return rows.select(
+        "video_id", F.when(bad, "error").otherwise(F.coalesce("__s", F.lit("no_frames"))).alias("status"),
+        *[zero(c).cast("long").alias(c) for c in ("processed_frames", "face_detected_frames")],
+        zero("face_detection_rate").cast("double").alias("face_detection_rate"), "error",
+    )
+
+
 def keep_ratio(sequences: DataFrame) -> DataFrame:
     n, k = F.count(F.lit(1)), F.sum("is_high_confidence")
     return sequences.groupBy("label_id", F.col("label").alias("class_name")).agg(n.alias("before_count"), k.alias("after_count"), (k / n).alias("keep_ratio"))

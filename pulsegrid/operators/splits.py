@@ -5,6 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pulsegrid.functions.scalars import finite
+
+#: Most groups whose class counts the split's search reads.
+MAX_GROUPS = 1_000_000
+#: Ranges of hashes (a power of two) in the ranking of a class.
+RANGES = 4_096
 
 
 def fold_key(c: str) -> list[Column]:
@@ -55,23 +63,35 @@ def choose_groups(names: list[str], counts: np.ndarray, ratio: float, seed: int)
 def group_split(meta: DataFrame, group: str = "subject_id", ratio: float = 0.2, seed: int = 42, classes: int = 3, label: str = "label_id") -> DataFrame:
     """Adds split, train or val, so that no group is in both.
 
-    The search reads the contingency table only, one row per group; the chosen names, a
-    fraction of the groups, go back as a semi join.
+    The search reads the contingency table only, one row per group, of which there may be
+    ``MAX_GROUPS``; the chosen names, a fraction of the groups, go back as a join.
     """
-    table = group_class_counts(meta, group, label, classes).orderBy(group).collect()
+    table = group_class_counts(meta, group, label, classes).orderBy(group).limit(MAX_GROUPS + 1).collect()
+    if len(table) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
     counts = np.array([[r[f"n_{c}"] for c in range(classes)] for r in table], dtype=np.int64).reshape(len(table), classes)
     chosen = choose_groups([r[group] for r in table], counts, ratio, seed)
-    names = meta.sparkSession.createDataFrame([(g,) for g in chosen], f"{group} string").withColumn("__val", F.lit(1))
+    schema = T.StructType([T.StructField(group, meta.schema[group].dataType)])
+    names = meta.sparkSession.createDataFrame([(g,) for g in chosen], schema).withColumn("__val", F.lit(1))
     return meta.join(names, group, "left").withColumn("split", F.when(F.col("__val") == 1, "val").otherwise("train")).drop("__val")
 
 
 def stratified_split(meta: DataFrame, key: str, label: str = "label_id", ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds split by class: the share of each class with the least seeded hash is val; a single row is train."""
-    by = Window.partitionBy(label)
-    nth = F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), key), key))
-    n = F.count(F.lit(1)).over(by)
+    """Adds split by class: the share of each class with the least seeded hash is val; a single row is train.
+
+    Ranks are found in two levels, so that no class lies in one task: counts by class and
+    range of hashes with running sums over the ranges (``RANGES`` a class), then places within a range.
+    """
+    h = F.xxhash64(F.lit(seed), key)
+    rows = meta.withColumns({"__h": h, "__b": F.shiftright(h, 64 - RANGES.bit_length() + 1)})
+    by = Window.partitionBy("__l")
+    sums = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    sums = sums.withColumns({"__before": F.sum("__n").over(by.orderBy("__c")) - F.col("__n"), "__all": F.sum("__n").over(by)})
+    nth = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
+    both = rows.withColumn("__r", nth).join(sums, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c")))
+    n = F.col("__all")
     take = F.when(n > 1, F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("int"))).otherwise(0)
-    return meta.withColumns({"__r": nth, "__k": take}).withColumn("split", F.when(F.col("__r") <= F.col("__k"), "val").otherwise("train")).drop("__r", "__k")
+    return both.withColumn("split", F.when(F.col("__before") + F.col("__r") <= take, "val").otherwise("train")).select(*meta.columns, "split")
 
 
 def tagged(parts: dict[str, DataFrame]) -> DataFrame:
@@ -82,10 +102,17 @@ def tagged(parts: dict[str, DataFrame]) -> DataFrame:
     return first
 
 
-def standardizer(values: DataFrame, feature: str = "feature", value: str = "value", floor: float = 1e-6) -> DataFrame:
-    """(feature, mean, std) over all values; a deviation below the floor counts as 1."""
-    s = F.stddev_pop(value)
-    return values.groupBy(feature).agg(F.avg(value).alias("mean"), F.when(s < floor, 1.0).otherwise(s).alias("std"))
+def standardizer(values: DataFrame, train: Column, feature: str = "feature", value: str = "value", floor: float = 1e-6) -> DataFrame:
+    """(feature, mean, std) over the rows where ``train`` holds, missing and infinite values as 0; a deviation below the floor counts as 1."""
+    rows = values.where(train).select(feature, F.coalesce(finite(F.col(value)), F.lit(0.0)).alias("__v"))
+    s = F.stddev_pop("__v")
+    return rows.groupBy(feature).agg(F.avg("__v").alias("mean"), F.when(s < floor, 1.0).otherwise(s).alias("std"))
+
+
+def standardize(values: DataFrame, stats: DataFrame, feature: str = "feature", value: str = "value", out: str = "z") -> DataFrame:
+    """Adds ``out``: the cleaned value less the feature's mean, over its deviation. ``stats`` has a row per feature."""
+    clean = F.coalesce(finite(F.col(value)), F.lit(0.0))
+    return values.join(F.broadcast(stats), feature).withColumn(out, (clean - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def class_weights(rows: DataFrame, target: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.config import FEATURES, FIXTURE_FRAMES, FIXTURE_SEQUENCES, BlinkConfig, FrameConfig, SequenceConfig
@@ -28,15 +28,16 @@ def states(norm: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
 
 def rolling(norm: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
     rows = states(norm, cfg)
-    return blinks.sanitise(blinks.blink_rolling(rows, blinks.blink_events(rows, cfg), cfg), FEATURES)
+    return blinks.sanitise(blinks.blink_rolling(rows, cfg), FEATURES)
 
 
 def windows(roll: DataFrame, man: DataFrame, cfg: SequenceConfig) -> DataFrame:
     return sequences.slide(roll, cfg).join(man.select("video_id", "label", "label_id", "original_label"), "video_id")
 
 
-def decided(win: DataFrame, cfg: SequenceConfig) -> DataFrame:
-    return sequences.decide(sequences.score(sequences.sequence_stats(win, cfg, *sequences.META), cfg))
+def decided(win: DataFrame, cfg: SequenceConfig, *more: Column) -> DataFrame:
+    """Scored and decided sequences; ``more`` are further aggregates over their frames."""
+    return sequences.decide(sequences.score(sequences.sequence_stats(win, cfg, *sequences.META, more=more), cfg))
 
 
 def fixture_norm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,21 +54,21 @@ def fixture_sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return win, decided(win, FIXTURE_SEQUENCES)
 
 
-def fixture_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences with probabilities from their scores; every seventh is surely normal."""
-    _, seq = fixture_sequences(spark, sf_dir)
+def with_probs(seq: DataFrame) -> DataFrame:
+    """Probabilities from the sequences' scores; every seventh is surely normal."""
     total = 1 + F.col("drowsy_score") + F.col("sleepy_score")
     sure = F.col("seq_idx") % 7 == 0
     p = {"prob_0": (0.96, 1 / total), "prob_1": (0.02, F.col("drowsy_score") / total), "prob_2": (0.02, F.col("sleepy_score") / total)}
-    return seq.withColumns({n: F.when(sure, a).otherwise(b) for n, (a, b) in p.items()} | {"true_label_id": F.col("label_id"), "pos": F.col("seq_idx")})
+    return seq.withColumns({n: F.when(sure, a).otherwise(b) for n, (a, b) in p.items()})
+
+
+def fixture_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, seq = fixture_sequences(spark, sf_dir)
+    return with_probs(seq).withColumns({"true_label_id": F.col("label_id"), "pos": F.col("seq_idx")})
 
 
 def fixture_ruled(spark: SparkSession, sf_dir: str, cfg: rules.RuleConfig) -> DataFrame:
+    """Scores, decisions and the rule's values come from one aggregation."""
     _, man, norm = fixture_norm(spark, sf_dir)
     win = windows(rolling(norm), man, FIXTURE_SEQUENCES)
-    seq = decided(win, FIXTURE_SEQUENCES)
-    total = 1 + F.col("drowsy_score") + F.col("sleepy_score")
-    sure = F.col("seq_idx") % 7 == 0
-    probs = {"prob_0": (0.96, 1 / total), "prob_1": (0.02, F.col("drowsy_score") / total), "prob_2": (0.02, F.col("sleepy_score") / total)}
-    rows = seq.withColumns({n: F.when(sure, a).otherwise(b) for n, (a, b) in probs.items()})
-    return rules.apply_rule(rows.join(rules.last_values(win), ["video_id", "seq_idx"]), cfg)
+    return rules.apply_rule(with_probs(decided(win, FIXTURE_SEQUENCES, *rules.last_columns())), cfg)

@@ -139,7 +139,7 @@ SEQ = [
       arg_max(current_closed_duration, w.processed_idx) AS last_closed, arg_max(perclos_10s, w.processed_idx) AS last_perclos, arg_max(p_closed, w.processed_idx) AS last_p,
       arg_max(pitch_z, w.processed_idx) AS last_pitch, arg_max(yaw_z, w.processed_idx) AS last_yaw, arg_max(roll_z, w.processed_idx) AS last_roll
       FROM win w JOIN man m ON w.video_id = m.video_id GROUP BY 1, 2, 3 HAVING avg(face_detected) >= 0.5"""),
-    ("sq1", f"""SELECT *, concat(video_id, '_seq', lpad(CAST(seq_idx AS VARCHAR), 5, '0')) AS sequence_id, max_abs_pitch_z AS max_head_down_z,
+    ("sq1", f"""SELECT *, concat(video_id, '_seq', format('{{:05d}}', seq_idx)) AS sequence_id, max_abs_pitch_z AS max_head_down_z,
       {c01("mean_perclos / 0.6::DOUBLE")} AS s_perclos, {c01("max_closed_duration / 2::DOUBLE")} AS s_closed, {c01("mean_p_closed / 0.8::DOUBLE")} AS s_p,
       {c01("max_mar_z / 3::DOUBLE")} AS s_yawn, {c01("max_abs_pitch_z / 3::DOUBLE")} AS s_head, {c01("mean_blink_duration / 0.6::DOUBLE")} AS s_blink FROM sq0"""),
     ("sq2", f"""SELECT *, {c01("0.4::DOUBLE * s_perclos + 0.35::DOUBLE * s_closed + 0.2::DOUBLE * s_p + 0.05::DOUBLE * s_blink")} AS eye_sleep_score,
@@ -201,13 +201,13 @@ REPORT = [
 NAMES = ("accuracy", "macro_f1", "recall_0", "recall_1", "recall_2", "normal_false_alarm_rate")
 LOGITS = ("lg", "SELECT vec_id, embedding[1]::DOUBLE AS a0, embedding[2]::DOUBLE AS a1, embedding[3]::DOUBLE AS s0, embedding[4]::DOUBLE AS s1, label % 3 AS y FROM embeddings")
 VALS = ("ev", "SELECT vec_id, unnest(embedding)::DOUBLE AS value, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS feature FROM embeddings")
-STD = ("sd", "SELECT feature, avg(value) AS mean, CASE WHEN stddev_pop(value) < 1e-6 THEN 1 ELSE stddev_pop(value) END AS std FROM ev GROUP BY 1")
+STD = ("sd", "SELECT feature, avg(value) AS mean, CASE WHEN stddev_pop(value) < 1e-6 THEN 1 ELSE stddev_pop(value) END AS std FROM ev WHERE vec_id % 5 <> 0 GROUP BY 1")
 
 
 def blink_columns() -> str:
     return ", ".join(
-        ["video_id, CAST(blink_id AS INT) AS blink_id, start_idx, end_idx, min_idx, duration", rs("start_time", "end_time", "min_time", "duration_sec", "p_closed_max"),
-         r("blink_id / greatest(end_time, 1e-6::DOUBLE)", "frequency"), rs("amplitude", "opening_velocity", "ear_z_start", "ear_z_min", "ear_z_end", digits=3)]
+        ["video_id, CAST(ev.blink_id - 1 AS INT) AS blink_id, start_idx, end_idx, min_idx, duration", rs("start_time", "end_time", "min_time", "duration_sec", "p_closed_max"),
+         r("ev.blink_id / greatest(end_time, 1e-6::DOUBLE)", "frequency"), rs("amplitude", "opening_velocity", "ear_z_start", "ear_z_min", "ear_z_end", digits=3)]
     )
 
 
@@ -226,7 +226,7 @@ def rule(force: bool) -> str:
     if force:
         eyes = f"({eyes} OR ({f('max_mar', 2.5)} AND ({eyes} OR {f('last_p', 0.6)})))"
     head = " OR ".join(f(f"abs({c})", 2.8) for c in ("last_pitch", "last_yaw", "last_roll"))
-    mask = f"({eyes} OR {head}) AND (NOT CAST(prob_0 AS FLOAT) >= CAST(0.95 AS FLOAT) OR {f('max_closed', 2.0)})"
+    mask = f"({eyes} OR {head}) AND (NOT prob_0 >= 0.95::DOUBLE OR {f('max_closed', 2.0)})"
     if force:
         hit, new = "m", ("0", "0", "1")
     else:
@@ -252,6 +252,17 @@ def ce(a: str, b: str, target: str) -> str:
     return f"(0.97::DOUBLE * ({norm} - CASE WHEN {target} = 0 THEN {a} ELSE {b} END) + 0.015::DOUBLE * (2 * {norm} - {a} - {b}))"
 
 
+def weighted_ce(a: str, b: str, target: str, w0: str, w1: str) -> str:
+    norm = f"(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
+    parts = f"{w0}::DOUBLE * ({norm} - {a})", f"{w1}::DOUBLE * ({norm} - {b})"
+    return f"sum(0.97::DOUBLE * CASE WHEN {target} = 0 THEN {parts[0]} ELSE {parts[1]} END + 0.015::DOUBLE * ({parts[0]} + {parts[1]})) / sum(CASE WHEN {target} = 0 THEN {w0}::DOUBLE ELSE {w1}::DOUBLE END)"
+
+
+def runs_union(name: str, t: str, p: str) -> str:
+    long = " UNION ALL ".join(f"SELECT '{n}' AS metric, {n}::DOUBLE AS v FROM met" for n in ("accuracy", "macro_f1"))
+    return with_(TRUTH, *metrics("tp", t, p, "fold"), ("lo", long), select=f"SELECT '{name}' AS run, metric, {r('avg(v)', 'mean')}, {r('stddev_pop(v)', 'std')}, {r('min(v)', 'min')}, {r('max(v)', 'max')} FROM lo GROUP BY 2")
+
+
 def eye(e: str = "e") -> str:
     d = lambda i, j: f"sqrt(power(({e}[{i}] - {e}[{j}]) * 640, 2) + power(({e}[{i + 6}] - {e}[{j + 6}]) * 480, 2))"
     return (
@@ -268,7 +279,7 @@ ORACLES: dict[str, str] = {
     "q_unique_ids": """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
         SELECT doc_id, source AS video_id_original, CASE WHEN k > 1 THEN concat(source, '_dup', CAST(k AS VARCHAR)) ELSE source END AS video_id FROM n""",
     "q_safe_name": """SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe_name,
-        concat(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '_seq', lpad(CAST(page_id AS VARCHAR), 5, '0')) AS sequence_id FROM pages""",
+        concat(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '_seq', format('{:05d}', page_id)) AS sequence_id FROM pages""",
     "q_frame_sampling": with_(
         F, ("s", f"SELECT *, {_step} AS fps, CAST(greatest(1, round_even(({_step}) / 15, 0)) AS INT) AS frame_step FROM frames"),
         select=f"SELECT video_id, frame_idx, frame_step, {r('frame_idx / fps', 'timestamp')}, {r('fps / frame_step', 'effective_fps')} FROM s WHERE frame_idx % frame_step = 0"),
@@ -309,6 +320,19 @@ ORACLES: dict[str, str] = {
         select=f"SELECT vec_id, {rs('prob_0', 'prob_1', 'prob_2')}, {first_largest('prob_0', 'prob_1', 'prob_2')} AS pred, {r('1 / (1 + exp(-a0))', 'sig')} FROM p"),
     "q_hier_loss": with_(LOGITS, ("l", f"SELECT avg({ce('a0', 'a1', 'CASE WHEN y > 0 THEN 1 ELSE 0 END')}) AS abnormal_loss, coalesce(avg({ce('s0', 's1', '(y - 1)')}) FILTER (y > 0), 0) AS stage_loss FROM lg"),
         select=f"SELECT {rs('abnormal_loss', 'stage_loss')}, {r('abnormal_loss + stage_loss', 'loss')} FROM l"),
+    "q_hier_loss_weighted": with_(LOGITS,
+        ("a", f"SELECT {weighted_ce('a0', 'a1', 'CASE WHEN y > 0 THEN 1 ELSE 0 END', '1.5', '0.75')} AS abnormal_loss FROM lg"),
+        ("s", f"SELECT {weighted_ce('s0', 's1', '(y - 1)', '0.6', '3.0')} AS stage_loss FROM lg WHERE y > 0"),
+        select=f"SELECT {rs('abnormal_loss', 'stage_loss')}, {r('abnormal_loss + stage_loss', 'loss')} FROM a, s"),
+    "q_rule_off": with_(*PROBS, select=f"SELECT sequence_id, CAST(0 AS INT) AS rule_mask, {first_largest('prob_0', 'prob_1', 'prob_2')} AS pred_rule, " + ", ".join(r(f"CAST(prob_{c} AS FLOAT)", f"prob_rule_{c}", 4) for c in range(3)) + " FROM pr"),
+    "q_predictions_meta": f"SELECT a.sequence_id, a.pred_rule, b.video_id, b.fold, b.label_id FROM ({rule(False)}) a JOIN ({with_(*PROBS, select='SELECT sequence_id, video_id, fold, label_id FROM pr')}) b ON a.sequence_id = b.sequence_id",
+    "q_cv_runs": f"SELECT * FROM ({runs_union('plain', 't', 'p')}) UNION ALL SELECT * FROM ({runs_union('swapped', 'p', 't')})",
+    "q_first_videos": with_(F, MAN, select="SELECT video_id, label FROM man ORDER BY video_id LIMIT 10"),
+    "q_log_rows": with_(F,
+        ("c", "SELECT video_id, count(*) AS n, CAST(sum(face_detected) AS BIGINT) AS d FROM frames GROUP BY 1"),
+        ("g", "SELECT *, right(video_id, 1) AS g FROM c"),
+        ("s", "SELECT *, CASE WHEN g = '3' THEN 'error' WHEN g >= '5' THEN 'ok' WHEN g < '3' THEN 'skipped_exists' ELSE 'no_frames' END AS status FROM g"),
+        select=f"SELECT video_id, status, CASE WHEN status IN ('ok', 'skipped_exists') THEN n ELSE 0 END AS processed_frames, CASE WHEN status IN ('ok', 'skipped_exists') THEN d ELSE 0 END AS face_detected_frames, {r("CASE WHEN status IN ('ok', 'skipped_exists') THEN d / n ELSE 0 END", 'face_detection_rate')}, CASE WHEN status = 'error' THEN 'no stream' END AS error FROM s"),
     "q_sleepy_boost": rule(False),
     "q_sleepy_force": rule(True),
     "q_confusion": with_(TRUTH, ("g", "SELECT CAST(a AS INT) AS t, CAST(b AS INT) AS p FROM (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1, 2]) AS b)"), ("c", "SELECT g.t, g.p, count(tp.doc_id) AS n FROM g LEFT JOIN tp ON g.t = tp.t AND g.p = tp.p GROUP BY 1, 2"),

@@ -205,12 +205,13 @@ def _values(spark, d):
 
 
 def q_standardizer(spark, d):
-    return splits.standardizer(_values(spark, d)).select("feature", *r6("mean", "std"))
+    """Fitted on four fifths of the vectors."""
+    return splits.standardizer(_values(spark, d), F.col("vec_id") % 5 != 0).select("feature", *r6("mean", "std"))
 
 
 def q_standardized(spark, d):
     rows = _values(spark, d)
-    out = rows.join(splits.standardizer(rows), "feature").withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
+    out = splits.standardize(rows, splits.standardizer(rows, F.col("vec_id") % 5 != 0))
     return out.select("vec_id", "feature", F.round("z", 5).alias("z"))
 
 
@@ -234,6 +235,41 @@ def _ruled(spark, d, cfg):
     return rows.select("sequence_id", F.col("rule_mask").cast("int").alias("rule_mask"), "pred_rule", *[F.round(F.col(f"prob_rule_{c}").cast("double"), 4).alias(f"prob_rule_{c}") for c in range(3)])
 
 
+def q_hier_loss_weighted(spark, d):
+    out = rules.hierarchical_loss(_logits(spark, d), abnormal_weights=(1.5, 0.75), stage_weights=(0.6, 3.0))
+    return out.select(*r6("abnormal_loss", "stage_loss", "loss"))
+
+
+def q_rule_off(spark, d):
+    return _ruled(spark, d, RuleConfig(use_rule=False))
+
+
+def q_predictions_meta(spark, d):
+    """Rule predictions joined back to the metadata of their sequences."""
+    ruled = P.fixture_ruled(spark, d, RuleConfig()).select("sequence_id", "pred_rule")
+    return metrics.with_metadata(ruled, P.fixture_sequences(spark, d)[1]).select("sequence_id", "pred_rule", "video_id", "fold", "label_id")
+
+
+def q_cv_runs(spark, d):
+    """The summaries of two runs as one table."""
+    one = lambda t, p: metrics.cv_summary(metrics.summary(_truth(spark, d), t, p, 3, "fold"), ["accuracy", "macro_f1"])
+    return metrics.union_runs({"plain": one("t", "p"), "swapped": one("p", "t")}).select("run", "metric", *r6("mean", "std", "min", "max"))
+
+
+def q_first_videos(spark, d):
+    man = P.manifest(tables.frames(spark, d))
+    return tables.first_videos(man, 10, "video_id").select("video_id", "label")
+
+
+def q_log_rows(spark, d):
+    """Videos done before, new ones, and those that failed."""
+    f = tables.frames(spark, d)
+    group = F.substring("video_id", -1, 1)
+    failed = tables.videos(f).where(group == "3").select("video_id", F.lit("no stream").alias("error"))
+    rows = sequences.log_rows(tables.videos(f), f.where(group >= "5"), f.where(group < "3"), failed)
+    return rows.select("video_id", "status", "processed_frames", "face_detected_frames", *r6("face_detection_rate"), "error")
+
+
 def q_sleepy_boost(spark, d):
     return _ruled(spark, d, RuleConfig())
 

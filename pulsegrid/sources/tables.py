@@ -138,6 +138,29 @@ def not_yet_done(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return manifest.join(done.select("video_id").distinct(), "video_id", "left_anti")
 
 
+def first_videos(manifest: DataFrame, n: int | None, order: str = "manifest_pos") -> DataFrame:
+    """The first n videos of the manifest, a top-k; all without a limit."""
+    return manifest if n is None else manifest.orderBy(order).limit(n)
+
+
+def checked_arrays(rows: DataFrame, meta: DataFrame, key: str, required: tuple[str, ...], max_samples: int | None = None, label: str = "label_id") -> DataFrame:
+    """Sequence arrays beside their metadata: raises on columns that are missing, keys that only one side has, or labels outside 0 to 2.
+
+    ``max_samples`` takes the first so many by key, as a stated limit of a trial run.
+    """
+    if missing := [c for c in (key, label, *required) if c not in meta.columns]:
+        raise ValueError(f"the metadata lacks {missing}")
+    both = rows.join(meta.withColumn("__m", F.lit(1)), key, "full")
+    odd = both.agg(
+        F.count_if(F.col("__m").isNull()).alias("arrays"), F.count_if(F.col(f"{rows.columns[-1]}").isNull()).alias("meta"),
+        F.count_if(~F.col(label).isin(0, 1, 2)).alias("labels"),
+    ).first()
+    if any(odd):
+        raise ValueError(f"arrays without metadata, metadata without arrays, unknown labels: {tuple(odd)}")
+    whole = both.drop("__m")
+    return whole if max_samples is None else whole.orderBy(key).limit(max_samples)
+
+
 def strip_prefix(name: str = "name") -> Column:
     """Weight names without the prefix of a parallel wrapper."""
     return F.regexp_replace(name, "^module\\.", "")

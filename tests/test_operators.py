@@ -184,3 +184,97 @@ def test_small_sources(spark, tmp_path):
     a = spark.createDataFrame([("a", 0)], "class_name string, class_id int")
     with pytest.raises(ValueError):
         tables.same_classes([a, a.withColumn("class_id", F.lit(1))])
+
+
+def test_blink_ids_begin_at_zero(spark):
+    p = [0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0]
+    df = spark.createDataFrame([("V", i, i, i / 15, v, -v) for i, v in enumerate(p)], "video_id string, processed_idx long, frame_idx long, timestamp double, p_closed_smooth float, ear_z float")
+    rows = blinks.blink_events(signals.closed_state(df)).orderBy("start_idx").collect()
+    assert [(r["blink_id"], r["start_idx"], r["end_idx"]) for r in rows] == [(0, 1, 3), (1, 5, 7)]
+    assert [r["frequency"] for r in rows] == pytest.approx([1 / (3 / 15), 2 / (7 / 15)])
+
+
+@pytest.mark.parametrize("fps", [15.0, 30.0])
+def test_events_in_place_equal_the_events(spark, fps):
+    rng, cfg = random.Random(int(fps) + 1), C.BlinkConfig(min_gap=0.0)
+    p, rows = 0.0, []
+    for i in range(400):
+        p = rng.choice([0.0, 1.0, 0.5]) if rng.random() < 0.4 else p
+        rows.append((f"V{i % 2}", i // 2, i, i // 2 / fps, p, rng.gauss(0, 1)))
+    df = signals.closed_state(spark.createDataFrame(rows, "video_id string, processed_idx long, frame_idx long, timestamp double, p_closed_smooth float, ear_z float"), cfg)
+    events = {(r["video_id"], r["end_idx"]): (r["end_time"], r["duration_sec"], r["amplitude"], r["opening_velocity"]) for r in blinks.blink_events(df, cfg).collect()}
+    placed = blinks._events_in_place(df, cfg).where("__end IS NOT NULL").collect()
+    got = {(r["video_id"], r["processed_idx"]): (r["__end"], r["__duration_sec"], r["__amplitude"], r["__opening_velocity"]) for r in placed}
+    assert got == events and len(got) > 10
+
+
+def test_rule_guard_is_in_double_precision(spark):
+    """The nearest single to 0.95 lies below it: not guarded."""
+    assert ruled(spark, last_perclos=0.9, prob_0=float(np.float32(0.95)))["rule_mask"]
+    assert not ruled(spark, last_perclos=0.9, prob_0=0.95)["rule_mask"]
+
+
+def test_rule_off_and_absent_features(spark):
+    row = ruled(spark, C.RuleConfig(use_rule=False), last_perclos=0.9, prob_0=0.2, prob_1=0.5, prob_2=0.1)
+    assert not row["rule_mask"] and row["pred_rule"] == 1 and row["prob_rule_1"] == pytest.approx(0.5)
+    few = tuple(c for c in C.FEATURES if c not in ("perclos_10s", "current_closed_duration", "yaw_z"))
+    df = spark.createDataFrame([(0.0, 3.0, 0.0, 0.5), (0.0, 0.0, 0.0, 0.5), (0.0, 3.0, 0.0, 0.95)], "last_p float, last_pitch float, last_roll float, prob_0 double")
+    got = df.select(rules.sleepy_mask(C.RuleConfig(), few).alias("m")).collect()
+    assert [r["m"] for r in got] == [True, False, False]
+
+
+def test_sequence_ids_keep_all_digits(spark):
+    from pulsegrid.functions.scalars import sequence_id
+
+    df = spark.createDataFrame([(7,), (123456,), (123457,), (None,)], "n long")
+    assert [r[0] for r in df.select(sequence_id(F.lit("v"), F.col("n"))).collect()] == ["v_seq00007", "v_seq123456", "v_seq123457", None]
+
+
+def test_standardizer_reads_clean_train_rows(spark):
+    rows = [("a", 1.0, 1), ("a", 3.0, 1), ("a", float("nan"), 1), ("a", None, 1), ("a", 1000.0, 0), ("b", 5.0, 1), ("b", 5.0, 1)]
+    df = spark.createDataFrame(rows, "feature string, value double, train int")
+    stats = splits.standardizer(df, F.col("train") == 1)
+    got = {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}
+    assert got == {"a": (1.0, pytest.approx(np.std([1, 3, 0, 0]))), "b": (5.0, 1.0)}
+    z = splits.standardize(df, stats).where("value = 1000").first()["z"]
+    assert z == pytest.approx(999 / np.std([1, 3, 0, 0]))
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 4096])
+def test_stratified_split_ranks_in_two_levels(spark, monkeypatch, ranges):
+    monkeypatch.setattr(splits, "RANGES", ranges)
+    df = spark.createDataFrame([(i, (i % 7 > 0) + (i % 50 == 0)) for i in range(300)] + [(900, 9), (901, None), (902, None)], "k int, label_id int")
+    got = splits.stratified_split(df, "k").withColumn("h", F.xxhash64(F.lit(42), "k")).collect()
+    for label in {r["label_id"] for r in got}:
+        own = sorted((r["h"], r["k"], r["split"]) for r in got if r["label_id"] == label)
+        take = max(1, round(len(own) * 0.2)) if len(own) > 1 else 0
+        assert [s for *_, s in own] == ["val"] * take + ["train"] * (len(own) - take)
+
+
+def test_group_split_of_numbers_and_its_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 9, i % 3) for i in range(90)], "k int, subject_id int, label_id int")
+    assert {r["split"] for r in splits.group_split(df).collect()} == {"train", "val"}
+    monkeypatch.setattr(splits, "MAX_GROUPS", 5)
+    with pytest.raises(ValueError):
+        splits.group_split(df)
+
+
+def test_arrays_are_checked(spark):
+    x = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "k int, x array<double>")
+    meta = spark.createDataFrame([(1, 0, "a"), (2, 2, "b")], "k int, label_id int, fold string")
+    assert tables.checked_arrays(x, meta, "k", ("fold",)).count() == 2
+    assert [r["k"] for r in tables.checked_arrays(x, meta, "k", ("fold",), 1).collect()] == [1]
+    for bad in (meta.drop("fold"), meta.limit(1), meta.withColumn("label_id", F.lit(3))):
+        with pytest.raises(ValueError):
+            tables.checked_arrays(x, bad, "k", ("fold",)).count()
+
+
+@pytest.mark.parametrize("name", ["q_blink_rolling", "q_video_vote", "q_sleepy_boost"])
+def test_the_frame_chain_runs_once_after_calibration(spark, name):
+    """Scans of the fixture: the chain itself, the manifest's and the calibration's."""
+    from conftest import SF
+
+    from pulsegrid.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 8, plan.count("FileScan")

@@ -302,6 +302,8 @@ def labelled_table(seed: int = 7, each: int = 1) -> list[tuple[str, list[tuple[i
                 for _ in range(each):
                     one = re.sub("#", lambda _: str(rng.integers(10)), form)
                     one = re.sub(r"\{w\}", lambda _: NAMES[rng.integers(len(NAMES))], one)
+                    if kind == "card":  # the last digit is the check digit
+                        one = next(one[:-1] + d for d in "0123456789" if luhn(_NOT_DIGIT.sub("", one[:-1] + d)))
                     at = context.index("{}")
                     out.append((context.replace("{}", one), [(at, at + len(one), kind)] if kind else []))
     return out

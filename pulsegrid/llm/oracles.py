@@ -30,6 +30,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
   f0 OR f1 AS base_failed, NOT ({" OR ".join(f"f{i}" for i in range(7))}) AS kept FROM f
 """
 
+_POLICIES = {"base": ("few_words", "repeated_windows"), "standard": ("few_words", "repeated_windows", "many_symbols", "duplicate_lines", "short_words", "long_words", "shouting")}
+ABLATIONS = f"WITH q AS ({OP4}) " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS policy, CAST(1 AS INT) AS version, count(*) AS n_docs, bit_or(failed_bits) AS all_bits, bit_and(failed_bits) AS common_bits, '{rule}' AS rule,
+  count(*) FILTER (failed_bits & {1 << i} <> 0) AS n_failed, count(*) FILTER (failed_bits & {(1 << len(rules)) - 1} = {1 << i}) AS n_only FROM q"""
+    for name, rules in _POLICIES.items()
+    for i, rule in enumerate(rules)
+)
+
 OP10 = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
@@ -41,4 +49,4 @@ k AS (SELECT p.doc_id, count(x.i) AS n_removed, string_agg(word, ' ' ORDER BY p.
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op4_quality_rules": OP4, "op10_substring_dedup": OP10}
+ORACLES = {"quality_ablations": ABLATIONS, "op1_line_dedup": OP1, "op4_quality_rules": OP4, "op10_substring_dedup": OP10}

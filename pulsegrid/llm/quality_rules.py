@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import WORD_GAP
+from pulsegrid.llm.shared import WORD_GAP, cut
 
 #: The rules in the order of their bits; each fails where its condition is true.
 RULES: dict[str, str] = {
@@ -95,6 +95,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     * null text: no words, so every count is 0 and ``few_words`` fails; an empty text likewise
     * null id: kept as null; repeated rows: one result row each; an empty table: no rows
+    * very long texts are measured whole; the work grows as n log n with their words
     * other columns of the input, whatever their names, are not read
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -154,6 +155,19 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     ).select(F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"), "n_docs", "all_bits", "common_bits", F.inline("r"))
 
 
+def policy_report(docs: DataFrame, policies: tuple[Policy, ...] = (BASE, STANDARD), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``ablations`` of several versioned policies over one ledger, written once to the shared folder.
+
+    Null, empty and very long texts, null ids and repeated rows are as in ``ledger``; of an
+    empty table the counts are 0 and the bits null.
+    """
+    stored = cut(ledger(docs, id_col, text_col).select("failed_bits"))
+    first, *rest = [ablations(stored, p) for p in policies]
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
 def quality(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ledger with ``base_failed`` and ``kept`` (false if ``base_failed``, else the policy's verdict)."""
     rows = apply_policy(apply_policy(ledger(docs, id_col, text_col), BASE, "base_ok"), policy)
@@ -166,7 +180,9 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id"
     """The rows of the documents that the policy keeps, with their own columns alone.
 
     The verdict is a function of the row's text, so no join is needed: the measurements
-    are computed beside the row and dropped again.
+    are computed beside the row and dropped again. Null and empty texts go, for they have
+    too few words; null ids and repeated rows are judged by their text; other columns travel
+    along, whatever their names; an empty table gives no rows.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return quality(whole, policy, "row", "text").where("kept").select("row.*")

@@ -17,6 +17,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two policies' ablations from the stored ledger of operator 4."""
+    return quality_rules.policy_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents encoded and decoded again."""
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), with_ids=False)
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_suffix_array": op3_suffix_array,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablations": quality_ablations,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,

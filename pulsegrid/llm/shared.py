@@ -17,11 +17,14 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests, a temporary folder is made.
+    Only where the setting is absent and all runs on this machine, as in tests, a temporary
+    folder is made; on a cluster that raises, for executors would not see the folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if made.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="pulsegrid-")
         if made.isEmpty():
             spark.sparkContext.setCheckpointDir(folder)

@@ -26,7 +26,7 @@ from pulsegrid.llm.shared import keyed
 KINDS = ("email", "ip", "card", "phone")
 #: Most labelled rows that training takes.
 TRAINING_ROWS = 5_000
-#: Tokens on either side of a digit, "@" or "dot" that a sequence holds.
+#: Tokens on either side of a cue that a sequence holds.
 RADIUS = 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,7 +80,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Labels: 0 outside, then begin and inside of each kind.
 N_LABELS = 1 + 2 * len(KINDS)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\w")
-_CUE = re.compile(r"[0-9@]|\bdot\b", re.IGNORECASE)
+#: Digits, "@", "dot", a bracketed "at", hexadecimal groups with colons.
+_CUE = re.compile(r"[0-9]+|@|\bdot\b|[\[({]\s?at\s?[\])}]|\b(?:[a-f]{1,4}:){2,}|::", re.IGNORECASE)
 #: Words that stand for themselves among the shapes.
 CUE_WORDS = ("at", "dot", "com", "org", "net", "tel", "phone", "call", "fax", "mobile", "card", "ip", "isbn", "version", "id", "order", "date")
 
@@ -216,15 +217,20 @@ def viterbi(field: Field, shapes: list[list[str]]) -> list[np.ndarray]:
 
 
 def _sequences(text: str) -> list[list[tuple[int, int, str]]]:
-    """Token runs around digits, "@" and "dot" within a line: nothing else can hold a span."""
+    """Token runs around the cues within a line: nothing else can hold a span."""
     out = []
     if not _CUE.search(text):
         return out
     for line in re.finditer(r"[^\n]+", text):
-        if not _CUE.search(text, line.start(), line.end()):
+        cues = [m.span() for m in _CUE.finditer(text, line.start(), line.end())]
+        if not cues:
             continue
-        toks = tokens(text, line.start(), line.end())
-        marks = [i for i, t in enumerate(toks) if text[t[0]] in "0123456789@" or t[2].rstrip("_") == "dot"]
+        toks, marks, at = tokens(text, line.start(), line.end()), [], 0
+        for i, t in enumerate(toks):
+            while at < len(cues) and cues[at][1] <= t[0]:
+                at += 1
+            if at < len(cues) and cues[at][0] < t[1]:
+                marks.append(i)
         begin = end = -1
         for i in marks:
             if begin >= 0 and i - RADIUS <= end:
@@ -255,6 +261,30 @@ def _valid(kind: int, found: str) -> bool:
     return 10 <= len(digits) <= 15 and not re.search(r"[^\W\d]", found)
 
 
+_MORE_DOMAIN = re.compile(r"(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[\w-]+)*", re.IGNORECASE)
+
+
+def _snap(kind: int, text: str, s: int, e: int, floor: int) -> tuple[int, int]:
+    """The labelled stretch with its ends where its kind can begin and end, at or after ``floor``."""
+    while s < e and not (text[s].isalnum() or text[s] in "(:" and kind in (1, 3)):
+        s += 1
+    while s < e and not (text[e - 1].isalnum() or kind == 1 and text[e - 2 : e] == "::"):
+        e -= 1
+    if kind == 0:
+        while s > floor and (text[s - 1].isalnum() or text[s - 1] in "._%+-"):
+            s -= 1
+        while s < e and text[s] in ".%+-":
+            s += 1
+        e = _MORE_DOMAIN.match(text, e).end()
+    elif kind == 3:
+        inner = text[s:e]
+        if inner.count(")") > inner.count("(") and s > floor and text[s - 1] == "(":
+            s -= 1
+        elif inner.startswith("(") and ")" not in inner:
+            s += 1
+    return s, e
+
+
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) that the field finds in each text."""
     owners, seqs = [], []
@@ -272,8 +302,8 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int
             kind, end = (labels[at] - 1) // 2, at + 1
             while end < len(seq) and labels[end] == 2 + 2 * kind:
                 end += 1
-            s, e = seq[at][0], seq[end - 1][1]
-            if _valid(kind, texts[i][s:e]):
+            s, e = _snap(kind, texts[i], seq[at][0], seq[end - 1][1], out[i][-1][1] if out[i] else 0)
+            if s < e and _valid(kind, texts[i][s:e]):
                 out[i].append((s, e, int(kind)))
             at = end
     return out
@@ -283,14 +313,30 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int
 
 #: "#" stands for a digit; a tuple holds (kind or "", forms).
 FORMS = (
-    ("phone", ("(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "1-###-###-####", "0## #### ####", "00## ### #######")),
-    ("email", ("{w} at {w} dot com", "{w} [at] {w} [dot] org", "{w}(at){w}(dot)net", "{w} @ {w} . com", "{w}.{w} at {w} dot com")),
-    ("ip", ("2001:db8:0:0:8:800:200c:417a", "fe80::1ff:fe23:4567:890a", "2001:db8::1", "10[.]#[.]#[.]1", "192[.]168[.]1[.]##")),
-    ("card", ("4###.####.####.####", "5###_####_####_####", "4###/####/####/####", "3###.######.#####")),
-    ("", ("20##-0#-1#", "1#:##:##", "1.#.#", "#,###,###", "978-#-##-######-#", "####", "##.##", "page ##", "## dot ##", "$##.##", "order ########", "id #############", "v#.#.#.#")),
+    ("phone", ("(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "1-###-###-####", "0## #### ####", "00## ### #######", "0#### ######", "0### #######", "1 (###) ###-####",
+               "(###)###-####", "00 ## ### #######", "00 ## ## ### ####", "00##-###-###-###",
+               "0##{s}####{s}####", "0####{s}######", "1{s}###{s}###{s}####", "###{s}###{s}####")),
+    ("email", ("{w}{at}{w}{dot}{t}",) * 4 + ("{w}.{w}{at}{w}{dot}{t}", "{w}_{w}{at}{w}{dot}{t}", "{w}##{at}{w}{dot}{t}", "{w}-{w}{at}{w}{dot}{w}{dot}{t}", "{w}{at}{w}{dot}{w}{dot}{t}", "{w} [at] {w}.{t}", "{w}(at){w}.{t}", "{w} @ {w} . {t}")),
+    ("ip", ("2001:db8:0:0:8:800:200c:417a", "fe80::1ff:fe23:4567:890a", "2001:db8::1", "10[.]#[.]#[.]1", "192[.]168[.]1[.]##", "beef:cafe::fade", *["{6}"] * 8)),
+    ("card", ("4###.####.####.####", "5###_####_####_####", "4###/####/####/####", "3###.######.#####", "4###  ####  ####  ####")),
+    ("", ("20##-0#-1#", "1#:##:##", "1.#.#", "#,###,###", "978-#-##-######-#", "####", "##.##", "page ##", "## dot ##", "$##.##", "order ########", "id #############", "v#.#.#.#",
+          "20##-####-####", "####-####-####", "##/##/20##", "a::b", "std::{w}::{w}", "look (at) it", "#### ####", "###-####", "#### - ####", "{w}: ####, {w}: ##", "##,##,##,##,##", "#.#e-##")),
 )
 CONTEXTS = ("{}", "call {} now", "tel: {}", "reach me on {}, or", "the {} of it", "write to {} today.", "card {} ends", "from {} and then", "is {}.", "({})", "see {} for it", "id: {};")
 NAMES = ("anna", "bob", "mail", "example", "host", "info", "site", "jo")
+ENDS = ("com", "org", "net", "fr", "info", "gov")
+AT = (" at ", " at ", " at ", " [at] ", " (at) ", "(at)", "[at]")
+SEPARATORS = (" ", "-", ".")
+DOT = (" dot ", " dot ", " dot ", " [dot] ", " (dot) ", "(dot)", "[dot]")
+
+
+def _ipv6(rng: np.random.Generator) -> str:
+    """A random address of version 6, mostly with its longest run of zeros left out."""
+    groups = ["%x" % rng.integers(1, 16 ** int(rng.integers(1, 5))) for _ in range(8)]
+    if rng.random() < 0.8:
+        at, n = int(rng.integers(1, 6)), int(rng.integers(2, 6))
+        return ":".join(groups[:at]) + "::" + ":".join(groups[at + n :])
+    return ":".join(groups)
 
 
 def labelled_table(seed: int = 7, each: int = 1) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -301,7 +347,11 @@ def labelled_table(seed: int = 7, each: int = 1) -> list[tuple[str, list[tuple[i
             for context in CONTEXTS:
                 for _ in range(each):
                     one = re.sub("#", lambda _: str(rng.integers(10)), form)
-                    one = re.sub(r"\{w\}", lambda _: NAMES[rng.integers(len(NAMES))], one)
+                    at, dot = AT[rng.integers(len(AT))], DOT[rng.integers(len(DOT))]
+                    one = one.replace("{at}", at).replace("{dot}", dot).replace("{6}", _ipv6(rng)).replace("{s}", SEPARATORS[rng.integers(len(SEPARATORS))])
+                    one = re.sub(r"\{w\}", lambda _: "{v}-{v}" if kind == "email" and rng.random() < 0.1 else "{v}", one)
+                    one = re.sub(r"\{v\}", lambda _: NAMES[rng.integers(len(NAMES))], one)
+                    one = re.sub(r"\{t\}", lambda _: ENDS[rng.integers(len(ENDS))], one)
                     if kind == "card":  # the last digit is the check digit
                         one = next(one[:-1] + d for d in "0123456789" if luhn(_NOT_DIGIT.sub("", one[:-1] + d)))
                     at = context.index("{}")

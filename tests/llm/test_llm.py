@@ -628,6 +628,31 @@ def test_field_on_held_out_sentences():
     assert right >= 0.95 * len(rows)
 
 
+#: Forms and contexts that the training table does not have.
+HELD_OUT_FORMS = (
+    ("phone", ("### ###-####", "0### ### ####", "1.###.###.####", "00 ### ### ### ###", "(0##) #### ####", "0##-####-####", "1 ### ### ####")),
+    ("email", ("{w}_{w} at {w} dot edu", "{w}+{w} at {w} dot io", "{w} (at) {w}-{w} (dot) dev", "{w}#@{w} dot de", "{w}.{w}## [at] {w}.co.uk", "{w} AT {w} DOT COM", "{w} {at} {w} {dot} ch".replace("{at}", "{ at }").replace("{dot}", "{ dot }"))),
+    ("ip", ("2001:0db8:85a3::8a2e:370:7334", "FE80::A:B:C", "dead:beef::cafe", "172[.]16[.]#[.]#", "2001:db8:a::##", "2a02:26f0:##:1::#b", "ab:cd:ef:1:2:3:4:##")),
+    ("card", ("6###.####.####.####", "5###/####/####/####", "3###/######/#####", "5###  ####  ####  ####", "4###:####:####:####", "4### . #### . #### . ####", "3###_######_#####")),
+    ("", ("2023-0455-1187", "##/##/##", "isbn 978##########", "#.##.#", "chapter ##, verse ##", "##:##", "mod::Item", "####.##", "###,###.##", "20##/20##", "look at 5 dots", "#####-####", "{w} at ##:##", "{w}@####", "#### #### ####")),
+)
+HELD_OUT_CONTEXTS = ("please use {} instead", "our new one, {}, works", "{} was given to her", "they noted {} and left", "ask for {}!")
+
+
+def test_field_on_forms_that_it_has_not_seen(monkeypatch):
+    field = pii.default_field()
+    for name, value in (("FORMS", HELD_OUT_FORMS), ("CONTEXTS", HELD_OUT_CONTEXTS), ("NAMES", ("maria", "tom", "support", "northwind", "mx", "sales"))):
+        monkeypatch.setattr(pii, name, value)
+    rows = pii.labelled_table(31, each=4)
+    got = [set(g) for g in pii.field_spans(field, [t for t, _ in rows])]
+    want = [{(s, e, pii.KINDS.index(k)) for s, e, k in spans} for _, spans in rows]
+    for k, kind in enumerate(pii.KINDS):
+        mine, true = [{x for x in g if x[2] == k} for g in got], [{x for x in w if x[2] == k} for w in want]
+        right = sum(len(a & b) for a, b in zip(mine, true))
+        recall, precision = right / sum(map(len, true)), right / max(1, sum(map(len, mine)))
+        assert recall >= 0.8 and precision >= 0.95, (kind, recall, precision)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -650,6 +675,22 @@ def test_pii(docs, empty):
     assert rows[8]["spans"] == "" and pii.find(empty).count() == 0
 
 
+def test_pii_over_whole_texts(spark):
+    """Base columns against the plain patterns; field spans fill the gaps in order of their starts."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for row in pii.find(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        text = texts[row["doc_id"]]
+        base = slow_base(text)
+        assert row["base_sha256"] == sha(pii.joined(base).encode())
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == i for x in base) for i in range(4)]
+        taken, extra = [range(s, e) for s, e, _ in base], []
+        for s, e, k in sorted(pii.field_spans(pii.default_field(), [text])[0]):
+            if not any(set(range(s, e)) & set(t) for t in taken):
+                taken.append(range(s, e))
+                extra.append((s, e, k))
+        assert row["spans"] == pii.joined(base + extra)
+
+
 # --- pipeline ---
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import config as C
 from pulsegrid.operators import blinks, metrics, rules, sequences, signals, splits
-from pulsegrid.sources import tables
+from pulsegrid.sources import sinks, tables
 
 
 def series(spark, values, column="mar", fps=15.0):
@@ -278,3 +278,37 @@ def test_the_frame_chain_runs_once_after_calibration(spark, name):
 
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 8, plan.count("FileScan")
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("Fold1", "a", 1.5), ("Fold1", "b", None), ("Fold2", "c", 2.0)], "fold string, video_id string, v double")
+    sinks.write_frames(rows, f"{tmp_path}/frames")
+    assert sorted(p.name for p in (tmp_path / "frames").iterdir() if p.is_dir()) == ["fold=Fold1", "fold=Fold2"]
+    assert sorted(spark.read.parquet(f"{tmp_path}/frames").select("fold", "video_id", "v").collect(), key=str) == sorted(rows.collect(), key=str)
+    sinks.write_csv(rows, f"{tmp_path}/csv")
+    assert sorted(tables.read_csv_or_empty(spark, f"{tmp_path}/csv", rows.schema).collect(), key=str) == sorted(rows.collect(), key=str)
+    sinks.write_json(rows, f"{tmp_path}/json")
+    assert sorted(spark.read.schema(rows.schema).json(f"{tmp_path}/json").collect(), key=str) == sorted(rows.collect(), key=str)
+
+
+def test_an_empty_sink_keeps_its_columns(spark, tmp_path):
+    none = spark.createDataFrame([], "fold string, video_id string, x array<array<float>>")
+    none.write.parquet(f"{tmp_path}/x")
+    assert spark.read.parquet(f"{tmp_path}/x").schema == none.schema
+
+
+def test_images_by_folder(spark, tmp_path):
+    for name in ("open/1.png", "closed/2.png", "open/3.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = tables.read_images(spark, str(tmp_path)).select("class_name", "class_id").collect()
+    assert sorted(map(tuple, got)) == [("closed", 0), ("open", 1), ("open", 1)]
+
+
+@pytest.mark.parametrize("way, want", [("abs", 3.0), ("positive", 2.0), ("negative", 3.0)])
+def test_head_down_directions(spark, way, want):
+    cfg = C.SequenceConfig(length=3, stride=3, head_down=way)
+    rows = series(spark, [2.0, -3.0, 1.0], "pitch_z").withColumns({"frame_idx": F.col("processed_idx"), "face_detected": F.lit(1), "seq_idx": F.lit(0), "start_row": F.lit(0)})
+    zero = ("perclos_10s", "current_closed_duration", "p_closed", "mar_z", "avg_blink_duration_10s", "blink_frequency_10s")
+    row = sequences.sequence_stats(rows.withColumns({c: F.lit(0.0) for c in zero}), cfg).first()
+    assert row["max_head_down_z"] == want and row["max_abs_pitch_z"] == 3.0

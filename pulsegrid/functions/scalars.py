@@ -26,8 +26,18 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+#: What counts as a number in text; "nan" and "inf" give the default anyway.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def safe_float(c: Column, default: float | None) -> Column:
-    return F.coalesce(finite(f64(c)), F.lit(default))
+    """The number, also from text; the default where there is none, or it is not finite."""
+    return F.coalesce(F.when(c.cast("string").rlike(NUMBER), finite(c.try_cast("double"))), F.lit(default))
+
+
+def nan_to_num(xs: Column) -> Column:
+    """An array with 0 for what is missing, NaN or infinite."""
+    return F.transform(xs, lambda x: F.coalesce(finite(f64(x)), F.lit(0.0)))
 
 
 def clip01(c: Column) -> Column:

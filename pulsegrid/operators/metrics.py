@@ -158,3 +158,24 @@ def best_epoch(history: DataFrame, value: str, min_delta: float = 1e-4, patience
 
     series = history.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("epoch", F.col(value).alias("v")))).alias("e"))
     return series.withColumn("r", F.aggregate("e", state, step)).select("series", "r.best_epoch", "r.best_value", "r.stopped_at")
+
+
+def plateau_rates(history: DataFrame, value: str, rate: float = 1e-3, factor: float = 0.5, patience: int = 4, threshold: float = 1e-4) -> DataFrame:
+    """(series, epoch, rate): the learning rate after each epoch, times ``factor`` once more than ``patience`` epochs bring no lower value.
+
+    Lower means by the share ``threshold`` at least. A fold over a series' epochs, at most a few dozen.
+    """
+    state = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(rate).alias("rate"), F.array().cast("array<struct<epoch:int,rate:double>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        better = x["v"] < s["best"] * (1 - threshold)
+        bad = F.when(better, 0).otherwise(s["bad"] + 1)
+        new = F.when(bad > patience, s["rate"] * factor).otherwise(s["rate"])
+        return F.struct(
+            F.when(better, x["v"]).otherwise(s["best"]).alias("best"), F.when(bad > patience, 0).otherwise(bad).alias("bad"), new.alias("rate"),
+            F.concat(s["out"], F.array(F.struct(x["epoch"].alias("epoch"), new.alias("rate")))).alias("out"),
+        )
+
+    rows = F.struct(F.col("epoch").cast("int").alias("epoch"), F.col(value).cast("double").alias("v"))
+    series = history.groupBy("series").agg(F.sort_array(F.collect_list(rows)).alias("e"))
+    return series.select("series", F.inline(F.aggregate("e", state, step)["out"]))

@@ -31,6 +31,11 @@ def fold_masks(meta: DataFrame, test_fold: str, fold: str = "fold") -> DataFrame
     return meta.withColumn("split", F.when(F.col(fold) == test_fold, "test").otherwise("trainval"))
 
 
+def distinct_groups(meta: DataFrame, group: str, *keys: str) -> DataFrame:
+    """How many groups there are, by ``keys`` if given; exact."""
+    return meta.groupBy(*keys).agg(F.count_distinct(group).alias("n_groups"))
+
+
 def group_class_counts(meta: DataFrame, group: str, label: str = "label_id", classes: int = 3) -> DataFrame:
     """The contingency table of groups and classes: all that a split search needs."""
     return meta.groupBy(group).agg(*[F.count_if(F.col(label) == c).alias(f"n_{c}") for c in range(classes)])
@@ -76,13 +81,21 @@ def group_split(meta: DataFrame, group: str = "subject_id", ratio: float = 0.2,
     return meta.join(names, group, "left").withColumn("split", F.when(F.col("__val") == 1, "val").otherwise("train")).drop("__val")
 
 
-def stratified_split(meta: DataFrame, key: str, label: str = "label_id", ratio: float = 0.2, seed: int = 42) -> DataFrame:
+def portable_hash(key: str, seed: int = 42) -> Column:
+    """A seeded 64-bit hash that other engines compute too: the first 60 bits of an MD5."""
+    first = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))), 1, 15)
+    return (F.conv(first, 16, 10).cast("long") - F.lit(1 << 59)) * 16
+
+
+def stratified_split(meta: DataFrame, key: str, label: str = "label_id", ratio: float = 0.2, seed: int = 42, hashed: Column | None = None) -> DataFrame:
     """Adds split by class: the share of each class with the least seeded hash is val; a single row is train.
 
+    ``hashed`` is a 64-bit hash of the key, never null, in place of the seeded one.
+
     Ranks are found in two levels, so that no class lies in one task: counts by class and
     range of hashes with running sums over the ranges (``RANGES`` a class), then places within a range.
     """
-    h = F.xxhash64(F.lit(seed), key)
+    h = F.xxhash64(F.lit(seed), key) if hashed is None else hashed
     rows = meta.withColumns({"__h": h, "__b": F.shiftright(h, 64 - RANGES.bit_length() + 1)})
     by = Window.partitionBy("__l")
     sums = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))

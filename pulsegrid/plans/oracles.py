@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.config import RAW_COLUMNS, Z_COLUMNS
+from pulsegrid.config import FEATURES, RAW_COLUMNS, Z_COLUMNS
 from pulsegrid.sources.tables import FRAMES_SQL
 
 FRAMES = FRAMES_SQL.replace("{events}", "events")
@@ -271,6 +271,13 @@ def eye(e: str = "e") -> str:
     )
 
 
+def folded(start: str, step: str, select: str) -> str:
+    """A fold over the epochs of each series: state f begins as ``start`` at epoch 0."""
+    return f"""WITH RECURSIVE days AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS v FROM events GROUP BY 1, 2),
+        e AS (SELECT event_type AS series, CAST(row_number() OVER (PARTITION BY event_type ORDER BY day) AS INT) AS epoch, v FROM days),
+        f AS (SELECT DISTINCT series, 0 AS epoch, {start} FROM e UNION ALL {step}) {select}"""
+
+
 _clamp = lambda x, most: f"CAST(greatest(0, least({most}, round_even({x}, 0))) AS INT)"
 _step = "CASE WHEN part = 'part1' THEN 29.97::DOUBLE WHEN fold = 'Fold1' THEN 37.5::DOUBLE ELSE 30::DOUBLE END"
 
@@ -308,11 +315,15 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT video_id, count(*) AS n FROM ev GROUP BY 1) b ON m.video_id = b.video_id LEFT JOIN (SELECT video_id, count(*) AS n, sum(is_high_confidence) AS h FROM seq GROUP BY 1) s ON m.video_id = s.video_id"""),
     "q_keep_ratio": with_(*SEQ, select=f"SELECT label_id, label AS class_name, count(*) AS before_count, CAST(sum(is_high_confidence) AS BIGINT) AS after_count, {r('sum(is_high_confidence) / count(*)', 'keep_ratio')} FROM seq GROUP BY 1, 2"),
     "q_dummy_all": with_(*SEQ, select="SELECT sequence_id, 'dummy_all_mirrors_high_confidence' AS label_source, CAST(1 AS INT) AS is_dummy_all FROM seq WHERE is_high_confidence = 1"),
-    "q_sequence_tensor": with_(F, *slid("frames"), select="SELECT video_id, seq_idx, CAST(count(*) AS INT) AS t, CAST(13 AS INT) AS d, CAST(ceil(count(*) / 10) AS INT) AS n_chunks FROM win GROUP BY 1, 2"),
-    "q_fold_split": with_(META, select="SELECT fold, CASE WHEN fold = 'Fold2' THEN 'test' ELSE 'trainval' END AS split, count(*) AS n FROM meta GROUP BY 1, 2"),
+    "q_sequence_tensor": with_(
+        *NORM, *STATE, *EVENTS, *rolled(10.0), *slid("roll"),
+        ("tens", f"SELECT video_id, seq_idx, ri - start_row AS step, {', '.join(FEATURES)} FROM win UNION ALL SELECT video_id, seq_idx, 30 + k, {', '.join('0' for _ in FEATURES)} FROM starts, (SELECT unnest([0, 1]) AS k)"),
+        select=f"SELECT video_id, seq_idx, CAST(step // 8 AS INT) AS chunk, CAST(step % 8 AS INT) AS place, {rs(*FEATURES, digits=3)} FROM tens"),
+    "q_fold_split": with_(META, select="SELECT doc_id, fold, CASE WHEN fold = 'Fold2' THEN 'test' ELSE 'trainval' END AS split FROM meta"),
     "q_fold_order": with_(META, select="SELECT DISTINCT subject_id, regexp_extract(subject_id, '^([^0-9]*)', 1) AS k0, CAST(regexp_extract(subject_id, '([0-9]+)', 1) AS INT) AS k1, subject_id AS k2 FROM meta"),
     "q_group_class_counts": with_(META, select="SELECT subject_id, " + ", ".join(f"count(*) FILTER (label_id = {c}) AS n_{c}" for c in range(3)) + " FROM meta GROUP BY 1"),
-    "q_stratified_split": with_(META, ("c", "SELECT label_id, count(*) AS n, CAST(greatest(1, round_even(count(*) * 0.2::DOUBLE, 0)) AS BIGINT) AS v FROM meta GROUP BY 1"), select="SELECT label_id, 'val' AS split, v AS n FROM c UNION ALL SELECT label_id, 'train', n - v FROM c"),
+    "q_stratified_split": with_(META, ("c", "SELECT doc_id, label_id, count(*) OVER (PARTITION BY label_id) AS n, row_number() OVER (PARTITION BY label_id ORDER BY substr(md5(concat('42:', doc_id)), 1, 15), doc_id) AS k FROM meta"),
+        select="SELECT doc_id, label_id, CASE WHEN n > 1 AND k <= greatest(1, round_even(n * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS split FROM c"),
     "q_split_meta": with_(META, select="SELECT doc_id, lower(fold) AS split, fold, subject_id, label_id FROM meta WHERE fold <> 'Fold4'"),
     "q_standardizer": with_(VALS, STD, select=f"SELECT feature, {rs('mean', 'std')} FROM sd"),
     "q_standardized": with_(VALS, STD, select=f"SELECT vec_id, ev.feature, {r('(value - mean) / std', 'z', 5)} FROM ev JOIN sd ON ev.feature = sd.feature"),
@@ -361,4 +372,23 @@ ORACLES: dict[str, str] = {
         + ", CAST(least(vec_id * 7 + 100, 960) AS INT) AS fit_w, CAST(CASE WHEN vec_id * 7 + 100 <= 960 THEN vec_id + 90 ELSE round_even((vec_id + 90) * (960::DOUBLE / (vec_id * 7 + 100)), 0) END AS INT) AS fit_h FROM q"),
     "q_resume": with_(F, select="SELECT DISTINCT video_id, subject_id FROM frames WHERE video_id NOT IN (SELECT video_id FROM frames WHERE face_detected = 0 AND processed_idx < 3)"),
     "q_image_classes": "SELECT lang AS class_name, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INT) AS class_id, count(*) AS n FROM documents GROUP BY lang",
+    "q_best_epoch": folded(
+        "0 AS best_epoch, '-inf'::DOUBLE AS best_value, 0 AS waited, 0 AS stopped_at",
+        """SELECT series, epoch, CASE WHEN better THEN epoch ELSE best_epoch END, CASE WHEN better THEN v ELSE best_value END, w, CASE WHEN w >= 12 THEN epoch ELSE 0 END
+           FROM (SELECT *, CASE WHEN better THEN 0 ELSE waited + 1 END AS w FROM (SELECT f.*, e.epoch AS epoch, v, v > best_value + 1e-4::DOUBLE AS better FROM (SELECT * EXCLUDE (epoch), epoch AS was FROM f) f JOIN e ON e.series = f.series AND e.epoch = was + 1 WHERE stopped_at = 0))""",
+        "SELECT series, CAST(best_epoch AS INT) AS best_epoch, best_value, CAST(stopped_at AS INT) AS stopped_at FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY epoch DESC) AS k FROM f) WHERE k = 1"),
+    "q_plateau": folded(
+        "'inf'::DOUBLE AS best, 0 AS bad, 0.001::DOUBLE AS rate",
+        """SELECT series, epoch, CASE WHEN better THEN v ELSE best END, CASE WHEN w > 4 THEN 0 ELSE w END, CASE WHEN w > 4 THEN rate * 0.5::DOUBLE ELSE rate END
+           FROM (SELECT *, CASE WHEN better THEN 0 ELSE bad + 1 END AS w FROM (SELECT f.*, e.epoch AS epoch, v, v < best * (1 - 1e-4::DOUBLE) AS better FROM (SELECT * EXCLUDE (epoch), epoch AS was FROM f) f JOIN e ON e.series = f.series AND e.epoch = was + 1))""",
+        "SELECT series, CAST(epoch AS INT) AS epoch, rate FROM f WHERE epoch > 0"),
+    "q_pixels": f"SELECT vec_id, {r('CAST(embedding[1]::DOUBLE * 640 AS FLOAT)', 'x', 4)}, {r('CAST(embedding[7]::DOUBLE * 480 AS FLOAT)', 'y', 4)} FROM embeddings",
+    "q_nan_to_num": with_(VALS, select=f"SELECT vec_id, feature, {r('CASE WHEN abs(value) <= 0.1::DOUBLE THEN value ELSE 0 END', 'v')} FROM ev"),
+    "q_safe_float": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(k AS DOUBLE) WHEN 2 THEN -10 * (CAST(k AS DOUBLE) + 0.5) ELSE -1 END AS v
+        FROM (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS k FROM events)""",
+    "q_eligible": with_(*SEQ, select="SELECT sequence_id, label_id FROM seq WHERE is_high_confidence = 1"),
+    "q_distinct_subjects": with_(F, MAN, select="SELECT fold, count(DISTINCT subject_id) AS n_groups FROM man GROUP BY 1"),
+    "q_scatter_sides": with_(F, ("s", "SELECT video_id, frame_idx, CASE WHEN processed_idx % 3 <> 0 THEN p_closed END AS p_left, CASE WHEN processed_idx % 2 = 0 THEN 1 - p_closed / 4 END AS p_right FROM frames"),
+        select="SELECT *, coalesce((p_left + p_right) / 2, p_left, p_right) AS p_closed FROM s"),
+    "q_checked_arrays": f"SELECT vec_id, CAST(label % 3 AS INT) AS label_id, concat('Fold', vec_id % 4 + 1) AS fold, {r('embedding[1]', 'first')} FROM embeddings ORDER BY vec_id LIMIT 50",
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.config import FIXTURE_FRAMES, FIXTURE_SEQUENCES, RAW_COLUMNS, SHORT_BLINKS, Z_COLUMNS, RuleConfig
+from pulsegrid.config import FEATURES, FIXTURE_FRAMES, FIXTURE_SEQUENCES, RAW_COLUMNS, SHORT_BLINKS, Z_COLUMNS, RuleConfig
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators import blinks, calibration, metrics, rules, sequences, signals, splits
+from pulsegrid.operators import blinks, calibration, metrics, rules, scoring, sequences, signals, splits
 from pulsegrid.plans import frames as P
 from pulsegrid.sources import tables
 
@@ -163,8 +163,11 @@ def q_dummy_all(spark, d):
 
 
 def q_sequence_tensor(spark, d):
-    win = P.fixture_sequences(spark, d)[0]
-    return sequences.chunks(sequences.tensors(win)).select("video_id", F.col("seq_idx").cast("long").alias("seq_idx"), F.size("x").alias("t"), F.size(F.element_at("x", 1)).alias("d"), F.size("chunks").alias("n_chunks"))
+    """Every frame of every sequence by chunk of eight and place in it, the two that fill the last chunk too."""
+    rows = sequences.chunks(sequences.tensors(P.fixture_sequences(spark, d)[0]), 8)
+    rows = rows.select("video_id", F.col("seq_idx").cast("long").alias("seq_idx"), F.posexplode("chunks").alias("chunk", "frames"))
+    rows = rows.select("video_id", "seq_idx", "chunk", F.posexplode("frames").alias("place", "f"))
+    return rows.select("video_id", "seq_idx", "chunk", "place", *[F.round(F.get("f", i).cast("double"), 3).alias(c) for i, c in enumerate(FEATURES)])
 
 
 def _documents_meta(spark, d):
@@ -173,7 +176,7 @@ def _documents_meta(spark, d):
 
 
 def q_fold_split(spark, d):
-    return splits.fold_masks(_documents_meta(spark, d), "Fold2").groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))
+    return splits.fold_masks(_documents_meta(spark, d), "Fold2").select("doc_id", "fold", "split")
 
 
 def q_fold_order(spark, d):
@@ -190,8 +193,8 @@ def q_group_split(spark, d):
 
 
 def q_stratified_split(spark, d):
-    rows = splits.stratified_split(_documents_meta(spark, d), "doc_id")
-    return rows.groupBy("label_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    rows = splits.stratified_split(_documents_meta(spark, d), "doc_id", hashed=splits.portable_hash("doc_id"))
+    return rows.select("doc_id", "label_id", "split")
 
 
 def q_split_meta(spark, d):
@@ -375,13 +378,66 @@ def q_image_classes(spark, d):
     return tables.image_classes(paths).groupBy("class_name", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_best_epoch(spark, d):
+def _epochs(spark, d):
     """Days of an event type as epochs of a series."""
     days = read(spark, d, "events").withColumn("day", F.to_date("ts")).groupBy("event_type", "day").agg(F.round(F.avg("value"), 6).alias("v"))
-    from pyspark.sql import Window
+    return days.select(F.col("event_type").alias("series"), F.row_number().over(Window.partitionBy("event_type").orderBy("day")).alias("epoch"), "v")
+
+
+def q_best_epoch(spark, d):
+    return metrics.best_epoch(_epochs(spark, d), "v").select("series", "best_epoch", "best_value", "stopped_at")
+
+
+def q_plateau(spark, d):
+    """The schedule of the learning rate over the same series."""
+    return metrics.plateau_rates(_epochs(spark, d), "v").select("series", "epoch", "rate")
+
+
+def q_pixels(spark, d):
+    """Landmarks in pixels, in single precision."""
+    e = read(spark, d, "embeddings")
+    at = lambda i: F.get("embedding", i).cast("double")
+    return e.select("vec_id", *[F.round(S.pixel(at(i), size).cast("double"), 4).alias(n) for n, i, size in (("x", 0, 640), ("y", 6, 480))])
+
 
-    epochs = days.select(F.col("event_type").alias("series"), F.row_number().over(Window.partitionBy("event_type").orderBy("day")).alias("epoch"), "v")
-    return metrics.best_epoch(epochs, "v").select("series", "best_epoch", "best_value", "stopped_at")
+def q_nan_to_num(spark, d):
+    """Vectors with NaN and infinities put in, cleaned again."""
+    spoilt = "transform(embedding, x -> CASE WHEN x > 0.1 THEN double('NaN') WHEN x < -0.1 THEN double('-Infinity') ELSE cast(x AS double) END)"
+    e = read(spark, d, "embeddings").withColumn("e", F.expr(spoilt))
+    return e.select("vec_id", F.posexplode(S.nan_to_num(F.col("e"))).alias("feature", "v")).select("vec_id", "feature", *r6("v"))
+
+
+def q_safe_float(spark, d):
+    """Numbers, numbers with an exponent, words, NaN and nothing, as text."""
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    kind = F.col("event_id") % 6
+    text = F.when(kind == 0, k).when(kind == 1, F.concat(k, F.lit("x"))).when(kind == 2, F.concat(F.lit(" -"), k, F.lit(".5e1 "))).when(kind == 3, "nan").when(kind == 4, "1d")
+    return read(spark, d, "events").select("event_id", S.safe_float(text, -1.0).alias("v"))
+
+
+def q_eligible(spark, d):
+    return splits.eligible(P.fixture_sequences(spark, d)[1], "high_confidence").select("sequence_id", "label_id")
+
+
+def q_distinct_subjects(spark, d):
+    return splits.distinct_groups(P.manifest(tables.frames(spark, d)), "subject_id", "fold")
+
+
+def q_scatter_sides(spark, d):
+    """Scores of single eyes, some missing, put back to their frames."""
+    f = tables.frames(spark, d)
+    seen = f.where("p_closed IS NOT NULL")
+    left = seen.where("processed_idx % 3 <> 0").select("video_id", "frame_idx", F.lit("left").alias("side"), F.col("p_closed").alias("p"))
+    right = seen.where("processed_idx % 2 = 0").select("video_id", "frame_idx", F.lit("right").alias("side"), (F.lit(1.0) - F.col("p_closed") / 4).alias("p"))
+    return scoring.scatter_sides(f, left.unionByName(right)).select("video_id", "frame_idx", "p_left", "p_right", "p_closed")
+
+
+def q_checked_arrays(spark, d):
+    """Arrays beside their metadata; the first fifty are the stated limit of a trial run."""
+    e = read(spark, d, "embeddings")
+    meta = e.select("vec_id", (F.col("label") % 3).alias("label_id"), F.concat(F.lit("Fold"), (F.col("vec_id") % 4 + 1).cast("string")).alias("fold"))
+    out = tables.checked_arrays(e.select("vec_id", "embedding"), meta, "vec_id", ("fold",), 50)
+    return out.select("vec_id", "label_id", "fold", F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

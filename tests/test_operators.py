@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid import config as C
+from pulsegrid.functions import scalars as S
 from pulsegrid.operators import blinks, metrics, rules, sequences, signals, splits
 from pulsegrid.sources import sinks, tables
 
@@ -312,3 +313,27 @@ def test_head_down_directions(spark, way, want):
     zero = ("perclos_10s", "current_closed_duration", "p_closed", "mar_z", "avg_blink_duration_10s", "blink_frequency_10s")
     row = sequences.sequence_stats(rows.withColumns({c: F.lit(0.0) for c in zero}), cfg).first()
     assert row["max_head_down_z"] == want and row["max_abs_pitch_z"] == 3.0
+
+
+def test_numbers_in_text(spark):
+    rows = [("1.5",), (" -2e1 ",), (".5",), ("3.",), ("nan",), ("inf",), ("1d",), ("x",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "s string").select(S.safe_float(F.col("s"), 9.0).alias("v")).collect()
+    assert [r["v"] for r in got] == [1.5, -20.0, 0.5, 3.0] + [9.0] * 6
+    nums = spark.createDataFrame([(1e-7,), (float("nan"),), (float("-inf"),), (None,)], "v double")
+    assert [r["v"] for r in nums.select(S.safe_float(F.col("v"), None).alias("v")).collect()] == [1e-7, None, None, None]
+    arrays = spark.createDataFrame([([1.0, float("nan"), None, float("inf")],), ([],), (None,)], "x array<double>")
+    assert [r["x"] for r in arrays.select(S.nan_to_num(F.col("x")).alias("x")).collect()] == [[1.0, 0.0, 0.0, 0.0], [], None]
+
+
+def test_plateau_halves_after_the_fifth_epoch_without_a_lower_value(spark):
+    values = [1.0, 0.5, 0.5, 0.49999, 0.6, 0.5, 0.5, 0.4, 0.5]
+    df = spark.createDataFrame([("s", i + 1, v) for i, v in enumerate(values)], "series string, epoch int, v double")
+    got = {r["epoch"]: r["rate"] for r in metrics.plateau_rates(df, "v", rate=1.0).collect()}
+    assert got == {e: 0.5 if e >= 7 else 1.0 for e in range(1, 10)}
+    assert metrics.plateau_rates(df.limit(0), "v").count() == 0
+
+
+def test_portable_hash_covers_all_64_bits(spark):
+    rows = spark.range(2_000).select(splits.portable_hash("id").alias("h"), F.lit(None).cast("long").alias("id")).agg(F.min("h"), F.max("h")).first()
+    assert rows[0] < -(1 << 62) and rows[1] > 1 << 62
+    assert spark.range(1).select(F.lit(None).cast("long").alias("k")).select(splits.portable_hash("k").alias("h")).first()["h"] is not None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import byte_bpe, decontaminate, line_dedup, pii, quality_rules, simhash, substring_index, suffix_dedup, token_counts, warc
+from pulsegrid.llm import byte_bpe, centroids, collocations, decontaminate, fingerprints, line_dedup, pii, quality_rules, simhash, substring_index, suffix_dedup, token_counts, warc
 from pulsegrid.llm.oracles import ORACLES
 
 
@@ -68,6 +68,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text of documents, of its edited text and of the next document."""
+    return fingerprints.neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector of embeddings by sixteen centroids, three rounds."""
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language over every whole text of documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

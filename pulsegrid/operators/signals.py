@@ -29,6 +29,19 @@ def time_window(value: str, function: str, seconds: float) -> Column:
     return F.expr(f"{function}({value}) OVER ({frame})")
 
 
+def line_between(c: str, b: Column, a: Column, limit: int) -> Column:
+    """The value, or that of the line from the known place ``b`` to ``a`` (structs i, y) where either is near."""
+    i = F.col("processed_idx")
+    near_b, near_a = i - b["i"] <= limit, a["i"] - i <= limit
+    line = (a["y"] - b["y"]) / (a["i"] - b["i"]) * (i - b["i"]) + b["y"]
+    return (
+        F.when(F.col(c).isNotNull(), f64(F.col(c)))
+        .when(b.isNotNull() & a.isNotNull() & (near_b | near_a), line)
+        .when(a.isNull() & near_b, b["y"])
+        .when(b.isNull() & near_a, a["y"])
+    )
+
+
 def interpolate(rows: DataFrame, columns: tuple[str, ...], limit: int) -> DataFrame:
     """Linear interpolation by row place, at most ``limit`` rows from a value on either side; the rest stays null.
 
@@ -40,19 +53,7 @@ def interpolate(rows: DataFrame, columns: tuple[str, ...], limit: int) -> DataFr
     back = {f"__b_{c}": F.last(at(c), ignorenulls=True).over(so_far()) for c in columns}
     later = {f"__a_{c}": F.last(at(c), ignorenulls=True).over(ahead()) for c in columns}
     both = rows.withColumns(back).withColumns(later)
-
-    def filled(c: str) -> Column:
-        b, a = F.col(f"__b_{c}"), F.col(f"__a_{c}")
-        near_b, near_a = i - b["i"] <= limit, a["i"] - i <= limit
-        line = (a["y"] - b["y"]) / (a["i"] - b["i"]) * (i - b["i"]) + b["y"]
-        return (
-            F.when(F.col(c).isNotNull(), f64(F.col(c)))
-            .when(b.isNotNull() & a.isNotNull() & (near_b | near_a), line)
-            .when(a.isNull() & near_b, b["y"])
-            .when(b.isNull() & near_a, a["y"])
-        )
-
-    return both.withColumns({c: filled(c) for c in columns}).drop(*back, *later)
+    return both.withColumns({c: line_between(c, F.col(f"__b_{c}"), F.col(f"__a_{c}"), limit) for c in columns}).drop(*back, *later)
 
 
 def fill_signals(rows: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:

@@ -3,8 +3,9 @@
 import pytest
 from conftest import SF, rows_of, rows_of_sql
 
-from pulsegrid.plans.oracles import ORACLES
-from pulsegrid.plans.queries import QUERIES
+from pulsegrid.plans import oracles, queries, timeline
+
+ORACLES, QUERIES = oracles.ORACLES | timeline.ORACLES, queries.QUERIES | timeline.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

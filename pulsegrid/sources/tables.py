@@ -144,20 +144,25 @@ def first_videos(manifest: DataFrame, n: int | None, order: str = "manifest_pos"
 
 
 def checked_arrays(rows: DataFrame, meta: DataFrame, key: str, required: tuple[str, ...], max_samples: int | None = None, label: str = "label_id") -> DataFrame:
-    """Sequence arrays beside their metadata: raises on columns that are missing, keys that only one side has, or labels outside 0 to 2.
+    """Sequence arrays beside their metadata: raises on columns that are missing, keys that are null, repeated or on one side only, and labels that are null or not 0 to 2.
 
     ``max_samples`` takes the first so many by key, as a stated limit of a trial run.
     """
     if missing := [c for c in (key, label, *required) if c not in meta.columns]:
         raise ValueError(f"the metadata lacks {missing}")
-    both = rows.join(meta.withColumn("__m", F.lit(1)), key, "full")
-    odd = both.agg(
-        F.count_if(F.col("__m").isNull()).alias("arrays"), F.count_if(F.col(f"{rows.columns[-1]}").isNull()).alias("meta"),
-        F.count_if(~F.col(label).isin(0, 1, 2)).alias("labels"),
-    ).first()
-    if any(odd):
-        raise ValueError(f"arrays without metadata, metadata without arrays, unknown labels: {tuple(odd)}")
-    whole = both.drop("__m")
+    known = F.coalesce(F.col(label).isin(0, 1, 2), F.lit(False))
+    sides = rows.select(key, F.lit(1).alias("a"), F.lit(0).alias("m"), F.lit(0).alias("odd")).unionByName(
+        meta.select(key, F.lit(0).alias("a"), F.lit(1).alias("m"), (~known).cast("int").alias("odd"))
+    )
+    counts = sides.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("a", "m", "odd")])
+    odd = counts.agg(
+        F.count_if(F.col(key).isNull()).alias("null keys"), F.count_if(F.col("m") == 0).alias("arrays without metadata"),
+        F.count_if(F.col("a") == 0).alias("metadata without arrays"), F.count_if((F.col("a") > 1) | (F.col("m") > 1)).alias("repeated keys"),
+        F.coalesce(F.sum("odd"), F.lit(0)).alias("unknown labels"),
+    ).first().asDict()
+    if any(odd.values()):
+        raise ValueError(f"arrays and metadata do not match: {odd}")
+    whole = rows.join(meta, key)
     return whole if max_samples is None else whole.orderBy(key).limit(max_samples)
 
 

@@ -143,12 +143,18 @@ def running_mean(batches: DataFrame, value: str, weight: str) -> DataFrame:
     return batches.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value))
 
 
-def best_epoch(history: DataFrame, value: str, min_delta: float = 1e-4, patience: int = 12) -> DataFrame:
-    """(best_epoch, best_value, stopped_at) of early stopping by series: a fold over its epochs, at most a few dozen."""
-    state = F.struct(F.lit(0).alias("best_epoch"), F.lit(float("-inf")).alias("best_value"), F.lit(0).alias("waited"), F.lit(0).alias("stopped_at"))
+def best_epoch(history: DataFrame, value: str, min_delta: float = 1e-4, patience: int = 12, mode: str = "max") -> DataFrame:
+    """(best_epoch, best_value, stopped_at) of early stopping by series: a fold over its epochs, at most a few dozen.
+
+    ``mode``: whether a larger (max) or a smaller (min) value is the better one.
+    """
+    if mode not in ("max", "min"):
+        raise ValueError(f"no such mode: {mode}")
+    worst = float("-inf" if mode == "max" else "inf")
+    state = F.struct(F.lit(0).alias("best_epoch"), F.lit(worst).alias("best_value"), F.lit(0).alias("waited"), F.lit(0).alias("stopped_at"))
 
     def step(s: Column, x: Column) -> Column:
-        better = x["v"] > s["best_value"] + min_delta
+        better = x["v"] > s["best_value"] + min_delta if mode == "max" else x["v"] < s["best_value"] - min_delta
         waited = F.when(better, 0).otherwise(s["waited"] + 1)
         new = F.struct(
             F.when(better, x["epoch"]).otherwise(s["best_epoch"]).alias("best_epoch"), F.when(better, x["v"]).otherwise(s["best_value"]).alias("best_value"),

@@ -22,8 +22,11 @@ def fold_key(c: str) -> list[Column]:
 
 
 def eligible(meta: DataFrame, mode: str) -> DataFrame:
+    """All rows, or those of high confidence."""
     if mode not in ("all", "high_confidence"):
         raise ValueError(f"no such mode: {mode}")
+    if "is_high_confidence" not in meta.columns:  # then every row counts as such
+        return meta
     return meta if mode == "all" else meta.where("is_high_confidence = 1")
 
 
@@ -50,6 +53,7 @@ def choose_groups(names: list[str], counts: np.ndarray, ratio: float, seed: int)
     if len(names) < 2:
         return []
     rng, whole = np.random.default_rng(seed), counts.sum(0).astype(float)
+    # Fixed values below: 1000, 100 and 20 bound the tries, 10.0 is the weight of a missing class.
     share = lambda x: x / max(x.sum(), 1.0)
     size = min(max(1, round(len(names) * ratio)), len(names) - 1)
     best, chosen = np.inf, []
@@ -71,14 +75,25 @@ def group_split(meta: DataFrame, group: str = "subject_id", ratio: float = 0.2,
     The search reads the contingency table only, one row per group, of which there may be
     ``MAX_GROUPS``; the chosen names, a fraction of the groups, go back as a join.
     """
+    chosen = validation_groups(meta, group, ratio, seed, classes, label)
+    if not chosen:
+        raise ValueError(f"no split by {group}: fewer than two groups, or a side without labels")
+    return _by_group(meta, group, chosen)
+
+
+def validation_groups(meta: DataFrame, group: str, ratio: float, seed: int, classes: int = 3, label: str = "label_id") -> list:
+    """The groups of the validation side; none where no split by groups exists."""
     table = group_class_counts(meta, group, label, classes).orderBy(group).limit(MAX_GROUPS + 1).collect()
     if len(table) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
     counts = np.array([[r[f"n_{c}"] for c in range(classes)] for r in table], dtype=np.int64).reshape(len(table), classes)
-    chosen = choose_groups([r[group] for r in table], counts, ratio, seed)
+    return choose_groups([r[group] for r in table], counts, ratio, seed)
+
+
+def _by_group(meta: DataFrame, group: str, chosen: list) -> DataFrame:
     schema = T.StructType([T.StructField(group, meta.schema[group].dataType)])
     names = meta.sparkSession.createDataFrame([(g,) for g in chosen], schema).withColumn("__val", F.lit(1))
-    return meta.join(names, group, "left").withColumn("split", F.when(F.col("__val") == 1, "val").otherwise("train")).drop("__val")
+    return meta.join(names, group, "left").withColumn("split", F.when(F.col("__val") == 1, "val").otherwise("train")).drop("__val").select(*meta.columns, "split")
 
 
 def portable_hash(key: str, seed: int = 42) -> Column:
@@ -107,6 +122,39 @@ def stratified_split(meta: DataFrame, key: str, label: str = "label_id", ratio:
     return both.withColumn("split", F.when(F.col("__before") + F.col("__r") <= take, "val").otherwise("train")).select(*meta.columns, "split")
 
 
+def train_val(meta: DataFrame, key: str, group: str = "subject_id", ratio: float = 0.2, seed: int = 42, fallback: bool = True, hashed: Column | None = None, label: str = "label_id", classes: int = 3) -> DataFrame:
+    """Adds split, train or val: by groups, or by class where no split by groups exists and ``fallback`` allows that."""
+    if chosen := validation_groups(meta, group, ratio, seed, classes, label):
+        return _by_group(meta, group, chosen)
+    if not fallback:
+        raise ValueError(f"no split by {group}, and the one by class is not allowed")
+    return stratified_split(meta, key, label, ratio, seed, hashed)
+
+
+def fold_split(meta: DataFrame, test_fold: str, key: str, mode: str = "high_confidence", full_test: bool = True, fold: str = "fold", **split) -> DataFrame:
+    """Adds split, train, val or test: the test fold, whole or its eligible rows, and a split of the other folds' eligible rows.
+
+    Rows that no side takes are left out. A side without rows raises. ``split`` are settings
+    of ``train_val``.
+    """
+    own = F.col(fold).cast("string") == test_fold
+    able = eligible(meta, mode)
+    test = (meta if full_test and mode == "high_confidence" else able).where(own)
+    rest = able.where(~own | F.col(fold).isNull())
+    for name, side in (("test", test), ("train or validation", rest)):
+        if side.isEmpty():
+            raise ValueError(f"no {name} rows for fold {test_fold} in mode {mode}")
+    return train_val(rest, key, **split).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def final_split(meta: DataFrame, key: str, mode: str = "high_confidence", seed: int = 42, **split) -> DataFrame:
+    """Adds split, train or val, to all eligible rows, with a seed apart from the folds'; no eligible rows raise."""
+    able = eligible(meta, mode)
+    if able.isEmpty():
+        raise ValueError(f"no rows in mode {mode}")
+    return train_val(able, key, seed=seed + 999, **split)
+
+
 def tagged(parts: dict[str, DataFrame]) -> DataFrame:
     """Tables put together, each row with the name of its own."""
     first, *rest = [df.withColumn("split", F.lit(name)) for name, df in parts.items()]

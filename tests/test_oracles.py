@@ -3,9 +3,9 @@
 import pytest
 from conftest import SF, rows_of, rows_of_sql
 
-from pulsegrid.plans import oracles, queries, timeline
+from pulsegrid.plans import applied, oracles, queries, timeline
 
-ORACLES, QUERIES = oracles.ORACLES | timeline.ORACLES, queries.QUERIES | timeline.QUERIES
+ORACLES, QUERIES = oracles.ORACLES | timeline.ORACLES | applied.ORACLES, queries.QUERIES | timeline.QUERIES | applied.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

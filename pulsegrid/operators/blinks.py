@@ -117,11 +117,12 @@ def _events_in_place(rows: DataFrame, cfg: BlinkConfig) -> DataFrame:
     return found.withColumns({n: F.when(kept, v) for n, v in values.items()}).drop("__before", "__run", "__s", "__m")
 
 
-def blink_rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
+def blink_rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), ended: str | None = None) -> DataFrame:
     """Means and frequency of the blinks that ended in the trailing window, and the time since the last one.
 
     An event sits on the frame where it ends, so a range window replaces the interval join,
-    and no event leaves the partitioning of its frames.
+    and no event leaves the partitioning of its frames. ``ended`` names a column for the
+    time of the event that ends at the frame.
     """
     out = _events_in_place(rows, cfg).withColumns(
         {n: f32(F.coalesce(time_window(f"__{c}", "avg", cfg.window_sec), F.lit(0.0))) for n, c in ROLLED.items()}
@@ -130,6 +131,7 @@ def blink_rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFram
             "time_since_last_blink": f32(F.coalesce(F.least(F.col("timestamp") - F.last("__end", ignorenulls=True).over(so_far()), F.lit(cfg.cap_sec)), F.lit(cfg.cap_sec))),
         }
     )
+    out = out.withColumn(ended, F.col("__end")) if ended else out
     return out.drop("__end", *[f"__{c}" for c in ROLLED.values()])
 
 

@@ -22,30 +22,38 @@ def calibration_videos(manifest: DataFrame, cfg: FrameConfig) -> DataFrame:
 
 def calibration_frames(frames: DataFrame, chosen: DataFrame, cfg: FrameConfig) -> DataFrame:
     """The first (or last) share of the valid frames of the chosen videos."""
-    valid = reduce(lambda a, c: a & finite(F.col(c)).isNotNull(), RAW_COLUMNS, F.col("face_detected") == 1)
     own = frames.select("video_id", "processed_idx", "face_detected", *RAW_COLUMNS).join(
         chosen.withColumnRenamed("calib_video_id", "video_id"), "video_id"
     )
+    return _marked(own, cfg, ("video_id",)).where("used").drop("used")
+
+
+def _marked(frames: DataFrame, cfg: FrameConfig, keys: tuple[str, ...]) -> DataFrame:
+    """Adds ``used``: the frame is valid and among the first (or last) share of its video's valid ones."""
+    valid = F.coalesce(reduce(lambda a, c: a & finite(F.col(c)).isNotNull(), RAW_COLUMNS, F.col("face_detected") == 1), F.lit(False)).cast("int")
     order = F.col("processed_idx").desc() if cfg.calibration_part == "last" else F.col("processed_idx").asc()
-    by = Window.partitionBy("video_id")
-    k = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(by) * F.lit(cfg.calibration_ratio)))
-    return own.where(valid).withColumns({"k": k, "r": F.row_number().over(by.orderBy(order))}).where("r <= k").drop("k", "r")
+    by = Window.partitionBy(*keys)
+    so_far = by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = frames.withColumn("__valid", valid).withColumns({"__k": F.sum("__valid").over(by), "__r": F.sum("__valid").over(so_far)})
+    most = F.greatest(F.lit(1), F.floor(F.col("__k") * F.lit(cfg.calibration_ratio)))
+    return held.withColumn("used", (F.col("__valid") == 1) & (F.col("__r") <= most)).drop("__valid", "__k", "__r")
 
 
 def subject_stats(frames: DataFrame, manifest: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
-    """One row per subject: status, calibration frames, single-precision means and deviations."""
-    chosen = calibration_videos(manifest, cfg)
-    used = calibration_frames(frames, chosen, cfg)
-    values = used.groupBy("subject_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f32(F.avg(c)).alias(f"mean_{c}") for c in RAW_COLUMNS],
-        *[f32(F.stddev_pop(c)).alias(f"s_{c}") for c in RAW_COLUMNS],
-    )
-    present = frames.join(chosen.withColumnRenamed("calib_video_id", "video_id"), "video_id", "left_semi").select("video_id").distinct()
-    rows = (
-        manifest.select("subject_id").distinct().join(chosen, "subject_id", "left")
-        .join(present.select(F.col("video_id").alias("calib_video_id"), F.lit(1).alias("there")), "calib_video_id", "left")
-        .join(values, "subject_id", "left")
+    """One row per subject: status, calibration frames, single-precision means and deviations.
+
+    One pass over the manifest chooses the videos, one over their frames counts and measures
+    those that are used; a subject without frames keeps its row.
+    """
+    normal = F.when(F.col("score_label") == cfg.calibration_score, F.struct("manifest_pos", "video_id"))
+    subjects = manifest.groupBy("subject_id").agg(F.min(normal).getField("video_id").alias("calib_video_id"))
+    seen = frames.select(F.col("video_id").alias("calib_video_id"), "processed_idx", "face_detected", *RAW_COLUMNS, F.lit(1).alias("there"))
+    marked = _marked(subjects.join(seen, "calib_video_id", "left"), cfg, ("calib_video_id", "subject_id"))
+    used = lambda c: F.when(F.col("used"), F.col(c))
+    rows = marked.groupBy("calib_video_id", "subject_id").agg(
+        F.count_if("used").alias("n"), F.max("there").alias("there"),
+        *[f32(F.avg(used(c))).alias(f"mean_{c}") for c in RAW_COLUMNS],
+        *[f32(F.stddev_pop(used(c))).alias(f"s_{c}") for c in RAW_COLUMNS],
     )
     status = (
         F.when(F.col("calib_video_id").isNull(), STATUS[0]).when(F.col("there").isNull(), STATUS[1])

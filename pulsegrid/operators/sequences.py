@@ -111,13 +111,17 @@ def mirror(kept: DataFrame) -> DataFrame:
     return kept.withColumns({"label_source": F.lit("dummy_all_mirrors_high_confidence"), "is_dummy_all": F.lit(1)})
 
 
-def video_summary(frames: DataFrame, manifest: DataFrame, stats: DataFrame, events: DataFrame, sequences: DataFrame) -> DataFrame:
-    """One row per video: frames, face rate, counts and status; subjects without calibration keep a row."""
+def video_summary(frames: DataFrame, manifest: DataFrame, rolled: DataFrame, sequences: DataFrame, ended: str = "blink_end") -> DataFrame:
+    """One row per video: frames, face rate, counts and status; subjects without calibration keep a row.
+
+    ``rolled`` holds the frames of calibrated subjects, with the time of the blink that ends at
+    each in ``ended``: its videos are the calibrated ones and its blinks are counted in place.
+    ``manifest`` is asked for its own columns alone.
+    """
     per = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_frames"), F.avg(f64(F.col("face_detected"))).alias("rate"))
-    blinks = events.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_blinks"))
+    blinks = rolled.groupBy("video_id").agg(F.count(ended).alias("num_blinks"), F.lit(1).alias("ok"))
     seqs = sequences.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_all_sequences"), F.sum("is_high_confidence").alias("num_high_conf_sequences"))
-    ok = stats.where("status = 'ok'").select("subject_id", F.lit(1).alias("ok"))
-    rows = manifest.join(per, "video_id", "left").join(ok, "subject_id", "left").join(blinks, "video_id", "left").join(seqs, "video_id", "left")
+    rows = manifest.join(per, "video_id", "left").join(blinks, "video_id", "left").join(seqs, "video_id", "left")
     status = F.when(F.col("num_frames").isNull(), "empty_raw_frame_csv").when(F.col("ok").isNull(), "no_subject_calibration").otherwise("ok")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.select(

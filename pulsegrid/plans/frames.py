@@ -26,9 +26,9 @@ def states(norm: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
     return signals.perclos(signals.closed_state(norm, cfg), cfg)
 
 
-def rolling(norm: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:
+def rolling(norm: DataFrame, cfg: BlinkConfig = BlinkConfig(), ended: str | None = None) -> DataFrame:
     rows = states(norm, cfg)
-    return blinks.sanitise(blinks.blink_rolling(rows, cfg), FEATURES)
+    return blinks.sanitise(blinks.blink_rolling(rows, cfg, ended), FEATURES)
 
 
 def windows(roll: DataFrame, man: DataFrame, cfg: SequenceConfig) -> DataFrame:

@@ -145,10 +145,9 @@ def q_filter_reasons(spark, d):
 
 def q_video_summary(spark, d):
     frames, man, norm = P.fixture_norm(spark, d)
-    stats = calibration.subject_stats(frames, man, FIXTURE_FRAMES)
-    events = blinks.blink_events(signals.closed_state(norm))
-    seq = P.decided(P.windows(P.rolling(norm), man, FIXTURE_SEQUENCES), FIXTURE_SEQUENCES)
-    out = sequences.video_summary(frames, man, stats, events, seq)
+    rolled = P.rolling(norm, ended="blink_end")
+    seq = P.decided(P.windows(rolled, man, FIXTURE_SEQUENCES), FIXTURE_SEQUENCES)
+    out = sequences.video_summary(frames, man, rolled, seq)
     return out.select("video_id", "subject_id", "label", "num_frames", "num_blinks", "num_all_sequences", "num_high_conf_sequences", "status", *r6("face_detection_rate"))
 
 

@@ -64,11 +64,27 @@ def label_manifest(manifest: DataFrame) -> DataFrame:
     return named.where("label IS NOT NULL")
 
 
+#: Ranges of the order in the numbering of repeated ids.
+RANGES = 1024
+
+
 def unique_ids(manifest: DataFrame, order: str) -> DataFrame:
-    """The nth repeat of a video id gets the suffix ``_dup{n}``."""
-    nth = F.row_number().over(Window.partitionBy("video_id").orderBy(order))
-    named = F.when(F.col("__n") > 1, F.concat("video_id", F.lit("_dup"), F.col("__n").cast("string"))).otherwise(F.col("video_id"))
-    return manifest.withColumn("__n", nth).withColumns({"video_id_original": F.col("video_id"), "video_id": named}).drop("__n")
+    """The nth repeat of a video id gets the suffix ``_dup{n}``; ``order`` is a whole number.
+
+    Repeats are counted in two levels, so that an id with very many is no single task: by id and
+    range of the order, whose counts are summed up over the ranges, and then within a range.
+    """
+    ends = manifest.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, width = (ends.lo or 0), max(1, -(-((ends.hi or 0) - (ends.lo or 0) + 1) // RANGES))
+    part = F.coalesce(F.floor((F.col(order) - F.lit(lo)) / F.lit(width)), F.lit(-1))
+    rows = manifest.withColumn("__p", part)
+    counts = rows.groupBy(F.col("video_id").alias("__v"), F.col("__p").alias("__q")).agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__v").orderBy("__q")) - F.col("__c")
+    nth = F.row_number().over(Window.partitionBy("video_id", "__p").orderBy(order))
+    both = rows.withColumn("__i", nth).join(counts.withColumn("__b", before), F.col("video_id").eqNullSafe(F.col("__v")) & (F.col("__p") == F.col("__q")))
+    n = F.col("__b") + F.col("__i")
+    named = F.when(n > 1, F.concat("video_id", F.lit("_dup"), n.cast("string"))).otherwise(F.col("video_id"))
+    return both.select(*manifest.columns, n.alias("__n"), named.alias("__named")).withColumns({"video_id_original": F.col("video_id"), "video_id": F.col("__named")}).drop("__n", "__named")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -164,8 +180,3 @@ def checked_arrays(rows: DataFrame, meta: DataFrame, key: str, required: tuple[s
         raise ValueError(f"arrays and metadata do not match: {odd}")
     whole = rows.join(meta, key)
     return whole if max_samples is None else whole.orderBy(key).limit(max_samples)
-
-
-def strip_prefix(name: str = "name") -> Column:
-    """Weight names without the prefix of a parallel wrapper."""
-    return F.regexp_replace(name, "^module\\.", "")

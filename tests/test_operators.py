@@ -278,7 +278,30 @@ def test_the_frame_chain_runs_once_after_calibration(spark, name):
     from pulsegrid.plans.queries import QUERIES
 
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") <= 8, plan.count("FileScan")
+    assert plan.count("FileScan") <= 4, plan.count("FileScan")
+
+
+def test_calibration_is_one_pass(spark):
+    from conftest import SF
+
+    from pulsegrid.plans.queries import QUERIES
+
+    plan = QUERIES["q_smooth"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange ") <= 7, plan
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 1024])
+def test_repeats_are_numbered_in_order(spark, monkeypatch, ranges):
+    monkeypatch.setattr(tables, "RANGES", ranges)
+    rows = [("a" if i % 3 else f"v{i % 4}", (i * 37) % 101 - 20) for i in range(101)] + [(None, 500), (None, 501), ("a", None)]
+    got = tables.unique_ids(spark.createDataFrame(rows, "video_id string, at long"), "at").collect()
+    seen = {}
+    for v, at in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        seen.setdefault(v, []).append(at)
+    want = [(v, v if n == 0 or v is None else f"{v}_dup{n + 1}", at) for v, ats in seen.items() for n, at in enumerate(ats)]
+    assert sorted(((r.video_id_original, r.video_id, r.at) for r in got), key=repr) == sorted(want, key=repr)
+    none = spark.createDataFrame([], "video_id string, at long")
+    assert tables.unique_ids(none, "at").count() == 0
 
 
 def test_sinks(spark, tmp_path):

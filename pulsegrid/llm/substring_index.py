@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from pulsegrid.llm.anchors import HOT, Windows, combined_blocks, occurrences, packed_texts, part_block, unpack_text
-from pulsegrid.llm.shared import LAST, cut, keyed
+from pulsegrid.llm.shared import LAST, cut, fresh_dir, keyed, remove_dir
 
 #: Bytes of blocks that are resolved together; blocks of one key and part stay together.
 SOLVE_BYTES = 1 << 21
@@ -128,11 +128,12 @@ def _remove(length: int, with_text: bool):
 
 
 class SubstringIndex:
-    """The runs of an index and the texts beside them, as tables of the session's warehouse."""
+    """The runs of an index and the texts beside them, as tables below the shared folder."""
 
     def __init__(self, spark: SparkSession, length: int = 50, name: str | None = None, fanout: int = FANOUT):
         self.spark, self.spec, self.fanout = spark, Windows(length, 8, _words), fanout
         self.name = name or f"substring_index_{uuid.uuid4().hex}"
+        self.folder = fresh_dir(spark, "substring_index")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.texts: list[str] = []
@@ -142,9 +143,13 @@ class SubstringIndex:
         """An immutable table of one file per bucket, sorted within it."""
         table = f"{self.name}_{self.n_tables}"
         self.n_tables += 1
-        rows.write.option("compression", "zstd").bucketBy(self.buckets, *by).sortBy(*sort).saveAsTable(table)
+        rows.write.option("compression", "zstd").option("path", f"{self.folder}/{table}").bucketBy(self.buckets, *by).sortBy(*sort).saveAsTable(table)
         return table
 
+    def _forget(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove_dir(self.spark, f"{self.folder}/{table}")
+
     def _write_run(self, blocks: DataFrame) -> str:
         """One row per fingerprint with its first document, dealt by key so that a run has one file per bucket."""
         first = F.min(F.struct("k0", "k1", "lo", "n")).alias("rep")
@@ -178,11 +183,12 @@ class SubstringIndex:
             self.levels[level + 1].append(self._write_run(run))
             self.levels[level] = []
             for name in names:
-                self.spark.sql(f"DROP TABLE {name}")
+                self._forget(name)
 
     def drop(self) -> None:
         for name in [*self.runs(), *self.texts]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._forget(name)
+        remove_dir(self.spark, self.folder)
         self.levels, self.texts = [[]], []
 
     def candidates(self, new: str) -> DataFrame:
@@ -234,11 +240,12 @@ class SubstringIndex:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+    docs: DataFrame, length: int = 50, batches: int = FANOUT + 1, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
 ) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 and, if asked, the kept words.
 
-    Documents enter the index in ``batches`` ranges of ids, the smaller ones first. Each word
+    Documents enter the index in ``batches`` ranges of ids, the smaller ones first; the default is
+    one more than a level holds runs, so runs are compacted on the way. Each word
     goes that lies in a window of ``length`` words which also starts in a document with a
     smaller id; windows are judged on the input.
 
@@ -247,15 +254,17 @@ def remove_repeats(
     * rows with equal ids never repeat each other; each gives a result row
     * texts are read whole, in bounded runs; an empty table: no rows; other columns are not read
     """
-    rows = keyed(docs, id_col, text_col)
+    id_ = F.col(f"`{id_col}`")
     index = SubstringIndex(docs.sparkSession, length)
-    low, high = rows.where("id IS NOT NULL").agg(F.min("k0"), F.max("k0")).first()
+    low, high = docs.agg(F.min(id_.cast("long")), F.max(id_.cast("long"))).first()
     step = ((high or 0) - (low or 0)) // batches + 1
-    part = F.when(F.col("id").isNull(), batches - 1).otherwise(((F.col("k0") - F.lit(low or 0)) / step).cast("int"))
+    out = None
     try:
-        out = index.add(rows.where(part == 0), with_text)
-        for b in range(1, batches):
-            out = out.unionByName(index.add(rows.where(part == b), with_text))
+        for b in range(batches):
+            # on the ids as they lie, so that the scan skips the other batches' row groups
+            own = (id_ >= (low or 0) + b * step) & (id_ < (low or 0) + (b + 1) * step)
+            taken = index.add(keyed(docs.where(own | id_.isNull() if b == batches - 1 else own), id_col, text_col), with_text)
+            out = taken if out is None else out.unionByName(taken)
     finally:
         index.drop()
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import pytest
 from conftest import SF, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import centroids, collocations, fingerprints
+from pulsegrid.llm import centroids, collocations, fingerprints, substring_index
 from pulsegrid.llm.oracles import ORACLES
 from pulsegrid.llm.queries import QUERIES
 
@@ -269,3 +269,26 @@ def test_merged_lists_are_the_longer_phrases():
     assert {(a, b): c for a, b, c in zip(first, last, n)} == want
     assert all((first[j], last[j]) == (words[list(positions).index(p)], words[list(positions).index(p) + 1]) for p, j in zip(at, which))
     assert list(itertools.accumulate(n))[-1] == len(at)
+
+
+def test_the_substring_query_compacts_below_the_shared_folder(spark, monkeypatch):
+    """Five batches through levels of four: the last is joined with one merged run; nothing stays behind."""
+    from pathlib import Path
+
+    seen, joined = [], []
+    compact, candidates = substring_index.SubstringIndex.compact, substring_index.SubstringIndex.candidates
+
+    def watched_compact(self):
+        compact(self)
+        seen.append([len(level) for level in self.levels])
+
+    def watched_candidates(self, new):
+        joined.append(len(self.runs()))
+        return candidates(self, new)
+
+    monkeypatch.setattr(substring_index.SubstringIndex, "compact", watched_compact)
+    monkeypatch.setattr(substring_index.SubstringIndex, "candidates", watched_candidates)
+    assert QUERIES["op10_substring_dedup"](spark, SF).count() > 0
+    assert seen[2:] == [[3], [0, 1], [1, 1]] and joined == [0, 1, 2, 3, 1]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert not list(shared.glob("substring_index-*")) and not list(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).glob("substring_index*"))

@@ -46,6 +46,11 @@ class BlinkConfig:
         if self.start <= self.end:
             raise ValueError("a latch needs a start threshold above its end threshold")
 
+    def without_pause(self) -> None:
+        """Raises where the least pause between blinks may bind: the default is shorter than a frame at 15 a second."""
+        if self.min_gap > 1 / 15:
+            raise ValueError(f"a pause of {self.min_gap} s needs blink_events_with_gap")
+
 
 @dataclass(frozen=True)
 class SequenceConfig:

@@ -7,11 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Landmark numbers of the six points of each eye and of the mouth.
-LEFT_EYE = (33, 160, 158, 133, 153, 144)
-RIGHT_EYE = (362, 385, 387, 263, 373, 380)
-MOUTH = {"left": 61, "right": 291, "top": 13, "bottom": 14}
-
 
 def f32(c: Column) -> Column:
     return c.cast("float")

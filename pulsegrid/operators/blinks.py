@@ -50,8 +50,9 @@ def blink_events(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame
 
     The least pause between events cannot bind where a smoothed signal needs longer than the
     pause to climb from the end to the start threshold, as under the defaults. For other
-    signals there is ``blink_events_with_gap``.
+    signals there is ``blink_events_with_gap``; a pause longer than a frame raises here.
     """
+    cfg.without_pause()
     return number_events(_events(runs(rows), cfg))
 
 
@@ -122,8 +123,9 @@ def blink_rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), ended: str
 
     An event sits on the frame where it ends, so a range window replaces the interval join,
     and no event leaves the partitioning of its frames. ``ended`` names a column for the
-    time of the event that ends at the frame.
+    time of the event that ends at the frame. A pause longer than a frame raises.
     """
+    cfg.without_pause()
     out = _events_in_place(rows, cfg).withColumns(
         {n: f32(F.coalesce(time_window(f"__{c}", "avg", cfg.window_sec), F.lit(0.0))) for n, c in ROLLED.items()}
         | {

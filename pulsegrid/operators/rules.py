@@ -24,11 +24,6 @@ def last_columns(features: tuple[str, ...] = FEATURES) -> list[Column]:
     return last + [F.max(clean(c)).alias(n) for n, c in MAXIMA.items() if c in features]
 
 
-def last_values(windows: DataFrame, *keys: str) -> DataFrame:
-    """Per sequence the last frame's values and the maxima that the rule reads."""
-    return windows.groupBy("video_id", "seq_idx", *keys).agg(*last_columns())
-
-
 def sleepy_mask(cfg: RuleConfig = RuleConfig(), features: tuple[str, ...] = FEATURES) -> Column:
     """The rule's condition over ``last_columns`` and prob_0.
 

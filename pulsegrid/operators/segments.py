@@ -133,8 +133,9 @@ def _ended(rows: DataFrame, cfg: BlinkConfig) -> DataFrame:
     """Adds ``__e``, the values of the event that ends at the row.
 
     A closure's rows share ``closed_since``. One that began before the context is longer
-    than an event may be, and ``closed_since`` tells that.
+    than an event may be, and ``closed_since`` tells that. A least pause longer than a frame raises.
     """
+    cfg.without_pause()
     ear = f64(F.col("ear_z"))
     marked = rows.withColumn("__before", F.coalesce(F.lag("closed_state").over(_own()), F.lit(0)))
     run = Window.partitionBy(*KEY, "closed_since").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.currentRow)

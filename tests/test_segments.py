@@ -78,6 +78,15 @@ def test_no_rows(z):
     assert segments.rolling(parts).count() == 0 and segments.events(parts).count() == 0
 
 
+def test_a_pause_that_may_bind_raises(z):
+    cfg = BlinkConfig(min_gap=0.5)
+    whole = signals.perclos(signals.closed_state(signals.smooth(signals.fill_signals(z))))
+    for plan in (lambda: blinks.blink_events(whole, cfg), lambda: blinks.blink_rolling(whole, cfg), lambda: segments.events(segments.chain(z), cfg)):
+        with pytest.raises(ValueError, match="blink_events_with_gap"):
+            plan()
+    assert blinks.blink_events_with_gap(whole, cfg).count() < blinks.blink_events(whole).count() + 1
+
+
 # --- time joins ---
 
 

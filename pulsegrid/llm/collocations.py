@@ -34,6 +34,8 @@ CHUNK_WORDS = 1 << 21
 SPLIT_BYTES = 1 << 22
 #: Characters that end a piece.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+#: Parts of a language's phrases that are ranked apart before the best of all are.
+SHARES = 64
 #: A phrase's number is its first chunk's number and that of its list there: bits of a task's
 #: chunks and of a chunk's lists.
 TASK_BITS, LIST_BITS = 14, 29
@@ -235,7 +237,10 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, la
     longer = sides.select("f", F.inline("inside")).groupBy("k", "id").agg(F.max("f").alias("longer"))
     left = sides.join(longer, ["k", "id"], "left").where(F.col("longer").isNull() | (wide("longer") * 100 < wide("f") * COVERED))
     scored = F.transform("cuts", lambda c: F.struct(_score(F.col("f"), c["l"], c["r"]).alias("score"), c["at"].alias("at"), c["l"].alias("l"), c["r"].alias("r")))
-    best = left.select("lang", "phrase", F.col("f").alias("a"), F.array_min(scored).alias("s")).join(total, "lang")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "a", "s.l", "s.r", "n", "s.score").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = left.select("lang", "phrase", F.col("f").alias("a"), F.array_min(scored).alias("s")).select("lang", "phrase", "a", "s.l", "s.r", "s.score")
+    # in two levels: the best of each share of a language's phrases, and of those the best
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    by = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    within = best.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*by))).where(F.col("rank") <= top)
+    ranked = within.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long")).where(F.col("rank") <= top)
+    return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

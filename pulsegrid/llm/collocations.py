@@ -39,7 +39,7 @@ SHARES = 64
 #: A phrase's number is its first chunk's number and that of its list there: bits of a task's
 #: chunks and of a chunk's lists.
 TASK_BITS, LIST_BITS = 14, 29
-_LIST = "chunk long, lang string, no long, a long, b long, n long"
+_LIST = "own long, a long, b long, n int"
 
 
 def _table() -> bytes:
@@ -145,15 +145,15 @@ def _extended(ids: bytes, known: pd.DataFrame, k: int) -> tuple[np.ndarray, np.n
 
 
 def _candidates(stored: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """A row per chunk and list of ``k`` words, with the list's length."""
+    """A row per chunk and list of ``k`` words (``own``: both in one number), with the list's length."""
 
     def run(chunk: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if chunk.empty or known.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("chunk", "int64"), ("lang", "str"), ("no", "int64"), ("a", "int64"), ("b", "int64"), ("n", "int64"))})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("own", "a", "b", "n")})
         no, a, b, n = _extended(chunk["ids"][0], known, k)
-        return pd.DataFrame({"chunk": chunk["chunk"][0], "lang": chunk["lang"][0], "no": no, "a": a, "b": b, "n": n})
+        return pd.DataFrame({"own": int(chunk["chunk"][0]) << LIST_BITS | no, "a": a, "b": b, "n": n})
 
-    return stored.select("chunk", "lang", "ids").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, _LIST)
+    return stored.select("chunk", "ids").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, _LIST)
 
 
 def _frequent(lists: DataFrame, key: list[str], min_count: int) -> DataFrame:
@@ -162,10 +162,10 @@ def _frequent(lists: DataFrame, key: list[str], min_count: int) -> DataFrame:
     One shuffle by phrase. A phrase has a row per chunk at most, whatever its frequency. Its
     number is the least (chunk, list) that holds it; ``first`` marks that row.
     """
-    phrase = Window.partitionBy("lang", *key)
-    own = F.col("chunk") * (1 << LIST_BITS) + F.col("no")
-    rows = lists.select("*", own.alias("own")).select("*", F.sum("n").over(phrase).alias("f"), F.min("own").over(phrase).alias("id"))
-    return rows.where(F.col("f") >= min_count).select("chunk", "no", "lang", *key, "id", "f", (F.col("own") == F.col("id")).alias("first"))
+    phrase = Window.partitionBy(*key)
+    rows = lists.select("*", F.sum("n").over(phrase).alias("f"), F.min("own").over(phrase).alias("id")).where(F.col("f") >= min_count)
+    chunk, no = F.shiftright("own", LIST_BITS), F.col("own").bitwiseAND(F.lit((1 << LIST_BITS) - 1))
+    return rows.select(chunk.alias("chunk"), no.alias("no"), *key, "id", "f", (F.col("own") == F.col("id")).alias("first"))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -175,7 +175,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text") -> tuple[dict[int, DataFrame], DataFrame]:
-    """({k: frequent phrases of k words}, words by lang): (lang, id, f, word) for 1, else (lang, id, f, a, b).
+    """({k: frequent phrases of k words}, words by lang): (lang, id, f, word) for 1, else (id, f, a, b).
 
     ``a`` and ``b`` are the numbers of the first and the last k - 1 words. Null texts count as
     empty and null languages as ``und``; repeated rows count as often as they stand; texts of
@@ -183,9 +183,9 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang",
     empty table has no phrases. Other columns, ids included, are not read.
     """
     stored = _stored(chunks(docs, lang_col, text_col), "chunks")
-    words = stored.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "n"))).select("chunk", "lang", F.col("pos").cast("long").alias("no"), F.col("col.words").alias("word"), F.col("col.n").alias("n"))
+    words = stored.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "n"))).select((F.col("chunk") * (1 << LIST_BITS) + F.col("pos")).alias("own"), "lang", F.col("col.words").alias("word"), F.col("col.n").cast("int").alias("n"))
     total = stored.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-    levels = {1: _stored(_frequent(words, ["word"], min_count), "words")}
+    levels = {1: _stored(_frequent(words, ["lang", "word"], min_count), "words")}
     for k in range(2, LONGEST + 1):
         known = None
         for level, rows in levels.items():
@@ -211,7 +211,7 @@ def _sides(level: dict[int, DataFrame]) -> DataFrame:
         whole = level[k].join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
         # heads[j], tails[j]: frequencies of the first and of the last j + 1 words
         found = whole.select(
-            "lang", "id", F.concat_ws(" ", "a_phrase", F.substring_index("b_phrase", " ", -1)).alias("phrase"), "f",
+            F.col("a_lang").alias("lang"), "id", F.concat_ws(" ", "a_phrase", F.substring_index("b_phrase", " ", -1)).alias("phrase"), "f",
             F.concat("a_heads", F.array("f")).alias("heads"), F.concat("b_tails", F.array("f")).alias("tails"),
             F.array_distinct(F.concat(F.array(part("a"), part("b")), "a_inside", "b_inside") if k > 2 else F.array().cast("array<struct<k:int,id:bigint>>")).alias("inside"),
         )

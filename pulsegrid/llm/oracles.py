@@ -52,18 +52,18 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 
 def _rounds(k: int, n: int) -> str:
     """Assignments a0 ... an of k0's vectors to ``k`` centroids c0 ... cn, each round's from the one before."""
-    out = f"""k0 AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    out = f"""k0 AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
     WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
-  c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM k0 QUALIFY c < {k})"""
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM k0 QUALIFY c < {k})"""
     for i in range(n + 1):
         out += f""",
-  d{i} AS (SELECT vec_id, k0.x, c, CAST(list_sum(list_transform(list_zip(k0.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM k0, c{i}),
-  a{i} AS (SELECT vec_id, x, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+  d{i} AS MATERIALIZED (SELECT vec_id, k0.x, c, CAST(list_sum(list_transform(list_zip(k0.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM k0, c{i}),
+  a{i} AS MATERIALIZED (SELECT vec_id, x, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
         if i < n:
             out += f""",
-  s{i} AS (SELECT c, i, sum(e) AS s, CAST(count(*) AS HUGEINT) AS n FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY c, i),
-  m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{i} GROUP BY c),
-  c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)"""
+  s{i} AS MATERIALIZED (SELECT c, i, sum(e) AS s, CAST(count(*) AS HUGEINT) AS n FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY c, i),
+  m{i} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{i} GROUP BY c),
+  c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)"""
     return out
 
 
@@ -80,7 +80,7 @@ s AS (SELECT lang, d, j, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
 w AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM s),
 n AS (SELECT lang, count(*) AS n FROM w GROUP BY 1),
 g AS (SELECT lang, k, list_slice(ws, i, i + k - 1) AS ph FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
-f AS (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+f AS MATERIALIZED (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, k, ph, f AS a FROM f WHERE k > 1),
 cut AS (SELECT c.lang, c.k, c.ph, a, j, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score FROM c, (SELECT unnest([1, 2, 3]) AS j) AS js
   JOIN f AS l ON l.lang = c.lang AND l.ph = list_slice(c.ph, 1, j) JOIN f AS r ON r.lang = c.lang AND r.ph = list_slice(c.ph, j + 1, c.k) WHERE j < c.k),

@@ -409,6 +409,39 @@ def test_decontamination_of_inserted_and_deleted_words(spark):
     assert decontaminate.best_match(a, wide, np.array([1]), 0.8)[0] == decontaminate.align(a, wide)[1] == 12
 
 
+def test_no_copy_is_missed_within_the_guarantee(spark):
+    """Items of 3 to 40 words with as many words replaced as 0.8 allows, where they spoil most seeds, or one or two words more at every place; ids are text."""
+    rng, items, texts, want = random.Random(77), [], [], set()
+    for n in range(3, 41):
+        w = [f"w{n}x{j}" for j in range(n)]
+        items.append((f"i{n}", " ".join(w)))
+        d = n // 5
+        evenly = {j * n // d + (n // d) // 2 for j in range(d)} if d else set()
+        for lost in [evenly, set(range(2, 3 * d, 3)), *(set(rng.sample(range(n), d)) for _ in range(6))]:
+            for more in (0, 1, 2):
+                v = [y for j, x in enumerate(w) for y in (["other"] if j in lost else [x]) + ["new"] * (more if j not in lost and j + 1 not in lost else 0)]
+                texts.append((len(texts), " ".join(["before"] * 70 + v + ["after"] * 70)))
+                item, passage = (np.array([hash(x) & 0xFFFFFFFF for x in y], np.uint64) for y in (w, texts[-1][1].split()))
+                if decontaminate.align(item, passage)[1] >= n - d:
+                    want.add((texts[-1][0], f"i{n}"))
+    assert len(want) > 500
+    assert {f"i{n}" for n in range(3, 41)} == {i for _, i in want}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, ("none", None), (None, "a b")], "item_id string, text string")
+    for chars in (decontaminate.CARRIED_CHARS, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench, carried_chars=chars).collect()} == want
+
+
+def test_grams_that_all_texts_share(spark):
+    """A common opening of all items and texts leads nowhere, and what else they share is found by rarer seeds."""
+    items = [(k, "please answer the following question in one short sentence " + " ".join(f"q{k}x{j}" for j in range(12))) for k in range(15)]
+    texts = [(k, items[k % 15][1] if k % 10 == 0 else "please answer the following question in one short sentence " + prose(k, 30)) for k in range(200)]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    for chars in (decontaminate.CARRIED_CHARS, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench, carried_chars=chars).collect()}
+        assert got == {(k, k % 15) for k in range(0, 200, 10)}
+
+
 def slow_align(item, passage):
     """Smith-Waterman cell by cell: (score, equal words, start, end), the first end and diagonal steps first."""
     n, m = len(item), len(passage)

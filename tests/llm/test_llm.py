@@ -686,6 +686,70 @@ def test_field_on_forms_that_it_has_not_seen(monkeypatch):
         assert recall >= 0.8 and precision >= 0.95, (kind, recall, precision)
 
 
+#: Sentences for the forms that are kept apart; none of them is in the training table.
+BLIND_CONTEXTS = ("please use {} instead", "our new one, {}, works", "{} was given to her", "they noted {} and left", "ask for {}!", "{w}: {}", "{}; {w} {w}", "so {w} wrote {} down", "<{}>", "{w} {}, {w}")
+
+
+def test_field_on_the_blind_part_of_the_drawn_forms():
+    for kind in pii.GRAMMARS:
+        parts = [set(pii.drawn_forms(kind, p)) for p in ("train", "look", "blind")]
+        assert len(parts[2]) >= 30 and not (parts[0] & parts[1] or parts[0] & parts[2] or parts[1] & parts[2])
+    assert pii.drawn_table("train") == pii.drawn_table("train")
+    rows = pii.drawn_table("blind", 4, BLIND_CONTEXTS, seed=77)
+    got = [set(g) for g in pii.field_spans(pii.default_field(), [t for t, _ in rows])]
+    want = [{(s, e, pii.KINDS.index(k)) for s, e, k in spans} for _, spans in rows]
+    for k, kind in enumerate(pii.KINDS):
+        mine, true = [{x for x in g if x[2] == k} for g in got], [{x for x in w if x[2] == k} for w in want]
+        right = sum(len(a & b) for a, b in zip(mine, true))
+        recall, precision = right / sum(map(len, true)), right / max(1, sum(map(len, mine)))
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """The gradient of the log-likelihood, summed over all label sequences, by differences."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    shapes, sizes = 5, (3, 1, 2)
+    x, y, mask = np.zeros((3, 3, pii.WIDTH), int), np.zeros((3, 3), int), np.zeros((3, 3), bool)
+    for i, size in enumerate(sizes):
+        x[i, :size], y[i, :size], mask[i, :size] = rng.integers(1, shapes, (size, pii.WIDTH)), rng.integers(0, pii.N_LABELS, size), True
+    emit, trans = rng.normal(size=(shapes, pii.N_LABELS)) * 0.3, rng.normal(size=(pii.N_LABELS,) * 2)
+
+    def loss(emit, trans):
+        out = 0.0
+        for i, size in enumerate(sizes):
+            score = lambda p: sum(emit[x[i, t], p[t]].sum() for t in range(size)) + sum(trans[a, b] for a, b in zip(p, p[1:]))
+            every = [score(p) for p in itertools.product(range(pii.N_LABELS), repeat=size)]
+            out += np.logaddexp.reduce(every) - score(y[i, :size])
+        return out
+
+    by_shape, by_step = pii._gradient(x, y, mask, emit, trans)
+    for k, (w, g) in enumerate(((emit, by_shape), (trans, by_step))):
+        for at in [(1, 0), (3, 5), (4, 8), (2, 2)]:
+            moved = [(emit.copy(), trans.copy()) for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            assert abs((loss(*moved[0]) - loss(*moved[1])) / 2e-5 - g[at]) < 1e-4
+
+
+def test_stretches_of_numbers_groups_and_addresses():
+    def told(text, name):
+        return [next((f[1:] for f in own if f[0] == name), None) for own in pii._stretches([t[2] for t in pii.tokens(text)])]
+
+    assert told("call (020) 7946-0018. 12", "total") == [None, (11, "<"), *[(11, "=")] * 5, (11, ">"), (2, "=")]
+    assert told("fe80::1 x", "hex") == [(2, True)] * 5 + [(0, False)]
+    assert told("a at b dot c", "at, dot") == [(1, 3), (0, 2), (-1, 1), (-2, 0), (-3, -1)]
+    assert pii._stretches([]) == [] and all(len(f) == pii.WIDTH - 7 for f in pii._stretches(["x", "d3", ":"]))
+
+
+def test_small_decoding_batches_change_nothing(monkeypatch):
+    texts = [t for t, _ in pii.drawn_table("look", 1)] + ["", "12 " * 500]
+    whole = pii.field_spans(pii.default_field(), texts)
+    monkeypatch.setattr(pii, "PLACES", 20)
+    assert pii.field_spans(pii.default_field(), texts) == whole
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 

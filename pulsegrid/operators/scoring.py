@@ -119,17 +119,18 @@ def encode(x: np.ndarray, weights: dict) -> np.ndarray:
     return h
 
 
-def score_sequences(tensors: DataFrame, weights: dict, column: str = "x") -> DataFrame:
+def score_sequences(tensors: DataFrame, weights: dict, column: str = "x", precision: type = np.float32) -> DataFrame:
     """Adds prob_0..2 from an encoder and two linear heads over arrays [t][d] of equal length.
 
     ``weights`` is that of ``encode`` with w and b of the heads "abnormal" and "stage": a
-    model's size, whatever the table's. Missing and infinite values count as 0.
+    model's size, whatever the table's. Missing and infinite values count as 0; values are
+    read in ``precision``.
     """
 
     @F.pandas_udf("array<double>")
     def logits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for xs in parts:
-            x = np.nan_to_num(np.array([np.vstack(v) for v in xs], np.float32), posinf=0.0, neginf=0.0)
+            x = np.nan_to_num(np.array([np.vstack(v) for v in xs], precision), posinf=0.0, neginf=0.0)
             h = encode(x, weights)
             both = [h @ weights[k]["w"].T + weights[k]["b"] for k in ("abnormal", "stage")]
             yield pd.Series(list(np.hstack(both).astype(np.float64)))

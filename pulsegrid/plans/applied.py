@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import linear_model, metrics, models, signals, splits, table_functions, training
+from pulsegrid.operators import linear_model, metrics, models, scoring, signals, splits, table_functions, training
 from pulsegrid.plans import frames as P
 from pulsegrid.plans import oracles as O
 from pulsegrid.plans import queries as Q
@@ -51,6 +51,35 @@ def q_model_by_path(spark, d):
     return models.apply_model(_vectors(spark, d), spec, "embedding").select("vec_id", F.round(F.get("p", 0), 6).alias("p"))
 
 
+#: The fixture's encoders: eight steps of eight values, two states.
+STEPS, INPUTS, STATES = 8, 8, 2
+
+
+def _encoder(kind: str, gates: int) -> dict:
+    """Weights of one layer and both heads, by the rule of ``_weight`` from a start for each."""
+    table = lambda start, *shape: np.array([_weight(start + i) for i in range(int(np.prod(shape)))]).reshape(shape)
+    rows = gates * STATES
+    layer = {"ih": table(1, rows, INPUTS), "hh": table(5, rows, STATES), "bi": table(9, rows), "bh": table(13, rows)}
+    heads = {"abnormal": {"w": table(17, 2, STATES), "b": table(21, 2)}, "stage": {"w": table(25, 2, STATES), "b": table(29, 2)}}
+    return {"encoder": kind, "layers": [layer], **heads}
+
+
+def _encoded(spark, d, kind: str, gates: int) -> DataFrame:
+    steps = F.array(*[F.slice(F.col("embedding").cast("array<double>"), 1 + INPUTS * t, INPUTS) for t in range(STEPS)])
+    scored = scoring.score_sequences(_vectors(spark, d).select("vec_id", steps.alias("x")), _encoder(kind, gates), precision=np.float64)
+    return scored.select("vec_id", *Q.r6("prob_0", "prob_1", "prob_2"))
+
+
+def q_encoder_gru(spark, d):
+    """Every vector as a sequence through a gated recurrent layer and both heads."""
+    return _encoded(spark, d, "gru", 3)
+
+
+def q_encoder_lstm(spark, d):
+    """Every vector as a sequence through a long short-term memory layer and both heads."""
+    return _encoded(spark, d, "lstm", 4)
+
+
 def q_trained_heads(spark, d):
     """Both heads trained on the vectors, with their classes' weights and smoothed labels, as one row per weight."""
     rows = _vectors(spark, d)
@@ -130,12 +159,41 @@ def _group_split(groups: int, ratio: float = 0.2, seed: int = 42) -> str:
     )
 
 
+def _encoder_sql(kind: str, gates: int) -> str:
+    """The layer as a recursive query, one step of every sequence a round."""
+    w = _encoder(kind, gates)
+    layer, number = w["layers"][0], lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    logistic = lambda v: f"(1 / (1 + exp(-({v}))))"
+    states = range(STATES)
+    inner = [f"list_dot_product(x[{INPUTS} * t + 1 : {INPUTS} * t + {INPUTS}], [{', '.join(map(number, row))}]) + {number(b)}" for row, b in zip(layer["ih"], layer["bi"])]
+    outer = [" + ".join([f"{number(v)} * h{k}" for k, v in enumerate(row)] + [number(b)]) for row, b in zip(layer["hh"], layer["bh"])]
+    sums = ", ".join([f"{v} AS i{g}" for g, v in enumerate(inner)] + [f"{v} AS o{g}" for g, v in enumerate(outer)])
+    gate = lambda g, j: logistic(f"i{g * STATES + j} + o{g * STATES + j}")
+    if kind == "gru":
+        new = [f"tanh(i{2 * STATES + j} + {gate(0, j)} * o{2 * STATES + j})" for j in states]
+        kept, after = [], [f"(1 - {gate(1, j)}) * {new[j]} + {gate(1, j)} * h{j}" for j in states]
+    else:
+        kept = [f"{gate(1, j)} * c{j} + {gate(0, j)} * tanh(i{2 * STATES + j} + o{2 * STATES + j})" for j in states]
+        after = [f"{gate(3, j)} * tanh({kept[j]})" for j in states]
+    held = [f"h{j}" for j in states] + [f"c{j}" for j in range(len(kept))]
+    moved = ", ".join(f"{v} AS {n}" for v, n in zip(after + kept, held))
+    logit = lambda head, c: " + ".join([f"{number(v)} * h{k}" for k, v in enumerate(w[head]["w"][c])] + [number(w[head]["b"][c])])
+    second = lambda head: logistic(f"({logit(head, 1)}) - ({logit(head, 0)})")
+    return f"""WITH RECURSIVE k AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN isfinite(CAST(x AS DOUBLE)) THEN CAST(x AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS x FROM ({_KEPT})),
+      s AS (SELECT vec_id, x, 0 AS t, {', '.join(f'CAST(0 AS DOUBLE) AS {n}' for n in held)} FROM k
+        UNION ALL SELECT vec_id, x, t + 1 AS t, {moved} FROM (SELECT *, {sums} FROM s WHERE t < {STEPS}))
+      SELECT vec_id, round(1 - a, 6) AS prob_0, round(a * (1 - g), 6) AS prob_1, round(a * g, 6) AS prob_2
+      FROM (SELECT vec_id, {second('abnormal')} AS a, {second('stage')} AS g FROM s WHERE t = {STEPS})"""
+
+
 #: The sources of the given tables are so many groups.
 GROUPS = 20
 ORACLES = {
     "q_npy_round_trip": f"""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, CAST(label_id AS BIGINT) AS label_id, len(e) AS n, round(CAST(e[1] AS DOUBLE), 6) AS first,
       round(list_sum({_DOUBLES}), 4) AS total FROM ({_KEPT})""",
     "q_model_by_path": f"SELECT vec_id, round(1 / (1 + exp(-(list_dot_product({_DOUBLES}, {_WEIGHTS}) + 0.25::DOUBLE))), 6) AS p FROM ({_KEPT})",
+    "q_encoder_gru": _encoder_sql("gru", 3),
+    "q_encoder_lstm": _encoder_sql("lstm", 4),
     "q_fold_split_whole": O.with_(O.META, select=f"SELECT doc_id, 'test' AS split FROM meta WHERE fold = 'Fold2' UNION ALL {_by_class('SELECT * FROM meta WHERE fold <> ' + chr(39) + 'Fold2' + chr(39) + ' AND doc_id % 3 <> 0', 42)}"),
     "q_final_split": O.with_(O.META, select=_by_class("SELECT * FROM meta WHERE doc_id % 3 <> 0", 1041)),
     "q_best_epoch_min": O.ORACLES["q_best_epoch"].replace("'-inf'::DOUBLE AS best_value", "'inf'::DOUBLE AS best_value").replace("v > best_value + 1e-4::DOUBLE", "v < best_value - 1e-4::DOUBLE"),

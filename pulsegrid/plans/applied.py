@@ -55,29 +55,46 @@ def q_model_by_path(spark, d):
 STEPS, INPUTS, STATES = 8, 8, 2
 
 
+def _table(start: int, *shape: int) -> np.ndarray:
+    return np.array([_weight(start + i) for i in range(int(np.prod(shape)))]).reshape(shape)
+
+
 def _encoder(kind: str, gates: int) -> dict:
     """Weights of one layer and both heads, by the rule of ``_weight`` from a start for each."""
-    table = lambda start, *shape: np.array([_weight(start + i) for i in range(int(np.prod(shape)))]).reshape(shape)
+    table = _table
     rows = gates * STATES
     layer = {"ih": table(1, rows, INPUTS), "hh": table(5, rows, STATES), "bi": table(9, rows), "bh": table(13, rows)}
     heads = {"abnormal": {"w": table(17, 2, STATES), "b": table(21, 2)}, "stage": {"w": table(25, 2, STATES), "b": table(29, 2)}}
     return {"encoder": kind, "layers": [layer], **heads}
 
 
-def _encoded(spark, d, kind: str, gates: int) -> DataFrame:
+def _convolutions() -> dict:
+    """One temporal block of two convolutions over three steps with a shortcut, averaged over the steps."""
+    norm = lambda start: {"mean": _table(start, STATES), "var": 1 + _table(start + 2, STATES), "scale": 1 + _table(start + 4, STATES), "shift": _table(start + 6, STATES)}
+    both = [{"kernel": _table(start, STATES, inputs, 3), "bias": _table(start + 3, STATES), **norm(start + 5)} for start, inputs in ((33, INPUTS), (37, STATES))]
+    block = {"convolutions": both, "down": {"kernel": _table(41, STATES, INPUTS, 1), "bias": _table(45, STATES)}}
+    return _encoder("gru", 3) | {"encoder": "tcn", "blocks": [block], "pooling": "mean"}
+
+
+def _encoded(spark, d, weights: dict) -> DataFrame:
     steps = F.array(*[F.slice(F.col("embedding").cast("array<double>"), 1 + INPUTS * t, INPUTS) for t in range(STEPS)])
-    scored = scoring.score_sequences(_vectors(spark, d).select("vec_id", steps.alias("x")), _encoder(kind, gates), precision=np.float64)
+    scored = scoring.score_sequences(_vectors(spark, d).select("vec_id", steps.alias("x")), weights, precision=np.float64)
     return scored.select("vec_id", *Q.r6("prob_0", "prob_1", "prob_2"))
 
 
 def q_encoder_gru(spark, d):
     """Every vector as a sequence through a gated recurrent layer and both heads."""
-    return _encoded(spark, d, "gru", 3)
+    return _encoded(spark, d, _encoder("gru", 3))
 
 
 def q_encoder_lstm(spark, d):
     """Every vector as a sequence through a long short-term memory layer and both heads."""
-    return _encoded(spark, d, "lstm", 4)
+    return _encoded(spark, d, _encoder("lstm", 4))
+
+
+def q_encoder_tcn(spark, d):
+    """Every vector as a sequence through a block of causal convolutions and both heads."""
+    return _encoded(spark, d, _convolutions())
 
 
 def q_trained_heads(spark, d):
@@ -159,11 +176,29 @@ def _group_split(groups: int, ratio: float = 0.2, seed: int = 42) -> str:
     )
 
 
+_FINITE = f"k AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN isfinite(CAST(x AS DOUBLE)) THEN CAST(x AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS x FROM ({_KEPT}))"
+
+
+def _number(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _logistic(v: str) -> str:
+    return f"(1 / (1 + exp(-({v}))))"
+
+
+def _heads_sql(w: dict, states: str) -> str:
+    """The three probabilities from the states h0, h1, ... of a query."""
+    logit = lambda head, c: " + ".join([f"{_number(v)} * h{k}" for k, v in enumerate(w[head]["w"][c])] + [_number(w[head]["b"][c])])
+    second = lambda head: _logistic(f"({logit(head, 1)}) - ({logit(head, 0)})")
+    return f"""SELECT vec_id, round(1 - a, 6) AS prob_0, round(a * (1 - g), 6) AS prob_1, round(a * g, 6) AS prob_2
+      FROM (SELECT vec_id, {second('abnormal')} AS a, {second('stage')} AS g FROM ({states}))"""
+
+
 def _encoder_sql(kind: str, gates: int) -> str:
     """The layer as a recursive query, one step of every sequence a round."""
     w = _encoder(kind, gates)
-    layer, number = w["layers"][0], lambda v: f"CAST({float(v)!r} AS DOUBLE)"
-    logistic = lambda v: f"(1 / (1 + exp(-({v}))))"
+    layer, number, logistic = w["layers"][0], _number, _logistic
     states = range(STATES)
     inner = [f"list_dot_product(x[{INPUTS} * t + 1 : {INPUTS} * t + {INPUTS}], [{', '.join(map(number, row))}]) + {number(b)}" for row, b in zip(layer["ih"], layer["bi"])]
     outer = [" + ".join([f"{number(v)} * h{k}" for k, v in enumerate(row)] + [number(b)]) for row, b in zip(layer["hh"], layer["bh"])]
@@ -177,13 +212,33 @@ def _encoder_sql(kind: str, gates: int) -> str:
         after = [f"{gate(3, j)} * tanh({kept[j]})" for j in states]
     held = [f"h{j}" for j in states] + [f"c{j}" for j in range(len(kept))]
     moved = ", ".join(f"{v} AS {n}" for v, n in zip(after + kept, held))
-    logit = lambda head, c: " + ".join([f"{number(v)} * h{k}" for k, v in enumerate(w[head]["w"][c])] + [number(w[head]["b"][c])])
-    second = lambda head: logistic(f"({logit(head, 1)}) - ({logit(head, 0)})")
-    return f"""WITH RECURSIVE k AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN isfinite(CAST(x AS DOUBLE)) THEN CAST(x AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS x FROM ({_KEPT})),
+    return f"""WITH RECURSIVE {_FINITE},
       s AS (SELECT vec_id, x, 0 AS t, {', '.join(f'CAST(0 AS DOUBLE) AS {n}' for n in held)} FROM k
         UNION ALL SELECT vec_id, x, t + 1 AS t, {moved} FROM (SELECT *, {sums} FROM s WHERE t < {STEPS}))
-      SELECT vec_id, round(1 - a, 6) AS prob_0, round(a * (1 - g), 6) AS prob_1, round(a * g, 6) AS prob_2
-      FROM (SELECT vec_id, {second('abnormal')} AS a, {second('stage')} AS g FROM s WHERE t = {STEPS})"""
+      {_heads_sql(w, f"SELECT * FROM s WHERE t = {STEPS}")}"""
+
+
+def _tcn_sql() -> str:
+    """The block as windows over the steps: earlier steps are lagged rows, zeros before the first."""
+    w = _convolutions()
+    block = w["blocks"][0]
+
+    def layer(c: dict, name: str) -> str:
+        n, out = c["kernel"].shape[1], []
+        zeros = f"[{', '.join(['CAST(0 AS DOUBLE)'] * n)}]"
+        for j in range(STATES):
+            taps = [f"list_dot_product(coalesce(lag({name}, {2 - k}) OVER w, {zeros}), [{', '.join(map(_number, c['kernel'][j, :, k]))}])" for k in range(3)]
+            normed = f"({' + '.join(taps)} + {_number(c['bias'][j])} - {_number(c['mean'][j])}) / sqrt({_number(c['var'][j])} + 1e-5::DOUBLE)"
+            out.append(f"greatest({normed} * {_number(c['scale'][j])} + {_number(c['shift'][j])}, CAST(0 AS DOUBLE))")
+        return f"[{', '.join(out)}]"
+
+    first, second = block["convolutions"]
+    down = [f"list_dot_product(v, [{', '.join(map(_number, block['down']['kernel'][j, :, 0]))}]) + {_number(block['down']['bias'][j])}" for j in range(STATES)]
+    ends = ", ".join(f"avg(greatest(z[{j + 1}] + {down[j]}, CAST(0 AS DOUBLE))) AS h{j}" for j in range(STATES))
+    order = "WINDOW w AS (PARTITION BY vec_id ORDER BY t)"
+    return f"""WITH {_FINITE}, s AS (SELECT vec_id, t, x[{INPUTS} * t + 1 : {INPUTS} * t + {INPUTS}] AS v FROM k, (SELECT unnest(range(0, {STEPS})) AS t)),
+      y AS (SELECT *, {layer(first, 'v')} AS y FROM s {order}), z AS (SELECT *, {layer(second, 'y')} AS z FROM y {order})
+      {_heads_sql(w, f"SELECT vec_id, {ends} FROM z GROUP BY 1")}"""
 
 
 #: The sources of the given tables are so many groups.
@@ -193,6 +248,7 @@ ORACLES = {
       round(list_sum({_DOUBLES}), 4) AS total FROM ({_KEPT})""",
     "q_model_by_path": f"SELECT vec_id, round(1 / (1 + exp(-(list_dot_product({_DOUBLES}, {_WEIGHTS}) + 0.25::DOUBLE))), 6) AS p FROM ({_KEPT})",
     "q_encoder_gru": _encoder_sql("gru", 3),
+    "q_encoder_tcn": _tcn_sql(),
     "q_encoder_lstm": _encoder_sql("lstm", 4),
     "q_fold_split_whole": O.with_(O.META, select=f"SELECT doc_id, 'test' AS split FROM meta WHERE fold = 'Fold2' UNION ALL {_by_class('SELECT * FROM meta WHERE fold <> ' + chr(39) + 'Fold2' + chr(39) + ' AND doc_id % 3 <> 0', 42)}"),
     "q_final_split": O.with_(O.META, select=_by_class("SELECT * FROM meta WHERE doc_id % 3 <> 0", 1041)),

@@ -39,16 +39,17 @@ def _marked(frames: DataFrame, cfg: FrameConfig, keys: tuple[str, ...]) -> DataF
     return held.withColumn("used", (F.col("__valid") == 1) & (F.col("__r") <= most)).drop("__valid", "__k", "__r")
 
 
-def subject_stats(frames: DataFrame, manifest: DataFrame, cfg: FrameConfig = FrameConfig()) -> DataFrame:
+def subject_stats(frames: DataFrame, manifest: DataFrame, cfg: FrameConfig = FrameConfig(), hashed: bool = False) -> DataFrame:
     """One row per subject: status, calibration frames, single-precision means and deviations.
 
     One pass over the manifest chooses the videos, one over their frames counts and measures
-    those that are used; a subject without frames keeps its row.
+    those that are used; a subject without frames keeps its row. ``hashed`` makes
+    the subjects the hashed side, so that only frames of the chosen videos are sorted.
     """
     normal = F.when(F.col("score_label") == cfg.calibration_score, F.struct("manifest_pos", "video_id"))
     subjects = manifest.groupBy("subject_id").agg(F.min(normal).getField("video_id").alias("calib_video_id"))
     seen = frames.select(F.col("video_id").alias("calib_video_id"), "processed_idx", "face_detected", *RAW_COLUMNS, F.lit(1).alias("there"))
-    marked = _marked(subjects.join(seen, "calib_video_id", "left"), cfg, ("calib_video_id", "subject_id"))
+    marked = _marked((subjects.hint("shuffle_hash") if hashed else subjects).join(seen, "calib_video_id", "left"), cfg, ("calib_video_id", "subject_id"))
     used = lambda c: F.when(F.col("used"), F.col(c))
     rows = marked.groupBy("calib_video_id", "subject_id").agg(
         F.count_if("used").alias("n"), F.max("there").alias("there"),
@@ -70,9 +71,13 @@ def subject_stats(frames: DataFrame, manifest: DataFrame, cfg: FrameConfig = Fra
     )
 
 
-def z_scores(frames: DataFrame, stats: DataFrame) -> DataFrame:
-    """Frames of calibrated subjects with z scores in single precision."""
+def z_scores(frames: DataFrame, stats: DataFrame, hashed: bool = False) -> DataFrame:
+    """Frames of calibrated subjects with z scores in single precision.
+
+    ``hashed`` makes the statistics, one row per subject, the hashed side: frames are neither
+    broadcast where their files are small nor sorted by subject. Few frames need no such care.
+    """
     means, stds = [f"mean_{c}" for c in RAW_COLUMNS], [f"std_{c}" for c in RAW_COLUMNS]
     own = stats.where("status = 'ok'").select("subject_id", *[F.col(c).alias(f"__{c}") for c in means + stds])
     z = {z: f32((F.col(c) - f64(F.col(f"__mean_{c}"))) / f64(F.col(f"__std_{c}"))) for c, z in zip(RAW_COLUMNS, Z_COLUMNS)}
-    return frames.join(own, "subject_id").withColumns(z).drop(*[f"__{c}" for c in means + stds])
+    return frames.join(own.hint("shuffle_hash") if hashed else own, "subject_id").withColumns(z).drop(*[f"__{c}" for c in means + stds])

@@ -17,6 +17,7 @@ so ``timestamp`` must not be null; rows of a segment are what one task holds of
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def closed_state(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame
     """``signals.closed_state`` over segments, with ``closed_since``, the time of the last rise.
 
     A segment maps the state it is entered with to the one it is left with, and so to its last
-    rise; both are known for either state before the states themselves are.
+    rise; both are known for either state before the states themselves are. ``last_segment``
+    is the video's last one, beyond which no row needs to be copied.
     """
     p = f64(F.col("p_closed_smooth"))
     signal = F.when(p >= cfg.start, 1).when(p <= cfg.end, 0)
@@ -105,7 +107,7 @@ def closed_state(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame
     )
     entered = ends.withColumn("__in", F.coalesce(F.last("left", ignorenulls=True).over(_earlier()), F.lit(0)))
     rise = F.when(F.col("__in") == 0, F.col("r0")).otherwise(F.col("r1"))
-    carried = entered.withColumn("rise", rise).select(*KEY, "__in", F.last("rise", ignorenulls=True).over(_earlier()).alias("__since"))
+    carried = entered.withColumn("rise", rise).select(*KEY, "__in", F.last("rise", ignorenulls=True).over(_earlier()).alias("__since"), F.max("segment").over(Window.partitionBy("video_id")).alias("last_segment"))
     done = told.join(carried, [*KEY]).withColumns({"closed_state": state(F.col("__in")), "__before": before(F.col("__in"))})
     here = F.when((F.col("closed_state") == 1) & (F.col("__before") == 0), F.col("timestamp"))
     since = F.coalesce(F.last(here, ignorenulls=True).over(_own_so_far()), "__since")
@@ -114,14 +116,16 @@ def closed_state(rows: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame
     return timed.withColumn("current_closed_duration", f32(lasting)).drop("__last", "__in", "__since", "__before")
 
 
-def with_context(rows: DataFrame, reach: float, seconds: float = SECONDS, time: str = "timestamp") -> DataFrame:
+def with_context(rows: DataFrame, reach: float, seconds: float = SECONDS, time: str = "timestamp", tasks: int | None = None) -> DataFrame:
     """The rows, and copies of those whose trailing window of ``reach`` seconds ends in a later segment.
 
-    ``context`` marks the copies; ``segment`` is the one that a row serves.
+    ``context`` marks the copies; ``segment`` is the one that a row serves, at most the video's
+    ``last_segment``. The rows are dealt by the segments they serve, into ``tasks`` if given.
     """
     first = F.floor(F.col(time) / F.lit(seconds))
-    served = F.sequence(first, F.floor((F.col(time) + F.lit(reach)) / F.lit(seconds)))
-    return rows.drop("segment").select("*", F.posexplode(served).alias("__nth", "segment")).withColumn("context", F.col("__nth") > 0).drop("__nth")
+    served = F.sequence(first, F.least(F.floor((F.col(time) + F.lit(reach)) / F.lit(seconds)), F.col("last_segment")))
+    copied = rows.drop("segment").select("*", F.posexplode(served).alias("__nth", "segment")).withColumn("context", F.col("__nth") > 0).drop("__nth", "last_segment")
+    return copied.repartition(tasks, *KEY) if tasks else copied
 
 
 def in_window(function: str, value: str, seconds: float, keys: tuple[str, ...] = KEY, time: str = "timestamp") -> Column:
@@ -166,9 +170,15 @@ def reach(cfg: BlinkConfig) -> float:
     return max(cfg.window_sec, cfg.cap_sec) + cfg.max_duration
 
 
-def rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), seconds: float = SECONDS) -> DataFrame:
+def _context_tasks(tasks: int | None, reach: float, seconds: float) -> int | None:
+    """Copies are narrower than frames, so a task may hold four times as many."""
+    return tasks and tasks * ceil((1 + reach / seconds) / 4)
+
+
+def rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), seconds: float = SECONDS, tasks: int | None = None) -> DataFrame:
     """``signals.perclos`` and ``blinks.blink_rolling`` over segments; rows come from ``closed_state``."""
-    found = _ended(with_context(rows, reach(cfg), seconds), cfg).withColumns({f"__{c}": F.col(f"__e.{c}") for c in (*ROLLED.values(), "end_time")})
+    copied = with_context(rows, reach(cfg), seconds, tasks=_context_tasks(tasks, reach(cfg), seconds))
+    found = _ended(copied, cfg).withColumns({f"__{c}": F.col(f"__e.{c}") for c in (*ROLLED.values(), "end_time")})
     last = F.last("__end_time", ignorenulls=True).over(_own_so_far())
     out = found.withColumns(
         {n: f32(F.coalesce(in_window("avg", f"__{c}", cfg.window_sec), F.lit(0.0))) for n, c in ROLLED.items()}
@@ -181,9 +191,11 @@ def rolling(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), seconds: float =
     return out.where(~F.col("context")).drop("context", "__e", "__end_time", *[f"__{c}" for c in ROLLED.values()])
 
 
-def events(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), seconds: float = SECONDS) -> DataFrame:
+def events(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), seconds: float = SECONDS, tasks: int | None = None) -> DataFrame:
     """``blinks.blink_events`` over segments, ordinals from the counts of the segments before."""
-    found = _ended(with_context(rows, cfg.max_duration + 1.0, seconds), cfg).where(~F.col("context") & F.col("__e").isNotNull())
+    reached = cfg.max_duration + 1.0
+    copied = with_context(rows, reached, seconds, tasks=_context_tasks(tasks, reached, seconds))
+    found = _ended(copied, cfg).where(~F.col("context") & F.col("__e").isNotNull())
     here = found.select(*KEY, "__e.*")
     before = here.groupBy(*KEY).count().select(*KEY, F.coalesce(F.sum("count").over(_earlier()), F.lit(0)).alias("__n"))
     nth = F.row_number().over(_own("end_time")) + F.col("__n")
@@ -191,8 +203,10 @@ def events(rows: DataFrame, cfg: BlinkConfig = BlinkConfig(), seconds: float = S
     return numbered.drop("segment", "__n")
 
 
-def chain(z: DataFrame, frame: FrameConfig = FrameConfig(), blink: BlinkConfig = BlinkConfig(), seconds: float = SECONDS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def chain(z: DataFrame, frame: FrameConfig = FrameConfig(), blink: BlinkConfig = BlinkConfig(), seconds: float = SECONDS, keep: Callable[[DataFrame], DataFrame] = lambda df: df, tasks: int | None = None) -> DataFrame:
     """From z scores to closed states. ``keep`` may store the filled and the smoothed rows,
-    which are read twice each (for the summaries and for the rows), for example ``DataFrame.checkpoint``."""
-    filled = keep(fill_signals(cut(z, seconds), frame))
+    which are read twice each (for the summaries and for the rows), for example ``DataFrame.checkpoint``.
+    ``tasks`` deals the frames by segment into so many."""
+    own = cut(z, seconds)
+    filled = keep(fill_signals(own.repartition(tasks, *KEY) if tasks else own, frame))
     return closed_state(keep(smooth(filled, frame)), blink)

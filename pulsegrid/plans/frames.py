@@ -17,9 +17,15 @@ def manifest(frames: DataFrame) -> DataFrame:
     return labelled.withColumn("manifest_pos", F.row_number().over(by))
 
 
-def normalised(frames: DataFrame, man: DataFrame, cfg: FrameConfig) -> DataFrame:
-    stats = calibration.subject_stats(frames, man, cfg)
-    return signals.smooth(signals.fill_signals(calibration.z_scores(frames, stats), cfg), cfg)
+def z_scores(frames: DataFrame, man: DataFrame, cfg: FrameConfig, tasks: int | None = None) -> DataFrame:
+    many = (tasks or 0) > 1
+    return calibration.z_scores(frames, calibration.subject_stats(frames, man, cfg, many), many)
+
+
+def normalised(frames: DataFrame, man: DataFrame, cfg: FrameConfig, tasks: int | None = None) -> DataFrame:
+    """``tasks`` deals the frames by video into so many; every later window of a video stays there."""
+    z = z_scores(frames, man, cfg, tasks)
+    return signals.smooth(signals.fill_signals(z.repartition(tasks, "video_id") if tasks else z, cfg), cfg)
 
 
 def states(norm: DataFrame, cfg: BlinkConfig = BlinkConfig()) -> DataFrame:

@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.config import FIXTURE_FRAMES, SHORT_BLINKS, Z_COLUMNS, BlinkConfig
-from pulsegrid.operators import calibration, segments, time_joins
+from pulsegrid.operators import segments, time_joins
 from pulsegrid.plans import oracles as O
 from pulsegrid.plans import queries as Q
-from pulsegrid.plans.frames import manifest
+from pulsegrid.plans.frames import manifest, z_scores
 from pulsegrid.sources import tables
 
 #: The fixture's videos last some four seconds, so segments of one second meet every case.
 SECONDS = 1.0
 
 
-def _z(spark: SparkSession, d: str) -> DataFrame:
+def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(closed states over segments, tasks)"""
     frames = tables.frames(spark, d)
-    return calibration.z_scores(frames, calibration.subject_stats(frames, manifest(frames), FIXTURE_FRAMES))
+    n = tables.tasks(frames)
+    z = z_scores(frames, manifest(frames), FIXTURE_FRAMES, n)
+    return segments.chain(z, FIXTURE_FRAMES, seconds=SECONDS, tasks=n), n
 
 
 def q_segmented_signals(spark, d):
     """Filled, smoothed and latched signals of all videos, over segments."""
-    rows = segments.chain(_z(spark, d), FIXTURE_FRAMES, seconds=SECONDS)
+    rows, _ = _chain(spark, d)
     return rows.select(*Q.KEY, "closed_state", *Q.r6("p_closed", "p_closed_smooth", "current_closed_duration"))
 
 
@@ -33,12 +36,14 @@ def _rolled(rows: DataFrame) -> DataFrame:
 
 def q_segmented_rolling(spark, d):
     """PERCLOS and blink features over segments and their context."""
-    return _rolled(segments.rolling(segments.chain(_z(spark, d), FIXTURE_FRAMES, seconds=SECONDS), SHORT_BLINKS, SECONDS))
+    rows, n = _chain(spark, d)
+    return _rolled(segments.rolling(rows, SHORT_BLINKS, SECONDS, n))
 
 
 def q_segmented_events(spark, d):
     """Blink events over segments, numbered through each video."""
-    events = segments.events(segments.chain(_z(spark, d), FIXTURE_FRAMES, seconds=SECONDS), BlinkConfig(), SECONDS)
+    rows, n = _chain(spark, d)
+    events = segments.events(rows, BlinkConfig(), SECONDS, n)
     real = ("start_time", "end_time", "min_time", "duration_sec", "frequency", "p_closed_max")
     ear = ("amplitude", "opening_velocity", "ear_z_start", "ear_z_min", "ear_z_end")
     return events.select("video_id", F.col("blink_id").cast("int").alias("blink_id"), "start_idx", "end_idx", "min_idx", "duration", *Q.r6(*real), *[F.round(c, 3).alias(c) for c in ear])
@@ -56,7 +61,8 @@ FROM {events}
 def q_one_long_video(spark, d):
     """All events as the frames of one video, in segments of 30 seconds."""
     frames = spark.sql(LONG_SQL, events=Q.read(spark, d, "events"))
-    return _rolled(segments.rolling(segments.chain(frames, seconds=30.0), SHORT_BLINKS, 30.0))
+    n = tables.tasks(frames)
+    return _rolled(segments.rolling(segments.chain(frames, seconds=30.0, tasks=n), SHORT_BLINKS, 30.0, n))
 
 
 #: Events beside the frames' times, some on them.

@@ -46,6 +46,22 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FRAMES_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+#: Frames that a task holds at most on average: some ten sorts over them in one stage stay below 1 GB.
+FRAMES_A_TASK = 50_000
+#: Fewer are not worth a task.
+LEAST_FRAMES = 5_000
+
+
+def tasks(frames: DataFrame) -> int:
+    """Into how many tasks windows over the frames are dealt: as many as the frames ask for.
+
+    Left to itself, adaptive execution joins shuffled blocks by their compressed bytes, and the sorts
+    over one task's rows take over fifty times as much memory.
+    """
+    n, own = frames.count(), int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-n // FRAMES_A_TASK), min(own, n // LEAST_FRAMES))
+
+
 def videos(rows: DataFrame) -> DataFrame:
     """The manifest behind a frame table: one row per video, in the order of ids."""
     return rows.select("video_id", "fold", "part", "subject_id", "score_label").distinct()

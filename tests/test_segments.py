@@ -3,10 +3,13 @@
 import random
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from pulsegrid.config import SHORT_BLINKS, Z_COLUMNS, BlinkConfig, FrameConfig
 from pulsegrid.operators import blinks, segments, signals, time_joins
+from pulsegrid.plans import frames as frame_plans
+from pulsegrid.sources import tables
 
 FRAMES = f"video_id string, processed_idx long, frame_idx long, timestamp double, p_closed double, {', '.join(f'{z} float' for z in Z_COLUMNS)}"
 STATES = ["video_id", "processed_idx", "p_closed", *Z_COLUMNS, "p_closed_smooth", "closed_state", "current_closed_duration"]
@@ -149,3 +152,29 @@ def test_time_joins_of_nothing(sides):
     assert time_joins.as_of_join(r, e.where("k = 'q'"), "k", "t", "e", ["v"]).where("v IS NOT NULL OR e IS NOT NULL").count() == 0
     assert time_joins.as_of_join(r.where("k = 'q'"), e, "k", "t", "e", ["v"]).count() == 0
     assert time_joins.interval_aggregate(r, e.where("k = 'q'"), "k", "t", "e", 1.0, {"n": ("count", "e")}).agg(F.sum("n")).first()[0] == 0
+
+
+# --- tasks ---
+
+
+def task_counts(df):
+    """Rows of each task of the last stage."""
+    return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+
+
+def test_copies_end_with_the_video(spark, z):
+    """One second of video with a reach of twelve is not copied into eleven segments that have no frame."""
+    parts = segments.chain(z.where("video_id = 'b' AND timestamp < 1"), seconds=1.0)
+    assert segments.with_context(parts, 12.0, 1.0).count() == parts.count() > 0
+    two = segments.chain(z.where("video_id = 'b' AND timestamp < 2"), seconds=1.0)
+    assert segments.with_context(two, 12.0, 1.0).count() == two.count() + two.where("timestamp < 1").count()
+
+
+def test_frames_ask_for_their_tasks(spark, z, monkeypatch):
+    """Small compressed blocks are not joined into few tasks whose sorts grow with the table."""
+    monkeypatch.setattr(tables, "FRAMES_A_TASK", 30)
+    n = tables.tasks(z)
+    assert n == -(-971 // 30) and tables.tasks(z.limit(0)) == 1
+    parts = segments.chain(z, seconds=0.5, tasks=n)
+    assert len(task_counts(parts)) > 20 and max(task_counts(parts)) <= 100
+    same(told(segments.rolling(parts, SHORT_BLINKS, 0.5, n), ROLLED), told(segments.rolling(segments.chain(z, seconds=0.5), SHORT_BLINKS, 0.5), ROLLED))

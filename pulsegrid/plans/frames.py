@@ -50,7 +50,7 @@ def fixture_norm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """(frames, manifest, normalised frames)"""
     frames = tables.frames(spark, sf_dir)
     man = manifest(frames)
-    return frames, man, normalised(frames, man, FIXTURE_FRAMES)
+    return frames, man, normalised(frames, man, FIXTURE_FRAMES, tables.tasks(frames))
 
 
 def fixture_sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -50,7 +50,7 @@ def q_processing_log(spark, d):
 
 def q_calibration_stats(spark, d):
     f = tables.frames(spark, d)
-    stats = calibration.subject_stats(f, P.manifest(f), FIXTURE_FRAMES)
+    stats = calibration.subject_stats(f, P.manifest(f), FIXTURE_FRAMES, tables.tasks(f) > 1)
     cols = [f"{k}_{c}" for k in ("mean", "std") for c in RAW_COLUMNS]
     return stats.select("subject_id", "calib_video_id", "status", F.col("num_calibration_frames").cast("long"), *[F.round(F.col(c).cast("double"), 5).alias(c) for c in cols])
 
@@ -58,12 +58,12 @@ def q_calibration_stats(spark, d):
 def q_calibration_status(spark, d):
     """With the production minimum, which the fixture's videos do not reach."""
     f = tables.frames(spark, d)
-    return calibration.subject_stats(f, P.manifest(f)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return calibration.subject_stats(f, P.manifest(f), hashed=tables.tasks(f) > 1).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_zscore(spark, d):
     f = tables.frames(spark, d)
-    z = calibration.z_scores(f, calibration.subject_stats(f, P.manifest(f), FIXTURE_FRAMES))
+    z = P.z_scores(f, P.manifest(f), FIXTURE_FRAMES, tables.tasks(f))
     return z.select(*KEY, *[F.round(F.col(c).cast("double"), 4).alias(c) for c in Z_COLUMNS])
 
 

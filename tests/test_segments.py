@@ -178,3 +178,11 @@ def test_frames_ask_for_their_tasks(spark, z, monkeypatch):
     parts = segments.chain(z, seconds=0.5, tasks=n)
     assert len(task_counts(parts)) > 20 and max(task_counts(parts)) <= 100
     same(told(segments.rolling(parts, SHORT_BLINKS, 0.5, n), ROLLED), told(segments.rolling(segments.chain(z, seconds=0.5), SHORT_BLINKS, 0.5), ROLLED))
+
+
+def test_the_chain_deals_videos_by_their_frames(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FRAMES_A_TASK", 50)
+    frames, _, norm = frame_plans.fixture_norm(spark, SF)
+    assert norm.rdd.getNumPartitions() == -(-frames.count() // 50) > 4
+    plan = norm._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

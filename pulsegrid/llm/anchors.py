@@ -140,6 +140,29 @@ def combined_blocks(rows: DataFrame, spec: Windows) -> DataFrame:
     return rows.select("k0", "k1", "text").mapInPandas(_blocks_of(spec, True), schema)
 
 
+#: Rows of blocks that are put together at once where blocks are read from a table.
+TOGETHER = 1 << 19
+
+
+def _combine_read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    columns = ("key", "dig", "k0", "k1", "lo", "n")
+    for frame in frames:
+        held.append([frame[c].to_numpy() for c in columns])
+        size += len(frame)
+        if size >= TOGETHER:
+            yield _combine(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _combine(*map(np.concatenate, zip(*held)))
+
+
+def combine(blocks: DataFrame) -> DataFrame:
+    """``combined_blocks`` from rows of ``occurrences``, for callers that have stored these."""
+    schema = "key long, dig long, k0 long, k1 long, lo int, n int, c long, last long"
+    return blocks.select("key", "dig", "k0", "k1", "lo", "n").mapInPandas(_combine_read, schema)
+
+
 def distinct_blocks(combined: DataFrame) -> DataFrame:
     """One row per (key, dig): the first place ``rep``, the count, the last document."""
     n = int(combined.sparkSession.conf.get("spark.sql.shuffle.partitions"))

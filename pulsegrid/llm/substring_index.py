@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from pulsegrid.llm.anchors import HOT, Windows, combined_blocks, occurrences, packed_texts, part_block, unpack_text
+from pulsegrid.llm.anchors import HOT, Windows, combine, combined_blocks, occurrences, packed_texts, part_block, unpack_text  # noqa: F401
 from pulsegrid.llm.shared import LAST, cut, fresh_dir, keyed, remove_dir
 
 #: Bytes of blocks that are resolved together; blocks of one key and part stay together.
@@ -161,10 +161,16 @@ class SubstringIndex:
 
     def add(self, rows: DataFrame, with_text: bool = False) -> DataFrame:
         """Takes in a batch, rows of ``keyed``, and returns what each of its documents loses to smaller ids so far."""
-        new = self._write_run(combined_blocks(rows, self.spec))
+        # The batch's blocks are needed for its run and for its removals: found once, kept until both are done.
+        folder = f"{self.folder}/blocks-{uuid.uuid4().hex}"
+        found = occurrences(rows, self.spec)
+        found.write.option("compression", "zstd").parquet(folder)
+        blocks = self.spark.read.schema(found.schema).parquet(folder)
+        new = self._write_run(combine(blocks))
         texts = packed_texts(rows, "id").repartition(self.buckets, "k0", "k1")
         own = self._write(texts, ("k0", "k1"), ("k0", "k1"))
-        out = cut(self._removals(rows, own, self._repeats(new, own), with_text))
+        out = cut(self._removals(blocks, own, self._repeats(new, own), with_text))
+        remove_dir(self.spark, folder)
         self.texts.append(own)
         self.levels[0].append(new)
         self.compact()
@@ -229,9 +235,9 @@ class SubstringIndex:
         plain = again.where("nb = 1").select("key", "dig", F.lit(0).alias("at"), "rep.n", F.col("rep.k0").alias("first"), F.lit(None).cast("binary").alias("firsts"))
         return plain.unionByName(solved.select("key", "dig", "at", "n", F.lit(None).cast("long").alias("first"), "firsts"))
 
-    def _removals(self, rows: DataFrame, own: str, repeats: DataFrame, with_text: bool) -> DataFrame:
+    def _removals(self, blocks: DataFrame, own: str, repeats: DataFrame, with_text: bool) -> DataFrame:
         """One row per document of the batch: what its windows lose to documents with smaller ids."""
-        found = occurrences(rows, self.spec).drop("n").join(repeats, ["key", "dig"]).where("first IS NULL OR first < k0")
+        found = blocks.drop("n").join(repeats, ["key", "dig"]).where("first IS NULL OR first < k0")
         by_doc = found.groupBy("k0", "k1").agg(F.collect_set(F.struct((F.col("lo") + F.col("at")).alias("lo"), "n", "firsts")).alias("found"))
         made = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
         whole = self.spark.table(own).join(by_doc, ["k0", "k1"], "left")

@@ -292,3 +292,28 @@ def test_the_substring_query_compacts_below_the_shared_folder(spark, monkeypatch
     assert seen[2:] == [[3], [0, 1], [1, 1]] and joined == [0, 1, 2, 3, 1]
     shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
     assert not list(shared.glob("substring_index-*")) and not list(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).glob("substring_index*"))
+
+
+def test_blocks_of_a_batch_are_found_once(spark, tmp_path):
+    """Words of a text are split and hashed once for the batch's run and its removals."""
+    from pulsegrid.llm.anchors import Windows
+    from pulsegrid.llm.shared import keyed
+
+    log = str(tmp_path / "calls")
+
+    def counted(text):
+        with open(log, "a") as f:
+            f.write(f"{len(text)}\n")
+        return substring_index._words(text)
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{'x ' * i}{passage} {'y ' * i}") for i in range(1, 6)], "doc_id long, text string").cache()
+    index = substring_index.SubstringIndex(spark)
+    index.spec = Windows(50, 8, counted)
+    try:
+        got = {r["id"]: r["n_removed"] for r in index.add(keyed(docs, "doc_id", "text")).collect()}
+    finally:
+        index.drop()
+    assert got[1] == 0 and all(got[i] >= 60 for i in range(2, 6))
+    with open(log) as f:
+        assert len(f.read().split()) == 5
